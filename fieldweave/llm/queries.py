@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldweave.llm.decontaminate import decontaminate
+from fieldweave.llm.exact_dedup import exact_dedup
+from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import pack
+from fieldweave.llm.sharding import shard_by_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +25,60 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_len=4096, end_id=2)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_in", "n_lines_removed")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {
+    "op3_exact_dedup": r"""
+WITH n AS (
+  SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS body FROM documents
+), g AS (
+  SELECT doc_id, body, length(t) AS points, count(*) OVER (PARTITION BY body) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id FROM n
+)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM g
+""",
+    "op7_line_dedup": r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), w AS (
+  SELECT doc_id, p, l[p] AS a, l[p + 1] AS b, l[p + 2] AS c
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM (SELECT DISTINCT doc_id, l FROM d) WHERE len(l) >= 3)
+), later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, rank() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, p) AS k
+    FROM w WHERE trim(a, ' ') <> '' OR trim(b, ' ') <> '' OR trim(c, ' ') <> '')
+  WHERE k > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT q) AS q FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM later) GROUP BY doc_id
+)
+SELECT d.doc_id,
+       CASE WHEN gone.q IS NULL THEN d.text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone.q, i)), lambda i: l[i]), chr(10)), '') END AS text,
+       CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines_in, CAST(coalesce(len(gone.q), 0) AS BIGINT) AS n_lines_removed
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+""",
     "op9_decontamination": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS rid,
