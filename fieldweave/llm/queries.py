@@ -9,6 +9,7 @@ from fieldweave.llm.exact_dedup import exact_dedup
 from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import pack
 from fieldweave.llm.sharding import shard_by_bytes
+from fieldweave.llm.simhash import simhash_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_len=4096, end_id=2)
 
@@ -42,6 +47,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
