@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldweave.llm.decontaminate import decontaminate
 from fieldweave.llm.exact_dedup import exact_dedup
+from fieldweave.llm.html_extract import extract_main_text
+from fieldweave.llm.language_id import held_out, identify_languages, train_language_model
 from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import pack
 from fieldweave.llm.sharding import shard_by_bytes
@@ -42,17 +45,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_in", "n_lines_removed")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = train_language_model(docs.where(~out))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
