@@ -13,6 +13,7 @@ from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import pack
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import simhash_components
+from fieldweave.llm.toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = train_toxicity(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    return score_toxicity(docs, model, threshold=0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_in", "n_lines_removed")
 
@@ -66,6 +74,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
