@@ -10,11 +10,14 @@ of power-of-two length, so no sequence needs padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,54 +25,118 @@ from pyspark.sql import functions as F
 from fieldweave.llm.storage import stage
 
 #: Distinct text chunks whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
-#: Documents tokenised at once, which bounds a worker's memory.
-ROWS_AT_ONCE = 512
+CACHE_CHUNKS = 1_000_000
+#: Bytes of text, or of ids, handled at once, which bounds a worker's memory.
+SLICE_BYTES = 8 << 20
+
+
+#: Chunks of plain letters, digits and signs, which normalisation only lower-cases.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own pre-token pattern, for plain chunks in lower case.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class _Index(dict):
+    """Numbers keys as they first come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class _Ragged:
+    """Rows of ids of different lengths, kept end to end."""
+
+    def __init__(self):
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def extend(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, counts = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])])
 
 
 class ChunkEncoder:
     """Token ids of whole texts by way of their white-space-delimited chunks.
 
     No pre-token of the tokenizer crosses ASCII white space, so a text's ids are the
-    concatenation of its chunks' ids. Chunks recur, so each is encoded once.
+    concatenation of its chunks' ids. Chunks recur, so each is encoded once; the plain ones
+    are cut into pre-tokens here, which recur even more. All others pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.chunks, self.chunk_ids = _Index(), _Ragged()
+        self.pieces, self.piece_ids = _Index(), _Ragged()
+
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode chunks not seen before."""
+        whole = [i for i, c in enumerate(fresh) if "<|" in c or not _PLAIN.fullmatch(c)]
+        slow = [self.tokenizer.encode(fresh[i], add_special_tokens=False).ids for i in whole]
+        odd = set(whole)
+        known = len(self.pieces)
+        parts = [() if i in odd else _PIECES.findall(c.lower()) for i, c in enumerate(fresh)]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        rows = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        self.piece_ids.extend(*self._ids(self.model, list(islice(self.pieces, known, None))))
+        ids, lengths = self.piece_ids.take(rows)
+        per_chunk = _sums(lengths, counts)
+        if whole:
+            ends = np.cumsum(per_chunk)
+            ids = np.insert(ids, np.repeat(ends[whole], [len(x) for x in slow]), [i for x in slow for i in x])
+            per_chunk[whole] = [len(x) for x in slow]
+        self.chunk_ids.extend(ids, per_chunk)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of ids of each."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.chunks) > CACHE_CHUNKS:
             self.clear()
-        chunks = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = len(self.index)
-        index, codes = self.index, []
-        for words in chunks:
-            codes += [index.setdefault(w, len(index)) for w in words]
-        if len(index) > known:
-            fresh = [w.decode("utf-8") for w in list(index)[known:]]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for one in got for i in one), np.uint32, int(counts.sum()))
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        codes = np.asarray(codes, np.int64)
-        first, lengths = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(first - (ends - lengths), lengths) + np.arange(total)]
-        words = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        ends = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(words)])
-        return ids, np.diff(ends[bounds])
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.list_value_length(split).to_numpy().astype(np.int64)
+        # Arrow numbers the distinct chunks; only those are looked up.
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        known = len(self.chunks)
+        rows = np.fromiter(map(self.chunks.__getitem__, own), np.int64, len(own))
+        if len(self.chunks) > known:
+            self._learn(list(islice(self.chunks, known, None)))
+        ids, counts = self.chunk_ids.take(rows[coded.indices.to_numpy()])
+        return ids, _sums(counts, words)
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = SLICE_BYTES):
+    """Consecutive parts of a batch whose texts come to about ``most_bytes`` (a longer text is a part by itself)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(size) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 @lru_cache(maxsize=2)
@@ -87,9 +154,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, tex
         part, position = TaskContext.get().partitionId(), 0
         encoder = _encoder(tokenizer_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids, counts = encoder.encode(batch.column(1).to_pylist())
+            for batch in slices(whole, 1):
+                ids, counts = encoder.encode(batch.column(1))
                 ends = np.cumsum(counts)
                 full = np.insert(ids, ends, end_id).astype("<u4")
                 counts = counts + 1
@@ -149,9 +215,9 @@ def pack(
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            for part in slices(whole, 4):
                 out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "ids")}
-                for row in whole.slice(at, ROWS_AT_ONCE).to_pylist():
+                for row in part.to_pylist():
                     g, done = offsets.value[row["part"]] + row["part_start"], 0
                     while done < row["doc_tokens"]:
                         sequence, begin, end = place(g + done)
