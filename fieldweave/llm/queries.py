@@ -13,6 +13,7 @@ from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import pack
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import simhash_components
+from fieldweave.llm.substring_dedup import repeated_passages
 from fieldweave.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -38,6 +39,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
