@@ -77,6 +77,7 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     block_bytes: int = 32 << 20,
+    carry: bool = False,
 ) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window, and the items that occur.
 
@@ -87,10 +88,13 @@ def decontaminate(
 
     Null and empty texts have no words. Items that are null or have no word match
     nothing; a null item id is written as ``null``. Rows repeated in ``docs`` appear as often
-    as they come. Other columns are ignored. An empty benchmark hits nothing.
+    as they come. Other columns are ignored, unless ``carry`` asks for all columns of ``docs`` beside the
+    report. An empty benchmark hits nothing.
     """
+    if carry:
+        return _carried(docs, benchmark, width, id_col, text_col, item_col, block_bytes)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    items = _items(benchmark, item_col, text_col)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     if blocks == 1:
@@ -112,6 +116,31 @@ def decontaminate(
     )
 
 
+def _carried(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, block_bytes: int) -> DataFrame:
+    """The report beside all columns of ``docs``: the text is reported on in place, with no join where one set of tables holds the benchmark."""
+    items = _items(benchmark, item_col, text_col)
+    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        report = decontaminate(docs, benchmark, width, id_col, text_col, item_col, block_bytes).dropDuplicates(["doc_id"])
+        return docs.select(*names).join(report.withColumnRenamed("doc_id", "report_id"), F.col(id_col).eqNullSafe(F.col("report_id"))).drop("report_id")
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    inner = _report(docs.sparkSession, items, width)
+    text_at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            two = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], names=["doc_id", "text"])
+            report = next(inner(iter([two])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *report.columns[1:]], names=[*names, *report.schema.names[1:]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, fields + ", " + _REPORT.split(", ", 1)[1])
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+
+
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
