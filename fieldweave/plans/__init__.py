@@ -1 +1 @@
-
+"""From expressions to Spark plans."""

@@ -1 +1,3 @@
+"""Out-of-core runs: a stored field in, a stored field out, with statistics on the way."""
 
+from fieldweave.streaming.run import run_to_store, stream_execute, sweep  # noqa: F401
