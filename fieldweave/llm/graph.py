@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.storage import shared_folder
+
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b); the root is its component's smallest node.
@@ -14,6 +16,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     checkpointed to shared storage after each round, so lineage stays short and lost executors
     cost no earlier round.
     """
+    shared_folder(edges.sparkSession)
     state = _oriented(edges).distinct().checkpoint()
     before = _digest(state)
     for _ in range(most_rounds):
