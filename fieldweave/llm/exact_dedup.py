@@ -118,7 +118,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digests = stage(source.mapInArrow(_digest(fingerprint_bits), "doc_id long, fp long, points long, text_sha256 string"), "digests")
-    repeated = repeated_fingerprints(digests, fingerprint_bits, digests.count()).checkpoint()
+    rows = digests.count()
+    repeated = repeated_fingerprints(digests, fingerprint_bits, rows).checkpoint()
     texts = _routed(source, repeated, fingerprint_bits).groupBy("fp", "body").agg(F.min("doc_id").alias("variant"))
     clashing = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp").checkpoint()
     if clashing.isEmpty():
@@ -126,13 +127,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         # Different texts under one fingerprint: each document takes the variant its bytes belong to.
         members = _apart(source, clashing, digests, fingerprint_bits)
-    best = (
-        members.join(repeated.select("fp"), "fp", "left_semi")
-        .groupBy("fp", "variant")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("points").alias("most"), _smallest_of_longest().alias("keep"))
-    )
-    best = best.select("fp", "variant", "group_size", F.col("keep.doc_id").alias("keep_id"))
-    return members.join(best, ["fp", "variant"], "left").select(
+    best = members.groupBy("fp", "variant").agg(F.count(F.lit(1)).alias("group_size"), _smallest_of_longest().alias("keep")).where("group_size > 1")
+    best = stage(best.select("fp", "variant", "group_size", F.col("keep.doc_id").alias("keep_id")), "groups")
+    # Groups of at least a thousandth of the rows, of which there can be a thousand at most, are broadcast; the others are small and joined.
+    large = F.col("group_size") >= max(1000, -(-rows // 1000))
+    hot, rest = best.where(large), best.where(~large)
+    key = ["fp", "variant"]
+    joined = members.join(F.broadcast(hot), key).unionByName(members.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, "left"), allowMissingColumns=True)
+    return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

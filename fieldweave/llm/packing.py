@@ -10,10 +10,9 @@ of power-of-two length, so no sequence needs padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +23,18 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm.storage import stage
 
-#: Distinct text chunks whose ids a worker remembers before it starts afresh.
-CACHE_CHUNKS = 1_000_000
+#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
+CACHE_PIECES = 500_000
+#: Pre-tokens given to the tokenizer in one call.
+ENCODE_AT_ONCE = 20_000
 #: Bytes of text, or of ids, handled at once, which bounds a worker's memory.
 SLICE_BYTES = 8 << 20
 
 
 #: Chunks of plain letters, digits and signs, which normalisation only lower-cases.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 #: The tokenizer's own pre-token pattern, for plain chunks in lower case.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 
 
 class _Index(dict):
@@ -70,8 +71,8 @@ class ChunkEncoder:
     """Token ids of whole texts by way of their white-space-delimited chunks.
 
     No pre-token of the tokenizer crosses ASCII white space, so a text's ids are the
-    concatenation of its chunks' ids. Chunks recur, so each is encoded once; the plain ones
-    are cut into pre-tokens here, which recur even more. All others pass through the whole tokenizer.
+    concatenation of its chunks' ids. Arrow finds the distinct chunks of a slice of texts and cuts the plain
+    ones into pre-tokens, whose ids are remembered. All other chunks pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -84,48 +85,44 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.chunks, self.chunk_ids = _Index(), _Ragged()
         self.pieces, self.piece_ids = _Index(), _Ragged()
 
-    @staticmethod
-    def _ids(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode chunks not seen before."""
-        whole = [i for i, c in enumerate(fresh) if "<|" in c or not _PLAIN.fullmatch(c)]
-        slow = [self.tokenizer.encode(fresh[i], add_special_tokens=False).ids for i in whole]
-        odd = set(whole)
-        known = len(self.pieces)
-        parts = [() if i in odd else _PIECES.findall(c.lower()) for i, c in enumerate(fresh)]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        rows = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        self.piece_ids.extend(*self._ids(self.model, list(islice(self.pieces, known, None))))
-        ids, lengths = self.piece_ids.take(rows)
-        per_chunk = _sums(lengths, counts)
-        if whole:
-            ends = np.cumsum(per_chunk)
-            ids = np.insert(ids, np.repeat(ends[whole], [len(x) for x in slow]), [i for x in slow for i in x])
-            per_chunk[whole] = [len(x) for x in slow]
-        self.chunk_ids.extend(ids, per_chunk)
+    def _learn(self, words: list[str]) -> None:
+        """Encode pre-tokens not seen before."""
+        for at in range(0, len(words), ENCODE_AT_ONCE):
+            part = words[at : at + ENCODE_AT_ONCE]
+            got = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            self.piece_ids.extend(np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[_Ragged, np.ndarray]:
+        """Ids of distinct chunks, and the row of each among them."""
+        plain = pc.and_(pc.match_substring_regex(chunks, _PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _PIECES, r"\1 ")))
+        coded = parts.flatten().dictionary_encode()
+        own, known = coded.dictionary.to_pylist(), len(self.pieces)
+        rows = np.fromiter(map(self.pieces.__getitem__, own), np.int64, len(own))
+        if len(self.pieces) > known:
+            self._learn(list(islice(self.pieces, known, None)))
+        ids, counts = self.piece_ids.take(rows[coded.indices.to_numpy()])
+        found = _Ragged()
+        found.extend(ids, _sums(counts, pc.list_value_length(parts).to_numpy().astype(np.int64)))
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        slow = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks.take(pa.array(other)).to_pylist()]
+        found.extend(np.array([i for x in slow for i in x], np.uint32), np.array([len(x) for x in slow], np.int64))
+        place = np.empty(len(chunks), np.int64)
+        place[np.flatnonzero(plain.to_numpy(zero_copy_only=False))] = np.arange(len(chunks) - len(other))
+        place[other] = np.arange(len(chunks) - len(other), len(chunks))
+        return found, place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of ids of each."""
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.pieces) > CACHE_PIECES:
             self.clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = pc.list_value_length(split).to_numpy().astype(np.int64)
-        # Arrow numbers the distinct chunks; only those are looked up.
         coded = split.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        known = len(self.chunks)
-        rows = np.fromiter(map(self.chunks.__getitem__, own), np.int64, len(own))
-        if len(self.chunks) > known:
-            self._learn(list(islice(self.chunks, known, None)))
-        ids, counts = self.chunk_ids.take(rows[coded.indices.to_numpy()])
+        found, place = self._chunk_ids(coded.dictionary)
+        ids, counts = found.take(place[coded.indices.to_numpy()])
         return ids, _sums(counts, words)
 
 
