@@ -72,8 +72,21 @@ class Pipeline:
         return result.df if result.shape else result.value
 
     def __getitem__(self, ranges):
-        """A slice of the result."""
-        return self.run().field.slice(*(ranges if isinstance(ranges, tuple) else (ranges,)))
+        """A slice of the result: one Python slice an axis, or a pair of numbers for the first axis."""
+        field = self.run().field
+        if isinstance(ranges, tuple) and len(ranges) == 2 and all(isinstance(r, int) for r in ranges):
+            ranges = (slice(*ranges),)
+        if not isinstance(ranges, tuple):
+            ranges = (ranges,)
+        if len(ranges) > len(field.shape):
+            raise IndexError(f"{len(ranges)} ranges for {len(field.shape)} axes")
+        spans = []
+        for r, n in zip(ranges, field.shape):
+            begin, end, step = r.indices(n) if isinstance(r, slice) else (*r, 1)
+            if step != 1:
+                raise ValueError("slices take a step of 1")
+            spans.append((begin, end))
+        return field.slice(*spans)
 
     def report(self) -> str:
         """Shape, kind and Spark's plan of the result."""
