@@ -89,7 +89,7 @@ def decontaminate(
     Null and empty texts have no words. Items that are null or have no word match
     nothing; a null item id is written as ``null``. Rows repeated in ``docs`` appear as often
     as they come. Other columns are ignored, unless ``carry`` asks for all columns of ``docs`` beside the
-    report. An empty benchmark hits nothing.
+    report, where a column named as one of the report's gives way to it. An empty benchmark hits nothing.
     """
     if carry:
         return _carried(docs, benchmark, width, id_col, text_col, item_col, block_bytes)

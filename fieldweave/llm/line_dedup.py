@@ -23,7 +23,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a smaller id, or the same id and an earlier line. Null texts stay null (no lines). Rows that
     repeat an id and text are one document given more than once: each gets the same result, and
     one does not make the other a later occurrence. Rows with a null id are never shortened. A
-    document that loses every line keeps its row with an empty text.
+    document that loses every line keeps its row with an empty text. A column of ``docs`` named as one of the two
+    counts gives way to it.
     """
     lines = F.split(F.col("text"), "\n", -1)
     at = lambda i, k: F.element_at(F.col("lines"), (i + F.lit(k + 1)).cast("int"))
@@ -51,17 +52,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("doc_id")
         .agg(F.collect_set("line").alias("gone"))
     )
-    keys = covered.withColumnRenamed("doc_id", "gone_id")
     # The lines are split only where some go.
-    split = F.split(F.col(text_col).cast("string"), "\n", -1)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).when(
-        F.size("gone") >= F.size(split), F.lit("")
-    ).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c != text_col]
+    own, gone = F.col(f"d.`{text_col}`").cast("string"), F.col("g.gone")
+    split = F.split(own, "\n", -1)
+    n_lines = F.when(own.isNull(), 0).otherwise(F.size(split))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    text = F.when(gone.isNull(), own).when(F.size(gone) >= F.size(split), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
+    report = {text_col: text, "n_lines_in": n_lines.cast("long"), "n_lines_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in report]
     return (
         docs.alias("d")
-        .join(keys, F.col(f"d.`{id_col}`") == F.col("gone_id"), "left")
-        .select(*others, text.alias(text_col), n_lines.cast("long").alias("n_lines_in"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
+        .join(covered.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left")
+        .select(*others, *[c.alias(name) for name, c in report.items()])
     )
