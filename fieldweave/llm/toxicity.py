@@ -77,8 +77,10 @@ def _negation() -> Transducer:
 
 
 def _reported() -> Transducer:
-    arcs = {("told", tag): ("told", f"reported {tag}") for tag in ("insult", "threat", "negated insult", "negated threat")}
-    return Transducer("own", arcs | {("own", "speech"): ("told", "speech"), ("own", "quote"): ("told", "quote"), ("told", "quote"): ("own", "quote")})
+    """What follows a speech verb to the clause's end, and what stands in quotes, is reported; a closing quote ends it."""
+    arcs = {(state, tag): (state, f"reported {tag}") for state in ("told", "quoted") for tag in ("insult", "threat", "negated insult", "negated threat")}
+    arcs |= {("own", "speech"): ("told", "speech"), ("own", "quote"): ("quoted", "quote"), ("told", "quote"): ("quoted", "quote"), ("quoted", "quote"): ("own", "quote")}
+    return Transducer("own", arcs)
 
 
 def _addressed() -> Transducer:
