@@ -2,8 +2,9 @@
 
 Every partition of the corpus builds a counting quotient filter over the 64-bit
 fingerprints of its texts: a fingerprint's high bits are its quotient (the slot), its
-low bits the remainder, kept sorted within the slot's run together with a count. Filters
-of partitions are cut into segments by quotient, and the segments of one quotient range
+low bits the remainder, kept sorted within the slot's run together with a count. As a
+partition fills few of the corpus's slots, the occupied ones are listed. Filters
+are cut into segments by quotient, and the segments of one quotient range
 are merged by sorted remainders without loss, adding counts. Fingerprints counted more
 than once route their documents to byte verification, which groups the whole normalised
 texts; fingerprints that turn out to hold different texts are separated there.
@@ -46,20 +47,33 @@ def _digest(bits: int):
     return run
 
 
-def build_filter(fps: np.ndarray, bits: int, segment_bits: int):
-    """The segments of the counting quotient filter of some fingerprints: (segment, quotients, remainders, counts), each sorted."""
+def encode(slots: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """A segment of a filter: its occupied slots, a bit at the end of each slot's run, and the runs' remainders and counts."""
+    ends = np.concatenate([slots[1:] != slots[:-1], [True]])
+    return slots[ends].astype("<u4").tobytes(), np.packbits(ends).tobytes(), remainders.astype("<u8").tobytes(), counts.astype("<i8").tobytes()
+
+
+def decode(occupied: bytes, ends: bytes, remainders: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, remainders, counts) of the entries of a segment, sorted."""
+    r, c = np.frombuffer(remainders, "<u8"), np.frombuffer(counts, "<i8")
+    run = np.cumsum(np.concatenate([[0], np.unpackbits(np.frombuffer(ends, np.uint8), count=len(r))[:-1]]), dtype=np.int64)
+    return np.frombuffer(occupied, "<u4")[run], r, c
+
+
+def build_filter(fps: np.ndarray, bits: int, quotient_bits: int, segment_bits: int):
+    """The counting quotient filter of some fingerprints in segments, each (segment, *encoded)."""
     values, counts = np.unique(fps, return_counts=True)
-    remainder_bits = max(1, bits // 2)
-    quotients = values >> np.uint64(remainder_bits)
-    remainders = values & np.uint64((1 << remainder_bits) - 1)
-    segments = (values >> np.uint64(bits - segment_bits)).astype(np.int64) if segment_bits else np.zeros(len(values), np.int64)
+    quotients = values >> np.uint64(bits - quotient_bits)
+    remainders = values & np.uint64((1 << (bits - quotient_bits)) - 1)
+    segments = quotients >> np.uint64(quotient_bits - segment_bits)
+    slots = quotients & np.uint64((1 << (quotient_bits - segment_bits)) - 1)
     for k in np.unique(segments):
-        a, b = np.searchsorted(segments, [k, k + 1])
-        yield int(k), quotients[a:b].astype("<u8"), remainders[a:b].astype("<u8"), counts[a:b].astype("<i8")
+        a, b = np.searchsorted(segments, [k, k + np.uint64(1)])
+        yield int(k), *encode(slots[a:b], remainders[a:b], counts[a:b])
 
 
 def merge_filters(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """One segment's filters merged: runs of equal quotient and remainder add their counts; nothing is lost."""
+    """One segment's filters merged: within each slot's run equal remainders add their counts; nothing is lost."""
     q, r, c = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((r, q))
     q, r, c = q[order], r[order], c[order]
@@ -69,23 +83,25 @@ def merge_filters(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
 
 def repeated_fingerprints(digests: DataFrame, bits: int, rows: int) -> DataFrame:
     """(fp, copies) of the fingerprints that occur more than once in all partitions together."""
-    segment_bits = min(bits - 1, max(0, (max(rows, 1) // SEGMENT_TARGET).bit_length()))
+    # About two slots for each row, in segments of SEGMENT_TARGET rows: all filters share one layout, so they merge slot by slot.
+    quotient_bits = min(bits - 1, rows.bit_length() + 1)
+    segment_bits = min(quotient_bits, (rows // SEGMENT_TARGET).bit_length())
 
     def build(batches):
         held = [b.column(0).to_numpy() for b in batches]
-        rows = list(build_filter(np.concatenate(held).view(np.uint64), bits, segment_bits)) if held else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in rows], pa.int64()), *(pa.array([x[i].tobytes() for x in rows], pa.binary()) for i in (1, 2, 3))],
-            names=["segment", "quotients", "remainders", "counts"],
-        )
+        parts = list(build_filter(np.concatenate(held).view(np.uint64), bits, quotient_bits, segment_bits)) if held else []
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], k) for i, k in enumerate(kinds)], names=["segment", "occupied", "ends", "remainders", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [tuple(np.frombuffer(row[k], t) for k, t in (("quotients", "<u8"), ("remainders", "<u8"), ("counts", "<i8"))) for row in table.to_pylist()]
-        q, r, c = merge_filters(parts)
-        fp = ((q << np.uint64(max(1, bits // 2))) | r)[c > 1]
+        parts = table.to_pylist()
+        slots, r, c = merge_filters([decode(x["occupied"], x["ends"], x["remainders"], x["counts"]) for x in parts])
+        quotients = (np.uint64(parts[0]["segment"]) << np.uint64(quotient_bits - segment_bits)) | slots.astype(np.uint64)
+        fp = ((quotients << np.uint64(bits - quotient_bits)) | r)[c > 1]
         return pa.table({"fp": pa.array(fp.view(np.int64)), "copies": pa.array(c[c > 1].astype(np.int64))})
 
-    return digests.select("fp").mapInArrow(build, "segment long, quotients binary, remainders binary, counts binary").groupBy("segment").applyInArrow(merge, "fp long, copies long")
+    segments = digests.select("fp").mapInArrow(build, "segment long, occupied binary, ends binary, remainders binary, counts binary")
+    return segments.groupBy("segment").applyInArrow(merge, "fp long, copies long")
 
 
 def _routed(docs: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:

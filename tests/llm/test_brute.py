@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -15,7 +15,7 @@ import brute
 import corpus_pipeline
 from fieldweave.llm import queries as q
 from fieldweave.llm.decontaminate import decontaminate
-from fieldweave.llm.exact_dedup import exact_dedup
+from fieldweave.llm.exact_dedup import build_filter, decode, exact_dedup, merge_filters
 from fieldweave.llm.graph import components
 from fieldweave.llm.html_extract import extract_texts, train
 from fieldweave.llm.language_id import Labeller, held_out, train_language_model
@@ -112,6 +112,22 @@ def test_layout():
     assert layout(4096 * 2 + 13, 4096).tolist() == [8192, 8200, 8204, 8205] and layout(8192, 4096).tolist() == [8192]
 
 
+@pytest.mark.parametrize("bits, quotient_bits, segment_bits", [(64, 12, 4), (64, 9, 0), (16, 15, 15), (4, 3, 1)])
+def test_filters_merge_without_loss(bits, quotient_bits, segment_bits):
+    r = random.Random(bits + quotient_bits)
+    pool = [r.getrandbits(bits) for _ in range(400)]
+    partitions = [[r.choice(pool) for _ in range(300)] for _ in range(5)]
+    parts = defaultdict(list)
+    for fps in partitions:
+        for k, *rest in build_filter(np.array(fps, np.uint64), bits, quotient_bits, segment_bits):
+            parts[k].append(decode(*rest))
+    got = {}
+    for k, filters in parts.items():
+        for q, rem, c in zip(*merge_filters(filters)):
+            got[((k << (quotient_bits - segment_bits)) | int(q)) << (bits - quotient_bits) | int(rem)] = int(c)
+    assert got == Counter(x for fps in partitions for x in fps)
+
+
 def test_exact_dedup_with_clashing_fingerprints(spark):
     """Fingerprints of four bits make different texts clash; byte verification tells them apart."""
     r = random.Random(3)
