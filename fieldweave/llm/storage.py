@@ -7,6 +7,8 @@ executor never loses an intermediate table.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current.get().rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         folder = tempfile.mkdtemp(prefix="fieldweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     else:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     spark.sparkContext.setCheckpointDir(folder)
