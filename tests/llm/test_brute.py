@@ -166,6 +166,24 @@ def test_substring_dedup(spark):
         assert all(x.other_doc_id == 1 and abs(x.other_start - 200) <= 12 for x in found[i] if x.start_word <= begin + 8)
 
 
+def _found(spark, rows):
+    """{doc_id: [(start_word, end_word, other_doc_id)]} of lists of words by id."""
+    docs, out = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string"), defaultdict(list)
+    for x in repeated_passages(docs).collect():
+        out[x.doc_id].append((x.start_word, x.end_word, x.other_doc_id))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_substring_dedup_cuts_chains_that_fail(spark):
+    """Two exact passages side by side in one document and far apart in another are both reported."""
+    text = _passages(random.Random(6))[1]
+    one, two = text(100), text(100)
+    for between in (60, 200):
+        found = _found(spark, {1: text(50) + one + two + text(20), 2: text(30) + one + text(between) + two + text(30)})
+        for begin in (30, 130 + between):
+            assert any(abs(a - begin) <= 2 and abs(b - begin - 100) <= 2 for a, b, _ in found[2])
+
+
 @needs_tables
 def test_substring_dedup_finds_every_long_copy(spark):
     """Each document with 50 consecutive words of an earlier one is reported; those without 20 are not."""
