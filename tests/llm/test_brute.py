@@ -184,6 +184,15 @@ def test_substring_dedup_cuts_chains_that_fail(spark):
             assert any(abs(a - begin) <= 2 and abs(b - begin - 100) <= 2 for a, b, _ in found[2])
 
 
+def test_substring_dedup_reports_every_place(spark):
+    """A passage that stands twice in a document is reported at both places."""
+    text = _passages(random.Random(7))[1]
+    passage = text(80)
+    found = _found(spark, {1: text(40) + passage + text(40), 2: text(50) + passage + text(270) + passage + text(30)})
+    for begin in (50, 400):
+        assert any(abs(a - begin) <= 2 and abs(b - begin - 80) <= 2 for a, b, _ in found[2])
+
+
 @needs_tables
 def test_substring_dedup_finds_every_long_copy(spark):
     """Each document with 50 consecutive words of an earlier one is reported; those without 20 are not."""
