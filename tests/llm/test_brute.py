@@ -193,6 +193,29 @@ def test_substring_dedup_reports_every_place(spark):
         assert any(abs(a - begin) <= 2 and abs(b - begin - 80) <= 2 for a, b, _ in found[2])
 
 
+@pytest.mark.parametrize("length, changed, least", [(60, 0.1, 0.97), (60, 0.15, 0.93), (80, 0.18, 0.93), (45, 0.1, 0.93)])
+def test_substring_dedup_recalls_fuzzy_passages(spark, length, changed, least):
+    """Passages with evenly drawn substitutions, each planted in two documents, are found at the identity that is promised."""
+    r = random.Random(8)
+    word, text = _passages(r)
+    rows = {}
+    for k in range(200):
+        passage, fuzzy = text(length), None
+        other = set(r.sample(range(1, length - 1), round(changed * length)))
+        fuzzy = [word() if i in other else w for i, w in enumerate(passage)]
+        rows |= {2 * k: text(30) + passage + text(30), 2 * k + 1: text(40) + fuzzy + text(20)}
+    found = _found(spark, rows)
+    assert sum(any(o == 2 * k for _, _, o in found.get(2 * k + 1, [])) for k in range(200)) >= least * 200
+
+
+def test_substring_dedup_repetitive_texts(spark):
+    """A text of few words over and over and its copy take linear time."""
+    text = _passages(random.Random(9))[1]
+    turning = text(9) * 20_000
+    found = _found(spark, {3: turning, 4: turning + text(20)})
+    assert min(a for a, _, _ in found[4]) == 0 and max(b for _, b, _ in found[4]) >= 180_000
+
+
 @needs_tables
 def test_substring_dedup_finds_every_long_copy(spark):
     """Each document with 50 consecutive words of an earlier one is reported; those without 20 are not."""
