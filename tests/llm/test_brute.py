@@ -208,6 +208,15 @@ def test_substring_dedup_recalls_fuzzy_passages(spark, length, changed, least):
     assert sum(any(o == 2 * k for _, _, o in found.get(2 * k + 1, [])) for k in range(200)) >= least * 200
 
 
+def test_substring_dedup_past_common_phrases(spark):
+    """Unrelated earlier documents that hold every phrase of a passage do not hide that two later ones share it."""
+    text = _passages(random.Random(10))[1]
+    passage = text(60)
+    rows = {k: text(30) + passage[k : k + 6] + text(30) for k in range(55)}
+    found = _found(spark, rows | {100: text(40) + passage + text(30), 101: text(20) + passage + text(50)})
+    assert set(found) == {101} and any(o == 100 and a <= 22 and b >= 78 for a, b, o in found[101])
+
+
 def test_substring_dedup_repetitive_texts(spark):
     """A text of few words over and over and its copy take linear time."""
     text = _passages(random.Random(9))[1]
