@@ -99,14 +99,24 @@ def decontaminate(
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     if blocks == 1:
         return source.mapInArrow(_report(docs.sparkSession, items, width), _REPORT)
-    rows, keyed = None, source.withColumn("row_key", F.sha2(F.to_json(F.struct("doc_id", "text")), 256)).dropDuplicates(["row_key"])
+    return _in_blocks(source.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text"))), items, width, blocks).drop("row_key")
+
+
+def _row_key(doc_id, text):
+    return F.sha2(F.to_json(F.struct(doc_id.alias("doc_id"), text.alias("text"))), 256)
+
+
+def _in_blocks(source: DataFrame, items: DataFrame, width: int, blocks: int) -> DataFrame:
+    """The report of each row (doc_id, text, row_key) and its key, by a search for each block of the benchmark."""
+    rows, keyed = None, source.dropDuplicates(["row_key"])
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        found = keyed.mapInArrow(_hits(docs.sparkSession, part, width), "row_key string, hits array<int>, items array<string>")
+        found = keyed.mapInArrow(_hits(source.sparkSession, part, width), "row_key string, hits array<int>, items array<string>")
         rows = found if rows is None else rows.unionByName(found)
     merged = rows.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = source.withColumn("row_key", F.sha2(F.to_json(F.struct("doc_id", "text")), 256)).mapInArrow(_count, "doc_id long, row_key string, n_words long")
+    counted = source.mapInArrow(_count, "doc_id long, row_key string, n_words long")
     return counted.join(merged, "row_key", "left").select(
+        "row_key",
         "doc_id",
         "n_words",
         F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
@@ -120,9 +130,15 @@ def _carried(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, tex
     """The report beside all columns of ``docs``: the text is reported on in place, with no join where one set of tables holds the benchmark."""
     items = _items(benchmark, item_col, text_col)
     names = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
-        report = decontaminate(docs, benchmark, width, id_col, text_col, item_col, block_bytes).dropDuplicates(["doc_id"])
-        return docs.select(*names).join(report.withColumnRenamed("doc_id", "report_id"), F.col(id_col).eqNullSafe(F.col("report_id"))).drop("report_id")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > block_bytes:
+        # A report depends on the text alone, so each text is searched once, and rows find theirs by it, whatever their ids.
+        text = F.col(f"`{text_col}`").cast("string")
+        key = _row_key(F.lit(None).cast("long"), text)
+        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), key.alias("row_key")).dropDuplicates(["row_key"])
+        report = _in_blocks(texts, items, width, -(-2 * size // block_bytes)).drop("doc_id").withColumnRenamed("row_key", "report key")
+        own = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("own key"))
+        return own.join(report, F.col("own key") == F.col("report key")).drop("own key", "report key")
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     inner = _report(docs.sparkSession, items, width)
     text_at = names.index(text_col)

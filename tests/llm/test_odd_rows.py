@@ -92,3 +92,10 @@ def test_defined_results(spark):
     assert lines[7].text == "a\nb\nc\nd" and lines[8].text == "x\n" and lines[1].text is None and lines[1].n_lines_in == 0 and lines[2].n_lines_in == 1
     told = {r.doc_id: r.lang_pred for r in identify_languages(docs, train_language_model(docs)).collect()}
     assert told[1] == told[2] == told[3] == "und" and told[9] != "und"
+
+
+def test_decontaminate_carried_in_blocks(spark):
+    """Rows with null or repeated ids each get the verdict of their own text, however large the benchmark."""
+    docs = odd(spark, [*ODD, (None, "three four five", "en", "s", 15), (5, "nothing of it", "en", "s", 13)])
+    whole, blocks = (sorted(map(str, decontaminate(docs, benchmark(docs), carry=True, block_bytes=n).collect())) for n in (32 << 20, 8))
+    assert len(whole) == len(ODD) + 2 and whole == blocks
