@@ -13,7 +13,10 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
+        binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)])
+        # Features of two values are summed by one product for all of them, the others by histograms.
+        pairs = [f for f, e in enumerate(edges) if len(e) == 1]
+        low = (binned[pairs] == 0).astype(np.float32)
         rate = y.mean()
         self.base = float(np.log(rate / (1 - rate)))
         score = np.full(len(y), self.base)
@@ -31,13 +34,20 @@ class BoostedTrees:
                 best = np.full(width, 1e-6)
                 choice = np.full((width, 2), -1)
                 total_g, total_h = np.bincount(local, g, width), np.bincount(local, h, width)
-                for f, e in enumerate(edges):
-                    if not len(e):
+                by_node = np.zeros((len(y), 2 * width), np.float32)
+                by_node[np.arange(len(y)), local], by_node[np.arange(len(y)), width + local] = g, h
+                lows = low @ by_node
+                for f in range(x.shape[1]):
+                    k = len(edges[f]) + 1
+                    if k == 2:
+                        row = lows[pairs.index(f)].astype(float)
+                        left_g, left_h = row[:width, None], row[width:, None]
+                    elif k > 2:
+                        key = local * k + binned[f]
+                        left_g = np.bincount(key, g, width * k).reshape(width, k).cumsum(1)[:, :-1]
+                        left_h = np.bincount(key, h, width * k).reshape(width, k).cumsum(1)[:, :-1]
+                    else:
                         continue
-                    k = len(e) + 1
-                    key = local * k + binned[:, f]
-                    left_g = np.bincount(key, g, width * k).reshape(width, k).cumsum(1)[:, :-1]
-                    left_h = np.bincount(key, h, width * k).reshape(width, k).cumsum(1)[:, :-1]
                     right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
                     gain = left_g**2 / (left_h + 1) + right_g**2 / (right_h + 1) - (total_g**2 / (total_h + 1))[:, None]
                     gain[(left_h < self.least / 20) | (right_h < self.least / 20)] = 0

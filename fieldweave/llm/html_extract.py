@@ -22,14 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.boosting import BoostedTrees
+from fieldweave.llm.packing import slices
+
+#: Bytes of pages handled at once (a longer page by itself), which bounds a worker's memory.
+PAGE_BYTES = 2 << 20
 
 #: HTML element names by their role in parsing.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math head".split())
+#: Their content is no part of the page's text: it is not shown, or is a form's.
+RAW = set("script style template iframe textarea title".split())
 BLOCK = set(
-    "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption button label".split()
+    "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption button label".split()
 )
-CLOSES_P = BLOCK - set("html body button label option optgroup td th tr tbody thead tfoot caption legend select".split())
+CLOSES_P = BLOCK - set("html body noscript button label option optgroup td th tr tbody thead tfoot caption legend select".split())
 #: An opening tag closes these elements, up to a boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -60,13 +65,61 @@ for _k, _words in enumerate(TOKENS.values()):
     for _w in _words:
         _GROUP_OF.setdefault(_w, set()).add(_k)
 _NEGATIVE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select"}
+_TELLING = {"article", "main", *_NEGATIVE_TAGS}
+_TAG_AT = {t: k for k, t in enumerate(TAGS)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Parts of markup; none backtracks. Quotes hold a value only after an equals sign.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+")
+_NUMBER = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{7,}));?")
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|itemprop|aria-label|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HEADING = re.compile("h[1-6]$")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def markup(source: str):
+    """(start, end, name, closing, attributes) of the tags of a page, and of comments and declarations, whose name is empty. Time is linear in the page.
+
+    A comment that does not end goes on to the end of the page. Where a tag's quotes would leave it open to
+    the end of the page, quotes count no more from there on; what no ``>`` follows is text.
+    """
+    at, n, quotes, last = 0, len(source), True, source.rfind(">")
+    while (at := source.find("<", at)) >= 0:
+        closing = source.startswith("/", at + 1)
+        name = _NAME.match(source, at + 1 + closing)
+        if name is None:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                end = n if end < 0 else end + 3
+            elif source.startswith("<![CDATA[", at):
+                end = source.find("]]>", at + 9)
+                end = n if end < 0 else end + 3
+            elif source[at + 1 : at + 2] in ("!", "?", "/") and at < last:
+                end = source.find(">", at) + 1
+            else:
+                at += 1
+                continue
+            at = yield at, end, "", False, ""
+            continue
+        if at > last:
+            return
+        end = _REST.match(source, name.end()).end() if quotes else n
+        if end >= n:
+            quotes = False
+            end = source.find(">", name.end())
+            if end < 0:
+                return
+        at = yield at, end + 1, name[0].lower(), closing, source[name.end() : end]
+
+
+def unescape(text: str) -> str:
+    """The text with its character references decoded; numbers beyond Unicode give the replacement character, however long they are."""
+    if "&" not in text:
+        return text
+    return html.unescape(_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
 class Page:
     """Elements of a page in order, with their parents, and its text runs with the element each lies in."""
 
@@ -74,76 +127,91 @@ class Page:
         self.tag, self.parent, self.attrs, self.depth = ["html"], [-1], [""], [0]
         #: (element, text); None as text is a break between blocks.
         self.runs: list[tuple[int, str | None]] = []
-        stack, at = [0], 0
-        n, find = len(source), _TAG.search
-        while at < n:
-            m = find(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
+        # Open elements, where in the stack each name stands, and where blocks do: closing looks nothing up by walking.
+        self.stack, self.where, self.blocks = [0], {"html": [0]}, []
+        at, n, unended = 0, len(source), set()
+        tags, resume = markup(source), None
+        while True:
+            try:
+                start, end, name, closing, attrs = tags.send(resume)
+            except StopIteration:
                 break
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
-                continue
-            name = name.lower()
-            if m[1]:
-                self._close(stack, name)
+            resume = end
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            if not name or name == "head":
                 continue
-            if name in ("html", "body") and name in (self.tag[i] for i in stack):
+            if closing:
+                self._close(name)
+            elif name in RAW:
+                if not attrs.endswith("/") and name not in unended:
+                    ended = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?+", re.I).search(source, at)
+                    if ended:
+                        at = resume = ended.end()
+                    elif name in ("script", "style"):
+                        at = resume = n
+                    else:
+                        # Left open, it would take the rest of the page with it.
+                        unended.add(name)
+            elif name in ("html", "body") and self.where.get(name):
                 continue
-            if name in RAW:
-                if name == "head" or m[3].endswith("/"):
-                    continue
-                end = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
-                at = end.end()
-                continue
-            if name in CLOSES_P:
-                self._imply(stack, {"p"}, SCOPE)
-                if name[0] == "h" and name[1:].isdigit() and self.tag[stack[-1]][0] == "h" and self.tag[stack[-1]][1:].isdigit():
-                    stack.pop()
-            if name in IMPLIED:
-                self._imply(stack, *IMPLIED[name])
-            if name in VOID:
-                if name in ("br", "hr"):
-                    self.runs.append((stack[-1], None))
-                elif name == "input":
-                    self._open(stack, name, m[3])
-                    stack.pop()
-                continue
-            self._open(stack, name, m[3])
-
-    def _text(self, node: int, text: str) -> None:
-        self.runs.append((node, html.unescape(text) if "&" in text else text))
-
-    def _open(self, stack, name, attrs) -> None:
+            else:
+                self._start(name, attrs)
+        if at < n:
+            self._text(source[at:])
+
+    def _text(self, text: str) -> None:
+        self.runs.append((self.stack[-1], unescape(text)))
+
+    def _start(self, name: str, attrs: str) -> None:
+        if name in CLOSES_P:
+            self._imply({"p"}, SCOPE)
+            top = self.tag[self.stack[-1]]
+            if _HEADING.match(name) and _HEADING.match(top):
+                self._cut(len(self.stack) - 1)
+        if name in IMPLIED:
+            self._imply(*IMPLIED[name])
+        if name in ("br", "hr"):
+            self.runs.append((self.stack[-1], None))
+        elif name == "input":
+            self._open(name, attrs)
+            self._cut(len(self.stack) - 1)
+        elif name not in VOID:
+            self._open(name, attrs)
+
+    def _open(self, name: str, attrs: str) -> None:
+        parent = self.stack[-1]
         self.tag.append(name)
-        self.parent.append(stack[-1])
+        self.parent.append(parent)
         self.attrs.append(attrs)
-        self.depth.append(self.depth[stack[-1]] + 1)
+        self.depth.append(self.depth[parent] + 1)
         if name in BLOCK:
-            self.runs.append((stack[-1], None))
-        stack.append(len(self.tag) - 1)
-
-    def _close(self, stack, name) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                if name in BLOCK:
-                    self.runs.append((stack[k], None))
-                del stack[k:]
-                return
-            if name not in BLOCK and self.tag[stack[k]] in BLOCK:
-                return
-
-    def _imply(self, stack, names, boundary) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in boundary:
-                return
+            self.runs.append((parent, None))
+            self.blocks.append(len(self.stack))
+        self.where.setdefault(name, []).append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
+
+    def _cut(self, height: int) -> None:
+        """Close what stands in the stack from ``height`` on."""
+        while len(self.stack) > height:
+            self.where[self.tag[self.stack.pop()]].pop()
+        while self.blocks and self.blocks[-1] >= height:
+            self.blocks.pop()
+
+    def _close(self, name: str) -> None:
+        """An end tag closes the nearest element of its name; one of inline text closes none beyond a block."""
+        k = (self.where.get(name) or [0])[-1]
+        if k and (name in BLOCK or not self.blocks or self.blocks[-1] < k):
+            if name in BLOCK:
+                self.runs.append((self.stack[k], None))
+            self._cut(k)
+
+    def _imply(self, names: set[str], boundary: set[str]) -> None:
+        """Close the nearest element of ``names`` unless one of ``boundary`` stands nearer."""
+        k, b = (max((self.where[x][-1] for x in some if self.where.get(x)), default=0) for some in (names, boundary - names))
+        if k > b:
+            self._cut(k)
 
 
 def attribute_groups(attrs: str) -> tuple[list[int], bool, bool]:
@@ -163,70 +231,63 @@ def attribute_groups(attrs: str) -> tuple[list[int], bool, bool]:
 
 
 def node_features(page: Page) -> np.ndarray:
-    """One row for each element of a page."""
-    n, parent = len(page.tag), page.parent
-    own = np.zeros((n, 7))  # characters, words, link characters, signs, elements, inputs, paragraph characters
-    in_link = [False] * n
-    first = np.zeros(n)
+    """One row for each element of a page, in order; an element's subtree is the rows that follow it."""
+    tags, parent, n = page.tag, page.parent, len(page.tag)
+    in_link, sizes, children, p_children, order = [False] * n, [1] * n, [0] * n, [0] * n, [0] * n
+    groups, hidden = np.zeros((n, len(TOKENS)), np.float32), np.zeros(n, np.float32)
+    # What the elements above say: a row for each distinct sum of it, shared by all elements beneath.
+    kinds, above_of = [np.zeros(len(TOKENS) + 3, np.float32)], [0] * n
+    own_kind, item = [0] * n, [False] * n
     for i in range(n):
-        in_link[i] = page.tag[i] == "a" or (i > 0 and in_link[parent[i]])
-    position = 0
-    seen = np.zeros(n, bool)
-    for node, text in page.runs:
-        if text is None:
-            continue
-        k = len(text)
-        if not text.isspace():
-            own[node] += (k, text.count(" ") + 1, k * in_link[node], text.count(".") + text.count(","), 0, 0, k * (page.tag[node] == "p"))
-        if not seen[node]:
-            seen[node], first[node] = True, position
-        position += k
-    own[:, 4] = 1
-    own[:, 5] = [t in ("input", "button", "select", "textarea") for t in page.tag]
-    groups = np.zeros((n, len(TOKENS)))
-    hidden = np.zeros(n)
-    above = np.zeros((n, len(TOKENS) + 4))
-    tag_row = np.zeros((n, len(TAGS)))
-    children, p_children = np.zeros(n), np.zeros(n)
-    order = np.zeros(n)
-    for i in range(n):
-        tag = page.tag[i]
-        if page.attrs[i]:
-            g, h, _ = attribute_groups(page.attrs[i])
-            groups[i], hidden[i] = g, h
-        if tag in TAGS:
-            tag_row[i, TAGS.index(tag)] = 1
+        tag, q = tags[i], parent[i]
+        in_link[i] = tag == "a" or (i > 0 and in_link[q])
+        above_of[i] = own_kind[q] if i else 0
+        own_kind[i] = above_of[i]
         if i:
-            q = parent[i]
             order[i] = children[q]
             children[q] += 1
             p_children[q] += tag == "p"
-            above[i] = above[q]
-            above[i, : len(TOKENS)] = np.maximum(above[q, : len(TOKENS)], groups[q])
-            above[i, len(TOKENS)] = max(above[q, len(TOKENS)], page.tag[q] in ("article", "main"))
-            above[i, len(TOKENS) + 1] = max(above[q, len(TOKENS) + 1], page.tag[q] in _NEGATIVE_TAGS)
-            above[i, len(TOKENS) + 2] = max(above[q, len(TOKENS) + 2], hidden[q])
-            above[i, len(TOKENS) + 3] = max(above[q, len(TOKENS) + 3], tag == "li" or page.tag[q] == "li")
-    total = own.copy()
-    under = np.zeros((n, 3))  # article or main tags, negative tags, tokens of article beneath
-    under[:, 0] = [t in ("article", "main") for t in page.tag]
-    under[:, 1] = [t in _NEGATIVE_TAGS for t in page.tag]
-    under[:, 2] = groups[:, 0] > 0
+            item[i] = item[q] or tag == "li"
+        if page.attrs[i]:
+            counts, hides, _ = attribute_groups(page.attrs[i])
+            groups[i], hidden[i] = counts, hides
+        if page.attrs[i] or tag in _TELLING:
+            row = kinds[above_of[i]].copy()
+            row[: len(TOKENS)] = np.maximum(row[: len(TOKENS)], groups[i])
+            row[len(TOKENS) :] = np.maximum(row[len(TOKENS) :], (tag in ("article", "main"), tag in _NEGATIVE_TAGS, hidden[i]))
+            own_kind[i] = len(kinds)
+            kinds.append(row)
+    above = np.column_stack([np.array(kinds)[above_of], item])
     for i in range(n - 1, 0, -1):
-        total[parent[i]] += total[i]
-        under[parent[i]] += under[i]
-        if not seen[parent[i]] and seen[i]:
-            first[parent[i]], seen[parent[i]] = first[i], True
-    chars = np.maximum(total[:, 0], 1)
-    page_chars = max(1.0, total[0, 0])
-    up = np.array(parent)
-    up[0] = 0
+        sizes[parent[i]] += sizes[i]
+    node, length, spaces, stops, blank = (np.array(c, np.int64) for c in zip(*((k, len(t), t.count(" ") + 1, t.count(".") + t.count(","), t.isspace()) for k, t in page.runs if t is not None))) if any(t is not None for _, t in page.runs) else [np.zeros(0, np.int64)] * 5
+    position = np.cumsum(length) - length
+    first = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(first, node, position)
+    first = first.tolist()
+    for i in range(n - 1, 0, -1):
+        first[parent[i]] = min(first[parent[i]], first[i])
+    last = max(1, int(length.sum()))
+    first = np.minimum(np.array(first), last) / last
+    told = length * (blank == 0)
+    of_node = lambda x: np.bincount(node, x, n)
+    link, para = np.array(in_link)[node], np.array([t == "p" for t in tags])[node]
+    fields = [t in ("input", "button", "select", "textarea") for t in tags]
+    # Characters, words, link characters, signs, elements, inputs, paragraph characters; article or main tags, negative tags, article words.
+    own = np.column_stack([of_node(told), of_node(spaces * (blank == 0)), of_node(told * link), of_node(stops * (blank == 0)), np.ones(n), fields, of_node(told * para), [t in ("article", "main") for t in tags], [t in _NEGATIVE_TAGS for t in tags], groups[:, 0] > 0]).astype(float)
+    upto = np.concatenate([np.zeros((1, own.shape[1])), own.cumsum(0)])
+    total = upto[np.arange(n) + np.array(sizes)] - upto[:-1]
+    tag_row = np.zeros((n, len(TAGS)), np.float32)
+    known = np.array([_TAG_AT.get(t, -1) for t in tags])
+    tag_row[np.flatnonzero(known >= 0), known[known >= 0]] = 1
+    chars, up = np.maximum(total[:, 0], 1), np.maximum(np.array(parent), 0)
+    children, p_children, order = np.array(children), np.array(p_children), np.array(order)
     return np.column_stack([
-        np.array(page.depth), np.log1p(total[:, 0]), total[:, 0] / page_chars, total[:, 0] / np.maximum(total[up, 0], 1), np.log1p(total[:, 1]),
+        np.array(page.depth), np.log1p(total[:, 0]), total[:, 0] / max(1.0, total[0, 0]), total[:, 0] / np.maximum(total[up, 0], 1), np.log1p(total[:, 1]),
         total[:, 2] / chars, total[:, 3] / chars, total[:, 4] / chars, np.log1p(total[:, 5]), total[:, 6] / chars, np.log1p(own[:, 0]),
-        children, p_children, order, children[up], p_children[up], order / np.maximum(children[up], 1), first / max(1, position),
-        hidden, under, groups, above, tag_row,
-    ])
+        children, p_children, order, children[up], p_children[up], order / np.maximum(children[up], 1), first,
+        hidden, total[:, 7:10], groups, above, tag_row,
+    ]).astype(np.float32)
 
 
 def decided(page: Page) -> list[bool]:
@@ -257,12 +318,17 @@ def kept_text(page: Page, kept: list[bool]) -> str:
 # Training pages ------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(size: int = 4000) -> list[str]:
+    r = random.Random(size)
+    return ["".join(r.choices(("ka", "lo", "mi", "ren", "tu", "sa", "ver", "no", "é", "und"), k=r.randint(1, 4))) for _ in range(size)]
+
+
 def _words(r: random.Random, low: int, high: int, full: bool = True) -> str:
-    pick = lambda: "".join(r.choice(("ka", "lo", "mi", "ren", "tu", "sa", "ver", "no", "é", "und")) for _ in range(r.randint(1, 4)))
-    words = [pick() for _ in range(r.randint(low, high))]
-    for i in range(len(words)):
-        if full and r.random() < 0.12:
-            words[i] += r.choice(".,.,;")
+    n = r.randint(low, high)
+    words = r.choices(_vocabulary(), k=n)
+    if full:
+        words = [w + sign for w, sign in zip(words, r.choices(("", ".", ",", ";"), (88, 6, 3, 3), k=n))]
     return " ".join(words).capitalize() + "." * full
 
 
@@ -301,7 +367,7 @@ def _boilerplate(r: random.Random, kind: str) -> str:
     if kind == "form":
         return _element(r, r.choice(("form", "form", "div")), TOKENS["form"], f"<label>{_words(r, 1, 6)}</label><input name=q><button>{_words(r, 1, 2, False)}</button>" + _plain(r, 1, 12) * (r.random() < 0.4))
     if kind == "notice":
-        return _element(r, r.choice(("div", "div", "section", "aside", "p")), TOKENS["notice"], _plain(r, 3, 40) if r.random() < 0.6 else _words(r, 3, 30) + f"<button>{_words(r, 1, 2, False)}</button>")
+        return _element(r, r.choice(("div", "div", "section", "aside", "p", "noscript")), TOKENS["notice"], _plain(r, 3, 40) if r.random() < 0.6 else _words(r, 3, 30) + f"<button>{_words(r, 1, 2, False)}</button>")
     if kind == "share":
         return _element(r, "div", TOKENS["share"][:5], _links(r, 2, 5))
     each = "".join(_element(r, r.choice(("div", "li", "article", "section", "p")), ["comment", "comment-body", "reply"], r.choice((_words(r, 2, 60), f"<p>{_words(r, 2, 60)}</p>"))) for _ in range(r.randint(1, 5)))
@@ -397,8 +463,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for batch in slices(whole, 2, PAGE_BYTES):
                 texts = extract_texts(batch.column(2).to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
