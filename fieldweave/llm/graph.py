@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.storage import shared_folder
+from fieldweave.llm.storage import drop, stage_at
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b); the root is its component's smallest node.
 
     Each round points every node at the smallest node it is joined to, for its larger and then
-    its smaller neighbours. Rounds end when an exact digest of the edges no longer changes. State is
-    checkpointed to shared storage after each round, so lineage stays short and lost executors
-    cost no earlier round.
+    its smaller neighbours. Rounds end when an exact digest of the edges no longer changes; their number grows with the
+    logarithm of the longest path. The state of a round is a table in shared storage, deleted once the next one is written, so
+    lineage stays short and lost executors cost no earlier round.
     """
-    shared_folder(edges.sparkSession)
-    state = _oriented(edges).distinct().checkpoint()
+    state, path = stage_at(_oriented(edges).distinct(), "stars")
     before = _digest(state)
-    for _ in range(most_rounds):
-        if not before[0]:
+    while before[0]:
+        after, new = stage_at(_small_star(_large_star(state)), "stars")
+        now = _digest(after)
+        drop(path)
+        state, path = after, new
+        if now == before:
             break
-        state = _small_star(_large_star(state)).checkpoint()
-        after = _digest(state)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        before = now
     stars = state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return stars.unionByName(state.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
