@@ -3,14 +3,14 @@
 A word's features are its affixes and letter n-grams (with word borders) and the word itself
 as a lexicon entry, hashed into one table of weights a label. Learned transition weights
 join the labels of neighbouring words, so a code-switched text is labelled word by word
-by forward-backward; the language of a text is the one with the largest share of the
-words' marginal probabilities, weighed against those of its opening words (four learned
-weights; in a switched text the opening is often telling). Weights are fitted by gradient ascent on the conditional
+by forward-backward over the whole text; its language is the one with the largest share of the
+words' marginal probabilities. Weights are fitted by gradient ascent on the conditional
 log-likelihood of a bounded sample of labelled documents, some spliced from two languages.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import reduce
 from itertools import chain, islice
@@ -20,32 +20,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.packing import slices
+
 #: Size of the hashed weight table.
 TABLE_BITS = 18
-#: Letters of a word that features look at.
+#: Letters of a word; a longer run of letters is several words.
 LETTERS = 24
-#: Words of one chain; a longer text is a row of chains.
+#: Words that inference steps over at once; what a block of words hands on to the next is exact.
 CHAIN = 64
+#: Blocks, and characters of a text, that are worked on at once, which bounds a worker's memory.
+BLOCKS_AT_ONCE, TEXT_AT_ONCE = 4096, 1 << 22
 #: Words whose emissions a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
-#: ASCII that belongs to no word becomes a space.
-_FOLD = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+#: Ranges of scripts written without spaces (Thai and Lao, Burmese, Khmer, kana, ideographs), of which two letters make a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Signs, digits and spaces, which part words.
+_PARTING = "\x00-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2bff\u2e00-\u2e7f\u3000-\u303f\ufe30-\ufe4f\uff00-\uff20\uff3b-\uff40\uff5b-\uff65\U0001f000-\U0001faff"
+_WORD = re.compile(f"[{_UNSPACED}]{{1,2}}|[^{_PARTING}{_UNSPACED}]{{1,{LETTERS}}}")
 UNDETERMINED = "und"
-#: Numbers of opening words that weigh in a text's language.
-OPENINGS = (1, 4, 16)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_FOLD).split()
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def has_letter(text: str | None) -> bool:
     return text is not None and (any(c.isascii() and c.isalpha() for c in text[:64]) or any(c.isalpha() for c in text))
 
 
-def features_of(words: list[bytes]) -> np.ndarray:
+def features_of(words: list[str]) -> np.ndarray:
     """Table rows of each word's features; the last table row stands for no feature."""
-    letters = np.array([w.decode("utf-8", "replace")[:LETTERS] for w in words], dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
+    letters = np.array(words, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
     n = (letters > 0).sum(1)
     rows = np.arange(len(words))
     x = np.zeros((len(words), LETTERS + 2), np.uint64)
@@ -82,34 +87,6 @@ class ChainModel:
         self.labels = labels
         self.weights = np.zeros((1 << TABLE_BITS, len(labels)), np.float32)
         self.moves = np.zeros((len(labels), len(labels)), np.float32)
-        #: Weights of the evidence of a whole text and of its first OPENINGS words.
-        self.head = np.array([1.0, 0.0, 0.0, 0.0])
-
-    def evidence(self, marginals: np.ndarray) -> np.ndarray:
-        """Log shares of the labels among all words of a text and among its opening words."""
-        return np.log(np.stack([marginals.mean(0, dtype=np.float64), *(marginals[:n].mean(0, dtype=np.float64) for n in OPENINGS)]) + 0.02)
-
-    def decide(self, marginals: np.ndarray) -> np.ndarray:
-        """Probabilities of a text's languages from its words' label probabilities."""
-        z = self.head @ self.evidence(marginals)
-        e = np.exp(z - z.max())
-        return e / e.sum()
-
-    def fit_head(self, texts: list[str], langs: list[str], steps: int = 300) -> ChainModel:
-        """Learn the weights of ``decide`` by gradient ascent on whole labelled texts."""
-        marginal, counts = Labeller(self).word_marginals(texts)
-        ends = np.cumsum(counts)
-        rows = [(self.evidence(marginal[a:b]), self.labels.index(lang)) for a, b, lang in zip(ends - counts, ends, langs) if b > a]
-        if not rows:
-            return self
-        x, y = np.stack([r[0] for r in rows]), np.array([r[1] for r in rows])
-        for _ in range(steps):
-            z = np.einsum("f,nfk->nk", self.head, x)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            slope = x[np.arange(len(y)), :, y].mean(0) - np.einsum("nk,nfk->f", p, x) / len(y)
-            self.head = self.head + 1.0 * slope
-        return self
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         out = np.zeros((len(features), len(self.labels)), np.float32)
@@ -117,23 +94,40 @@ class ChainModel:
             out += self.weights[features[:, f]]
         return out
 
-    def marginals(self, emissions: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over chains (rows) at once: each word's label probabilities, and the expected moves between labels. ``real`` tells words from padding, which comes last."""
+    def marginals(self, emissions: np.ndarray, real: np.ndarray, enter=None, leave=None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over chains (rows) at once: each word's label probabilities, and the expected moves between labels.
+
+        ``real`` tells words from padding, which comes last. ``enter`` and ``leave`` are what the words before and after a
+        chain say of its first and last label; nothing if absent.
+        """
         chains, length, k = emissions.shape
         local = np.exp(emissions - emissions.max(2, keepdims=True))
         moves = np.exp(self.moves)
         forward, backward = np.empty_like(local), np.ones_like(local)
-        forward[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
+        after = np.float32(1.0) if leave is None else leave
+        a = local[:, 0] if enter is None else local[:, 0] * enter
+        forward[:, 0] = a / a.sum(1, keepdims=True)
         for t in range(1, length):
             a = (forward[:, t - 1] @ moves) * local[:, t]
             forward[:, t] = a / a.sum(1, keepdims=True)
+        backward[:, -1] = after
         for t in range(length - 2, -1, -1):
             b = (local[:, t + 1] * backward[:, t + 1]) @ moves.T
-            backward[:, t] = np.where(real[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
+            backward[:, t] = np.where(real[:, t + 1, None], b / b.sum(1, keepdims=True), after)
         p = forward * backward
         p /= p.sum(2, keepdims=True)
         return p, (forward, backward, local, moves)
 
+    def transfer(self, emissions: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """For each chain, up to a factor, the weight of all its labellings from a first label (its own emission included) to a last one."""
+        local = np.exp(emissions - emissions.max(2, keepdims=True))
+        moves = np.exp(self.moves)
+        out = local[:, 0, :, None] * np.eye(local.shape[2], dtype=np.float32)
+        for t in range(1, local.shape[1]):
+            new = (out @ moves) * local[:, t, None, :]
+            out = np.where(real[:, t, None, None], new / new.max((1, 2), keepdims=True), out)
+        return out
+
     def expected_moves(self, parts, real: np.ndarray) -> np.ndarray:
         forward, backward, local, moves = parts
         after = (local * backward)[:, 1:]
@@ -141,10 +135,10 @@ class ChainModel:
         joint /= np.maximum(joint.sum((2, 3), keepdims=True), 1e-30)
         return (joint * real[:, 1:, None, None]).sum((0, 1))
 
-    def fit(self, chains: list[tuple[list[bytes], list[int]]], steps: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> ChainModel:
+    def fit(self, chains: list[tuple[list[str], list[int]]], steps: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> ChainModel:
         """Adaptive gradient ascent on the conditional log-likelihood of labelled chains."""
         length = max(len(w) for w, _ in chains)
-        vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[str, int] = {}
         index = np.zeros((len(chains), length), np.int64)
         truth = np.zeros((len(chains), length), np.int64)
         real = np.zeros((len(chains), length), bool)
@@ -181,52 +175,79 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.model.labels)), np.float32)
 
-    def word_marginals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Label probabilities of all words of the texts, one after the other, and the number of words of each."""
+    def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words of the texts, one after the other, and the number of words of each."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        split = [words_of(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        index, known = self.index, len(self.index)
-        codes = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(split)), np.int64, int(counts.sum()))
+        index, known, parts, counts = self.index, len(self.index), [], []
+        for text in texts:
+            at, n, text = 0, 0, text or ""
+            while at < len(text):
+                # A very long text is read a part at a time, from one space to another where there is one.
+                end = text.find(" ", at + TEXT_AT_ONCE, at + 2 * TEXT_AT_ONCE) if len(text) - at > TEXT_AT_ONCE else len(text)
+                end = end if end > 0 else at + TEXT_AT_ONCE
+                words = words_of(text[at:end])
+                parts.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+                at, n = end, n + len(words)
+            counts.append(n)
         if len(index) > known:
             fresh = list(islice(index, known, None))
             new = [self.model.emissions(features_of(fresh[i : i + 20_000])) for i in range(0, len(fresh), 20_000)]
             self.rows = np.concatenate([self.rows, *new])
-        # Chains of CHAIN words; a text begins a chain.
-        before = np.cumsum(counts) - counts
-        places = np.arange(len(codes)) - np.repeat(before, counts)
-        chains = -(-counts // CHAIN)
-        slot = np.repeat((np.cumsum(chains) - chains) * CHAIN, counts) + places
-        out = np.empty((len(codes), len(self.model.labels)), np.float32)
-        total = int(chains.sum())
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(counts, np.int64)
+
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the label probabilities of each text's words, and the number of its words.
+
+        Texts are cut into blocks of CHAIN words. The transfers of the blocks, multiplied from either end, give what the words
+        before and after say of a block, so its marginals are those of forward-backward over the whole text.
+        """
+        codes, counts = self._codes(texts)
+        k, blocks = len(self.model.labels), -(-counts // CHAIN)
+        first, total = np.cumsum(blocks) - blocks, int(blocks.sum())
+        sums = np.zeros((len(texts), k))
         if not total:
-            return out, counts
-        grid = np.full(total * CHAIN, -1, np.int64)
-        grid[slot] = codes
-        grid = grid.reshape(total, CHAIN)
-        marginal = np.empty((total, CHAIN, out.shape[1]), np.float32)
-        for at in range(0, total, 4096):
-            part = grid[at : at + 4096]
-            real = part >= 0
-            marginal[at : at + 4096] = self.model.marginals(self.rows[np.maximum(part, 0)] * real[:, :, None], real)[0]
-        return marginal.reshape(-1, out.shape[1])[slot], counts
+            return sums, counts
+        of_text = np.repeat(np.arange(len(texts)), blocks)
+        start = np.repeat(np.cumsum(counts) - counts, blocks) + (np.arange(total) - first[of_text]) * CHAIN
+        size = np.minimum(CHAIN, np.cumsum(counts)[of_text] - start)
+        enter, leave = np.ones((total, k), np.float32), np.ones((total, k), np.float32)
+
+        def words(rows):
+            real = np.arange(CHAIN) < size[rows][:, None]
+            return self.rows[codes[np.minimum(start[rows][:, None] + np.arange(CHAIN), len(codes) - 1)]] * real[:, :, None], real
+
+        many = np.flatnonzero(blocks[of_text] > 1)
+        if len(many):
+            whole = np.empty((total, k, k), np.float32)
+            for at in range(0, len(many), BLOCKS_AT_ONCE):
+                rows = many[at : at + BLOCKS_AT_ONCE]
+                whole[rows] = self.model.transfer(*words(rows))
+            moves, long = np.exp(self.model.moves), np.argsort(-blocks, kind="stable")
+            most = blocks[long]
+            for j in range(1, int(most[0])):
+                now = long[: np.searchsorted(-most, -j)]
+                rows = first[now] + j
+                a = np.einsum("ni,nij->nj", enter[rows - 1], whole[rows - 1]) @ moves
+                enter[rows] = a / a.sum(1, keepdims=True)
+                rows = first[now] + blocks[now] - 1 - j
+                b = np.einsum("nij,nj->ni", whole[rows + 1], leave[rows + 1]) @ moves.T
+                leave[rows] = b / b.sum(1, keepdims=True)
+        for at in range(0, total, BLOCKS_AT_ONCE):
+            rows = np.arange(at, min(total, at + BLOCKS_AT_ONCE))
+            emissions, real = words(rows)
+            p = self.model.marginals(emissions, real, enter[rows], leave[rows])[0]
+            np.add.at(sums, of_text[rows], (p * real[:, :, None]).sum(1))
+        return sums, counts
 
     def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        marginal, counts = self.word_marginals(texts)
-        ends = np.cumsum(counts)
-        out = []
-        for text, a, b in zip(texts, ends - counts, ends):
-            if b == a or not has_letter(text):
-                out.append((UNDETERMINED, 0.0))
-                continue
-            share = self.model.decide(marginal[a:b])
-            k = int(share.argmax())
-            out.append((self.model.labels[k], float(min(1.0, max(0.0, share[k])))))
-        return out
+        sums, counts = self.shares(texts)
+        share = sums / np.maximum(counts, 1)[:, None]
+        best, score = share.argmax(1), np.clip(share.max(1), 0.0, 1.0)
+        return [(self.model.labels[b], float(p)) if n and has_letter(text) else (UNDETERMINED, 0.0) for text, n, b, p in zip(texts, counts, best, score)]
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -234,23 +255,21 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def training_chains(rows: list[tuple[str, str]], labels: list[str], per_document: int = 6, length: int = 32) -> list[tuple[list[bytes], list[int]]]:
-    """Chains of words with their labels from labelled texts; every third is spliced from two texts."""
+def pieces_of(text: str | None, per_document: int = 6, length: int = 32) -> list[list[str]]:
+    """Stretches of a text, evenly spread over it."""
+    words = words_of(text)
+    starts = range(0, len(words), length)
+    return [words[s : s + length] for s in list(starts)[:: max(1, len(starts) // per_document)][:per_document]]
+
+
+def training_chains(pieces: list[tuple[list[str], str]], labels: list[str], length: int = 32) -> list[tuple[list[str], list[int]]]:
+    """Chains of words with their labels from stretches of labelled texts; every third is spliced from two."""
     number = {label: i for i, label in enumerate(labels)}
-    pure = []
-    for text, lang in rows:
-        words = words_of(text)
-        starts = range(0, max(1, len(words)), length)
-        for s in list(starts)[:: max(1, len(starts) // per_document)][:per_document]:
-            piece = words[s : s + length]
-            if piece:
-                pure.append((piece, number[lang]))
-    order = sorted(range(len(pure)), key=lambda i: zlib.crc32(b" ".join(pure[i][0])))
+    pure = sorted(((zlib.crc32(" ".join(words).encode("utf-8", "replace")), words, number[lang]) for words, lang in pieces), key=lambda x: x[0])
     out = []
-    for j, i in enumerate(order):
-        words, label = pure[i]
+    for j, (_, words, label) in enumerate(pure):
         if j % 3 == 0:
-            other, second = pure[order[(j * 7 + 1) % len(order)]]
+            _, other, second = pure[(j * 7 + 1) % len(pure)]
             cut = len(words) // 2
             out.append((words[:cut] + other[: length - cut], [label] * cut + [second] * len(other[: length - cut])))
         else:
@@ -258,19 +277,28 @@ def training_chains(rows: list[tuple[str, str]], labels: list[str], per_document
     return [c for c in out if c[0]]
 
 
-def train_language_model(docs: DataFrame, sample_per_label: int = 500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ChainModel | None:
-    """Fit on about ``sample_per_label`` labelled documents of each language (a documented bound; chosen by a hash of the id)."""
+def train_language_model(docs: DataFrame, sample_per_label: int = 500, most_labels: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ChainModel | None:
+    """Fit on about ``sample_per_label`` labelled documents of each of the ``most_labels`` commonest languages (documented bounds; chosen by a hash of the id).
+
+    Only some stretches of words of those documents come to the driver, so their bytes are bounded too.
+    """
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()}
     if not counts:
         return None
     labels = sorted(counts)
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chance = F.create_map(*chain.from_iterable((F.lit(k), F.lit(sample_per_label / n)) for k, n in counts.items()))
-    rows = labelled.where(unit < chance[F.col(label_col)]).select(id_col, text_col, label_col).limit(4 * sample_per_label * len(labels)).collect()
-    pairs = [(r[1], r[2]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
-    chains = training_chains(pairs, labels)
-    return ChainModel(labels).fit(chains).fit_head(*map(list, zip(*pairs))) if chains else None
+    chosen = labelled.where(unit < chance[F.col(label_col)]).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+
+    def run(batches):
+        for batch in batches:
+            found = [(i, " ".join(p), lang) for i, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3))) for p in pieces_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*found)) or [()] * 3], names=["id", "piece", "label"])
+
+    rows = chosen.limit(4 * sample_per_label * len(labels)).mapInArrow(run, "id string, piece string, label string").collect()
+    chains = training_chains([(r.piece.split(" "), r.label) for r in sorted(rows, key=lambda r: (str(r.id), r.piece))], labels)
+    return ChainModel(labels).fit(chains) if chains else None
 
 
 def identify_languages(docs: DataFrame, model: ChainModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,14 +308,11 @@ def identify_languages(docs: DataFrame, model: ChainModel | None, id_col: str =
     rows). Repeated rows and null ids are kept as they come.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index(text_col)
-    names = [f.name for f in docs.schema.fields]
 
     def run(batches):
         labeller = Labeller(held.value) if held.value is not None else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, text_at, TEXT_AT_ONCE):
                 texts = batch.column(text_at).to_pylist()
                 found = labeller.languages(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "lang_score"])
