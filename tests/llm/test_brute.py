@@ -193,7 +193,7 @@ def test_substring_dedup_reports_every_place(spark):
         assert any(abs(a - begin) <= 2 and abs(b - begin - 80) <= 2 for a, b, _ in found[2])
 
 
-@pytest.mark.parametrize("length, changed, least", [(60, 0.1, 0.97), (60, 0.15, 0.93), (80, 0.18, 0.93), (45, 0.1, 0.93)])
+@pytest.mark.parametrize("length, changed, least", [(60, 0.1, 0.99), (50, 0.15, 0.9), (60, 0.2, 0.9), (80, 0.2, 0.97), (45, 0.1, 0.93), (40, 0, 1)])
 def test_substring_dedup_recalls_fuzzy_passages(spark, length, changed, least):
     """Passages with evenly drawn substitutions, each planted in two documents, are found at the identity that is promised."""
     r = random.Random(8)
@@ -338,3 +338,19 @@ def test_pipeline(spark, tokenizer):
     texts = {i: t for i, t in texts.items() if not hits[i][1]}
     assert len(texts) > 100
     assert brute.check_packing(corpus_pipeline.run(spark, SMALL).collect(), texts, tokenizer) == 0
+
+
+def test_common_words_in_order():
+    """Bit rows against the plain table."""
+    from fieldweave.llm.substring_dedup import _agree
+
+    r = random.Random(12)
+    for _ in range(200):
+        a, b = ([r.randrange(4) for _ in range(r.randint(0, 150))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert _agree(np.array(a, np.uint32), np.array(b, np.uint32)) == row[-1]
