@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.storage import stage
@@ -50,18 +50,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.struct("doc_id", "pos") > F.col("first"))
         .select("doc_id", F.explode(F.array(*[F.col("pos") + k for k in range(window)])).alias("line"))
         .groupBy("doc_id")
-        .agg(F.collect_set("line").alias("gone"))
+        .agg(F.array_sort(F.collect_set("line")).alias("gone"))
+        .select("doc_id", _marks("gone").alias("marks"), F.size("gone").alias("n_gone"))
     )
-    # The lines are split only where some go.
-    own, gone = F.col(f"d.`{text_col}`").cast("string"), F.col("g.gone")
-    split = F.split(own, "\n", -1)
-    n_lines = F.when(own.isNull(), 0).otherwise(F.size(split))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
-    text = F.when(gone.isNull(), own).when(F.size(gone) >= F.size(split), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    report = {text_col: text, "n_lines_in": n_lines.cast("long"), "n_lines_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    # A text is split once; each of its lines looks up its own mark.
+    own, marks = F.col(f"d.`{text_col}`").cast("string"), F.col("g.marks")
+    kept = F.filter(F.split(own, "\n", -1), lambda line, i: F.substring(marks, i + 1, F.lit(1)) != F.lit(b"0"))
+    text = F.when(marks.isNull(), own).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(own.isNull(), 0).otherwise(F.size(F.split(own, "\n", -1)))
+    report = {text_col: text, "n_lines_in": n_lines.cast("long"), "n_lines_removed": F.coalesce(F.col("g.n_gone"), F.lit(0)).cast("long")}
     others = [F.col(f"d.`{c}`") for c in docs.columns if c not in report]
     return (
         docs.alias("d")
         .join(covered.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left")
         .select(*others, *[c.alias(name) for name, c in report.items()])
     )
+
+
+def _marks(gone: str) -> Column:
+    """A byte for each line up to the last that goes: 0 for those of the sorted positions ``gone``, 1 for others."""
+    run = lambda x, i: F.concat(F.repeat(F.lit("1"), x - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1), F.lit("0"))
+    return F.array_join(F.transform(gone, run), "").cast("binary")
