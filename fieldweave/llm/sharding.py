@@ -21,7 +21,7 @@ _COARSE_BITS = 12
 
 def _splitters(records: DataFrame, total: int, ranges: int, sample_size: int) -> DataFrame:
     """One row for each coarse cell of the key space: the rank of its first range and its splitters (at most ``ranges`` in all)."""
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), "row", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = records.where(unit < F.col("size") * F.lit(sample_size / max(total, 1))).select("key")
     # The sample is bounded by sample_size; its quantiles are the splitters.
     cuts = sample.withColumn("tile", F.ntile(ranges).over(W.orderBy("key"))).groupBy("tile").agg(F.max("key").alias("cut")).select("cut").distinct()
@@ -57,7 +57,7 @@ def shard_by_bytes(
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
     )
-    records = stage(raw, "records")
+    records = stage(raw.withColumn("row", F.monotonically_increasing_id()), "records")
     total = records.agg(F.sum("size")).first()[0] or 0
     target = max(1, total // ranges)
     # Texts that overfill a range by themselves: fewer than ``ranges`` of them can exist.
@@ -71,7 +71,7 @@ def shard_by_bytes(
             "doc_id", "size", "text_crc32", "key",
             (F.col("before") + F.size(F.filter("cuts", lambda c: c < F.col("key")))).cast("long").alias("range"),
             F.when(F.col("pieces").isNull(), F.lit(None).cast("long")).otherwise(F.col("key")).alias("hot_key"),
-            F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")), F.lit(0)).cast("long").alias("piece"),
+            F.coalesce(F.pmod(F.xxhash64("row", F.lit("piece")), F.col("pieces")), F.lit(0)).cast("long").alias("piece"),
         )
     )
     bucket = ["range", "hot_key", "piece"]

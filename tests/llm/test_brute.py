@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -19,6 +20,7 @@ from fieldweave.llm.exact_dedup import build_filter, decode, exact_dedup, merge_
 from fieldweave.llm.graph import components
 from fieldweave.llm.html_extract import extract_texts, train
 from fieldweave.llm.language_id import Labeller, held_out, train_language_model
+from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import layout
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import linked, links
@@ -354,3 +356,23 @@ def test_common_words_in_order():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert _agree(np.array(a, np.uint32), np.array(b, np.uint32)) == row[-1]
+
+
+def test_line_dedup_long_texts(spark):
+    """A hundred thousand lines of which half repeat, and a text that loses every line."""
+    lines = [f"line {k}" for k in range(50_000)]
+    rows = [(1, "\n".join(lines + lines)), (2, "\n".join(lines)), (3, "\n".join(["own", *lines[:100], "end", "of", "it"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_lines_in, r.n_lines_removed) for r in line_dedup(docs).collect()}
+    assert time.time() - began < 30
+    assert got == {1: (rows[1][1], 100_000, 50_000), 2: ("", 50_000, 50_000), 3: ("own\nend\nof\nit", 104, 100)}
+
+
+def test_sharding_splits_a_hot_text_by_row(spark):
+    """Copies of one text under one id, or none, are spread like any others."""
+    rows = [(None if i % 2 else 7, "hot text " * 40) for i in range(3000)] + [(i, "text %d " % i * 9) for i in range(3000)]
+    sizes = Counter()
+    for x in shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), ranges=256).collect():
+        sizes[x.shard] += x["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sizes.total()
