@@ -290,7 +290,7 @@ def test_language_held_out(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("how", [{}, {"block_bytes": 3000}, {"carry": True}])
+@pytest.mark.parametrize("how", [{}, {"table_bytes": 60_000}, {"carry": True}, {"carry": True, "table_bytes": 30_000}])
 def test_decontamination(spark, how):
     texts = texts_of(spark)
     items = [(r.item_id, r.text) for r in q.table(spark, SMALL, "benchmark").collect()] + [(900, "Short item"), (901, None), (902, "..")]

@@ -41,7 +41,7 @@ OPERATORS = {
     "line_dedup": line_dedup,
     "language_id": lambda d: identify_languages(d, train_language_model(d)),
     "decontaminate": lambda d: decontaminate(d, benchmark(d)),
-    "decontaminate_in_blocks": lambda d: decontaminate(d, benchmark(d), block_bytes=8),
+    "decontaminate_in_blocks": lambda d: decontaminate(d, benchmark(d), table_bytes=300),
     "decontaminate_carried": lambda d: decontaminate(d, benchmark(d), carry=True),
     "html": lambda d: extract_main_text(d.drop("url", "html").withColumnsRenamed({"doc_id": "page_id", "source": "url"}).withColumn("html", F.col("text")), sample_pages=40),
 }
@@ -97,5 +97,5 @@ def test_defined_results(spark):
 def test_decontaminate_carried_in_blocks(spark):
     """Rows with null or repeated ids each get the verdict of their own text, however large the benchmark."""
     docs = odd(spark, [*ODD, (None, "three four five", "en", "s", 15), (5, "nothing of it", "en", "s", 13)])
-    whole, blocks = (sorted(map(str, decontaminate(docs, benchmark(docs), carry=True, block_bytes=n).collect())) for n in (32 << 20, 8))
+    whole, blocks = (sorted(map(str, decontaminate(docs, benchmark(docs), carry=True, table_bytes=n).collect())) for n in (64 << 20, 300))
     assert len(whole) == len(ODD) + 2 and whole == blocks
