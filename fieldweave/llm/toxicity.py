@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are tagged as insults or threats (with weights), targets, negations or speech verbs.
-Three small transducers read a clause's tags: one marks insults and threats in the scope of a
-negation, one marks those in reported speech, one notes whether somebody is addressed. They are
-composed into one machine, run over every clause that holds an insult or threat, and the weights
-of the clauses' outputs make a text's score. The insult lexicon (words and stems) and the weights
+A word is read as the term of the lexicon it matches, or as a threatening verb, target, negation or speech verb.
+Five small transducers with weights on their arcs read a clause: one turns terms into insults of the term's weight, one turns verbs
+into threats, one marks both in the scope of a negation, one marks them in reported speech, one notes whether
+somebody is addressed. They are composed into one machine, run over every clause that holds an insult or threat, and the weights
+of the clauses' outputs make a text's score. The insult lexicon (words and stems) with its weights and the weights
 of the outputs are learned from labelled texts; the rest of the grammar is stated below.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.packing import slices
+
 # The grammar's closed word classes in English, German, French and Spanish.
 NEGATION = "not no never isn't aren't don't nicht kein keine keinen nie niemals pas jamais aucun ni nunca jamás tampoco".split()
 SPEECH = "said says say wrote writes called calls claimed claims quoted tweeted shouted sagte sagt schrieb nannte rief dit disait écrit appelé crié dijo dice escribió llamó gritó".split()
@@ -37,57 +40,84 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Transducer:
-    """A deterministic machine over tags: ``arcs`` gives for (state, tag) the next state and the tag put out; other tags pass unchanged."""
+    """A deterministic weighted machine: ``arcs`` gives for (state, symbol) the next state, the symbol put out and the arc's weight; other symbols pass unchanged with weight 1."""
 
     def __init__(self, start, arcs: dict, default=None):
         self.start, self.arcs, self.default = start, arcs, default or {}
 
-    def step(self, state, tag):
-        if (state, tag) in self.arcs:
-            return self.arcs[state, tag]
-        return self.default.get(state, state), tag
+    def step(self, state, symbol):
+        return self.arcs.get((state, symbol)) or (self.default.get(state, state), symbol, 1.0)
+
+    def run(self, symbols: list) -> tuple[list, list[float], object]:
+        """The symbols put out, their weights, and the last state."""
+        state, out, weights = self.start, [], []
+        for symbol in symbols:
+            state, said, weight = self.step(state, symbol)
+            out.append(said)
+            weights.append(weight)
+        return out, weights, state
 
-    def then(self, other: Transducer, tags: list[str]) -> Transducer:
-        """The composition of this machine with one that reads its output."""
+    def then(self, other: Transducer, symbols: list) -> Transducer:
+        """The composition of this machine with one that reads its output; weights of arcs multiply."""
         start = (self.start, other.start)
         arcs, todo, seen = {}, [start], {start}
         while todo:
             a, b = todo.pop()
-            for tag in tags:
-                a2, out = self.step(a, tag)
-                b2, out = other.step(b, out)
-                arcs[(a, b), tag] = ((a2, b2), out)
+            for symbol in symbols:
+                a2, said, weight = self.step(a, symbol)
+                b2, out, factor = other.step(b, said)
+                arcs[(a, b), symbol] = ((a2, b2), out, weight * factor)
                 if (a2, b2) not in seen:
                     seen.add((a2, b2))
                     todo.append((a2, b2))
         return Transducer(start, arcs)
 
 
-TAGS = ["other", "insult", "threat", "target", "negation", "speech", "quote"]
+CLASSES = ["other", "verb", "target", "negation", "speech", "quote"]
+
+
+def _insults(terms: dict[str, float]) -> Transducer:
+    """A term of the lexicon is an insult of its weight."""
+    return Transducer("any", {("any", ("term", t)): ("any", "insult", w) for t, w in terms.items()})
+
+
+def _threats() -> Transducer:
+    return Transducer("any", {("any", "verb"): ("any", "threat", 1.0)})
 
 
 def _negation() -> Transducer:
+    """A negation reaches over SCOPE words."""
     arcs = {}
     for left in range(SCOPE + 1):
-        arcs[left, "negation"] = (SCOPE, "negation")
+        arcs[left, "negation"] = (SCOPE, "negation", 1.0)
         if left:
-            arcs[left, "insult"] = (left - 1, "negated insult")
-            arcs[left, "threat"] = (left - 1, "negated threat")
+            arcs[left, "insult"] = (left - 1, "negated insult", 1.0)
+            arcs[left, "threat"] = (left - 1, "negated threat", 1.0)
     return Transducer(0, arcs, {left: max(0, left - 1) for left in range(SCOPE + 1)})
 
 
 def _reported() -> Transducer:
     """What follows a speech verb to the clause's end, and what stands in quotes, is reported; a closing quote ends it."""
-    arcs = {(state, tag): (state, f"reported {tag}") for state in ("told", "quoted") for tag in ("insult", "threat", "negated insult", "negated threat")}
-    arcs |= {("own", "speech"): ("told", "speech"), ("own", "quote"): ("quoted", "quote"), ("told", "quote"): ("quoted", "quote"), ("quoted", "quote"): ("own", "quote")}
+    arcs = {(state, said): (state, f"reported {said}", 1.0) for state in ("told", "quoted") for said in ("insult", "threat", "negated insult", "negated threat")}
+    arcs |= {("own", "speech"): ("told", "speech", 1.0), ("own", "quote"): ("quoted", "quote", 1.0), ("told", "quote"): ("quoted", "quote", 1.0), ("quoted", "quote"): ("own", "quote", 1.0)}
     return Transducer("own", arcs)
 
 
 def _addressed() -> Transducer:
-    return Transducer("no one", {("no one", "target"): ("someone", "target")})
+    return Transducer("no one", {("no one", "target"): ("someone", "target", 1.0)})
 
 
-GRAMMAR = _negation().then(_reported(), TAGS).then(_addressed(), TAGS)
+def machines(terms: dict[str, float]) -> tuple[list[Transducer], list]:
+    """The grammar's transducers, in the order in which they read, and the symbols of the first."""
+    return [_insults(terms), _threats(), _negation(), _reported(), _addressed()], [*CLASSES, *(("term", t) for t in terms)]
+
+
+def grammar(terms: dict[str, float]) -> Transducer:
+    parts, symbols = machines(terms)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.then(part, symbols)
+    return whole
 
 
 class Lexicon:
@@ -95,16 +125,25 @@ class Lexicon:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        self.classes = {w: t for t, ws in (("target", TARGET), ("negation", NEGATION), ("speech", SPEECH), ("threat", THREAT)) for w in ws}
+        self.classes = {w: t for t, ws in (("target", TARGET), ("negation", NEGATION), ("speech", SPEECH), ("verb", THREAT)) for w in ws}
         self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
+        # Words by themselves, stems marked by a hyphen.
+        self.grammar = grammar({w: x for w, x in words.items() if x > 0} | {f"{s}-": x for s, x in stems.items() if x > 0})
 
-    def tag(self, word: str) -> tuple[str, float]:
+    def symbol(self, word: str):
+        """What the grammar reads a word as: a term with a weight (the word itself before a stem), else its class."""
         weight = self.words.get(word)
         if weight is None:
-            weight = next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), 0.0)
-        if weight > 0:
-            return "insult", weight
-        return ("quote" if not word[0].isalpha() else self.classes.get(word, "other")), 1.0
+            stem = next((word[:n] for n in self.stem_sizes if word[:n] in self.stems), None)
+            if stem is not None and self.stems[stem] > 0:
+                return "term", f"{stem}-"
+        elif weight > 0:
+            return "term", word
+        return "quote" if not word[0].isalpha() else self.classes.get(word, "other")
+
+    def __reduce__(self):
+        # The machine is composed anew from the lexicon.
+        return Lexicon, (self.words, self.stems)
 
     def finder(self):
         """Finds where a lower-cased text may hold an insult or threat."""
@@ -118,11 +157,10 @@ class Lexicon:
 
 def clause_outputs(words: list[str], lexicon: Lexicon) -> tuple[dict[str, float], bool]:
     """Weights of what the grammar puts out for one clause, and whether someone is addressed in it."""
-    state, out = GRAMMAR.start, defaultdict(float)
-    for word in words:
-        tag, weight = lexicon.tag(word)
-        state, said = GRAMMAR.step(state, tag)
-        out[said] += weight
+    said, weights, state = lexicon.grammar.run([lexicon.symbol(w) for w in words])
+    out = defaultdict(float)
+    for symbol, weight in zip(said, weights):
+        out[symbol] += weight
     return out, state[1] == "someone"
 
 
@@ -132,13 +170,16 @@ def text_features(text: str | None, lexicon: Lexicon, finder) -> np.ndarray:
     x = np.zeros(len(PRIOR))
     x[0] = 1
     done, sums, addressed, threats, clear = -1, Counter(), 0, 0, 0
+    # Clauses are found once, from left to right, as far as matches go.
+    ends = chain((m.start() for m in _CLAUSE_END.finditer(low)), [len(low)])
+    left, right = -1, -1
     for at, size in finder.iter(low):
         begin = at - size + 1
         if at < done or begin and low[begin - 1].isalpha():
             continue
-        left = max((low.rfind(c, 0, begin) for c in ".!?;:\n"), default=-1)
-        end = _CLAUSE_END.search(low, at)
-        done = end.start() if end else len(low)
+        while right < at:
+            left, right = right, next(ends)
+        done = right
         out, someone = clause_outputs(_TOKEN.findall(low[left + 1 : done]), lexicon)
         sums.update(out)
         addressed += someone * out.get("insult", 0.0)
@@ -239,16 +280,19 @@ def fit_weights(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: flo
     return w
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from at most about ``sample_per_class`` labelled documents of each class (a documented bound; chosen by a hash of the id)."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("label")).dropDuplicates([id_col])
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2500, sample_text_bytes: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Learn from at most about ``sample_per_class`` labelled documents of each class, none of them longer than ``sample_text_bytes`` (documented bounds; chosen by a hash of the id).
+
+    An id that is labelled in both ways counts as toxic. Scoring reads texts of any length.
+    """
+    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     counts = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     texts: dict[int, list[str]] = {0: [], 1: []}
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     for label, n in counts.items():
         chosen = marked.where((F.col("label") == label) & (unit < sample_per_class / n)).limit(2 * sample_per_class)
         # The chosen ids are bounded by the sample, so they may be broadcast.
-        found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(id_col, text_col).collect()
+        found = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_text_bytes)).join(F.broadcast(chosen), id_col).select(id_col, text_col).limit(4 * sample_per_class).collect()
         texts[label] = [r[1] for r in sorted(found, key=lambda r: (r[0], r[1]))]
     lexicon = learn_lexicon(texts[1], texts[0])
     model = ToxicityModel(lexicon, PRIOR.copy())
@@ -271,8 +315,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1):
                 score = held.value.scores(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
