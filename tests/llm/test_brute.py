@@ -16,7 +16,7 @@ import brute
 import corpus_pipeline
 from fieldweave.llm import queries as q
 from fieldweave.llm.decontaminate import decontaminate
-from fieldweave.llm.exact_dedup import build_filter, decode, exact_dedup, merge_filters
+from fieldweave.llm.exact_dedup import exact_dedup, merge_filters, segment_filters
 from fieldweave.llm.graph import components
 from fieldweave.llm.html_extract import extract_texts, train
 from fieldweave.llm.language_id import Labeller, held_out, train_language_model
@@ -114,20 +114,29 @@ def test_layout():
     assert layout(4096 * 2 + 13, 4096).tolist() == [8192, 8200, 8204, 8205] and layout(8192, 4096).tolist() == [8192]
 
 
-@pytest.mark.parametrize("bits, quotient_bits, segment_bits", [(64, 12, 4), (64, 9, 0), (16, 15, 15), (4, 3, 1)])
-def test_filters_merge_without_loss(bits, quotient_bits, segment_bits):
-    r = random.Random(bits + quotient_bits)
+@pytest.mark.parametrize("bits, segment_bits, most", [(64, 4, 3), (36, 0, 3), (28, 5, 10**6), (16, 6, 400), (4, 1, 90), (3, 0, 7)])
+def test_filters_merge_without_loss(bits, segment_bits, most):
+    """Values and counts of partitions of any size come back from the packed filters, merged."""
+    r = random.Random(bits)
     pool = [r.getrandbits(bits) for _ in range(400)]
-    partitions = [[r.choice(pool) for _ in range(300)] for _ in range(5)]
+    partitions = [[x for x in (r.choice(pool) for _ in range(size)) for _ in range(r.choice((1, 1, 1, 2, r.randint(1, most if size < 5 else 3))))] for size in (300, 1, 3, 900)]
     parts = defaultdict(list)
-    for fps in partitions:
-        for k, *rest in build_filter(np.array(fps, np.uint64), bits, quotient_bits, segment_bits):
-            parts[k].append(decode(*rest))
+    for values in partitions:
+        for k, f in segment_filters(np.array(values, np.uint64), bits, segment_bits):
+            parts[k].append(f)
     got = {}
     for k, filters in parts.items():
-        for q, rem, c in zip(*merge_filters(filters)):
-            got[((k << (quotient_bits - segment_bits)) | int(q)) << (bits - quotient_bits) | int(rem)] = int(c)
-    assert got == Counter(x for fps in partitions for x in fps)
+        for v, c in zip(*merge_filters(filters)):
+            got[k << (bits - segment_bits) | int(v)] = int(c)
+    assert got == Counter(x for values in partitions for x in values)
+
+
+def test_filters_are_smaller_than_rows():
+    """Bytes of a filter for each fingerprint, at the bits that a corpus of a quarter of a million rows asks for."""
+    values = np.unique(np.random.default_rng(1).integers(0, 1 << 28, 8000).astype(np.uint64))
+    size = sum(len(f.flags) + len(f.remainders) for _, f in segment_filters(values, 28, 4))
+    print(f"{size / len(values):.2f} bytes a fingerprint")
+    assert size < 4 * len(values)
 
 
 def test_exact_dedup_with_clashing_fingerprints(spark):
