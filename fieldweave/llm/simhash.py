@@ -9,7 +9,8 @@ for one comparison is divided: its pairs must share two more of the other five b
 gives ten narrower lists, and these by further bytes, until every list is short or its members
 differ in so few bits that neighbours are looked up instead of compared.
 
-A list yields the edges of a spanning forest of its verified links, not every pair, so output
+Several fingerprints a text (``tables``), each indexed alike and linked if any of them is near, find
+texts that are further apart. A list yields the edges of a spanning forest of its verified links, not every pair, so output
 is linear in the list's length while no two linked fingerprints are separated.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.graph import components
+from fieldweave.llm.packing import slices
 from fieldweave.llm.storage import stage
 
 #: A longer posting list is divided by further bytes.
@@ -33,47 +35,58 @@ _HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half
 _BITS_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles, repeats included: a bit is 1 if set in over half the hashes."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of the whole sequence if it has fewer words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     n = max(1, len(tokens) - words + 1) if tokens else 0
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed) if n else 0
-    joined = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        return np.array([digest(joined, seed)] * n, np.uint64)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)])
     begins, ends = starts[:n].tolist(), (starts[words : words + n] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _BITS_AT_ONCE):
-        part = hashes[at : at + _BITS_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends)), np.uint64, n)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes of the same shingles for each table but the first."""
+    if not table:
+        return hashes
+    x = hashes + np.uint64(table * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def fingerprint(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
+    """The SimHashes of a text's word shingles: a bit is 1 if set in over half the hashes. A text without words has zeros."""
+    hashes, out = shingle_hashes(text, words), []
+    for table in range(tables):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), _BITS_AT_ONCE):
+            part = _mixed(hashes[at : at + _BITS_AT_ONCE], table).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def _byte(p: int):
-    return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, tables: int) -> DataFrame:
+    def run(batches):
+        for batch in (b for whole in batches for b in slices(whole, 1)):
+            fps = np.array([fingerprint(t.as_py(), words, tables) for t in batch.column(1)], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
-def _postings(source: DataFrame, combos: list[tuple[int, ...]], key=None) -> DataFrame:
-    """(list, fp) for each combination of positions; ``key`` is prefixed to the list's name."""
+def _postings(source: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
+    """(t, n, bytes, fp) for each combination of positions of each fingerprint (t, fp)."""
     lists = []
     for n, combo in enumerate(combos):
         mask = sum(0xFF << (8 * p) for p in combo)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        name = F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bytes"))
-        lists.append(name)
-    return source.select("fp", F.explode(F.array(*lists)).alias("k")).select(F.col("k.n").alias("n"), F.col("k.bytes").alias("bytes"), "fp")
+        lists.append(F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bytes")))
+    return source.select("t", "fp", F.explode(F.array(*lists)).alias("k")).select("t", F.col("k.n").alias("n"), F.col("k.bytes").alias("bytes"), "fp")
 
 
 def linked(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -134,70 +147,77 @@ def _links_of_list(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def _compare(postings: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) of every list; lists come whole to one task each, sorted, and are bounded by the caller."""
+    """Links (t, a, b) of every list; lists come whole to one task each, sorted, and are bounded by the caller."""
 
     def run(batches):
         held_key, held = None, []
 
-        def edges(rows):
-            return _links_of_list(np.array(rows, np.int64).view(np.uint64), max_bits) if len(rows) > 1 else []
+        def edges():
+            return [(held_key[0], *e) for e in _links_of_list(np.concatenate(held).view(np.uint64), max_bits)] if sum(map(len, held)) > 1 else []
 
         for batch in batches:
-            n, key, fp = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((n[1:] != n[:-1]) | (key[1:] != key[:-1])) + 1
+            t, n, key, fp = (batch.column(i).to_numpy() for i in range(4))
+            cuts = np.flatnonzero((t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1])) + 1
             out = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
                 if a == b:
                     continue
-                this = (int(n[a]), int(key[a]))
+                this = (int(t[a]), int(n[a]), int(key[a]))
                 if this != held_key:
-                    out += edges(held)
+                    out += edges()
                     held_key, held = this, []
-                held += fp[a:b].tolist()
+                held.append(fp[a:b])
             if out:
                 yield _edge_batch(out)
-        out = edges(held)
+        out = edges()
         if out:
             yield _edge_batch(out)
 
-    return postings.repartition("n", "bytes").sortWithinPartitions("n", "bytes").mapInArrow(run, "a long, b long")
+    return postings.select("t", "n", "bytes", "fp").repartition("t", "n", "bytes").sortWithinPartitions("t", "n", "bytes").mapInArrow(run, "t int, a long, b long")
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(edges, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _edge_batch(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    t, a, b = zip(*edges)
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))], names=["t", "a", "b"])
 
 
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Edges between distinct fingerprints whose components are those of all links of at most ``max_bits`` differing bits."""
+    """Edges (t, a, b) between the distinct fingerprints (t, fp) of each table, whose components are those of all links of at most ``max_bits`` differing bits."""
     # Three bytes of a half first; a long list needs two more of the remaining five.
-    first = _postings(distinct, _HALVES)
-    sizes = first.groupBy("n", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = stage(sizes, "lists")
-    short = first.join(sizes.where(F.col("size") <= LONG_LIST).drop("size"), ["n", "bytes"], "left_semi")
-    found = _compare(short, max_bits)
+    first, key = _postings(distinct, _HALVES), ["t", "n", "bytes"]
+    sizes = stage(first.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
+    found = _compare(first.join(sizes.where(F.col("size") <= LONG_LIST).drop("size"), key, "left_semi"), max_bits)
     long = sizes.where(F.col("size") > LONG_LIST).drop("size")
     if not long.isEmpty():
-        members = first.join(long, ["n", "bytes"], "left_semi").select("fp").distinct()
+        members = first.join(long, key, "left_semi").select("t", "fp").distinct()
         narrow = _postings(members, list(combinations(range(8), 8 - max_bits)))
-        held = narrow.groupBy("n", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-        found = found.unionByName(_compare(narrow.join(held, ["n", "bytes"], "left_semi"), max_bits))
+        held = narrow.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+        found = found.unionByName(_compare(narrow.join(held, key, "left_semi"), max_bits))
     return found.distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, tables: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
 
     Shingles are ``words`` lower-cased (A-Z) words; a text of fewer is one shingle, and an empty or null
-    one has fingerprint zero, linked like any other. component_id is the smallest id reachable
+    one has fingerprint zero, linked like any other. Texts are linked if the fingerprints of any of ``tables`` differ
+    in at most ``max_bits`` (three at most); the first table's is shown. component_id is the smallest id reachable
     over links; ids that are null count only where a component has no other. Repeated rows get the
     same result each; other columns are ignored; an empty table gives no rows.
     """
-    own = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    edges = stage(links(distinct.select("fp"), max_bits), "links")
-    roots = components(edges)
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    if not 0 <= max_bits <= 3:
+        raise ValueError("max_bits is at most three: beyond it no three bytes of a half need be alike")
+    own = stage(fingerprints(docs, id_col, text_col, words, tables), "fingerprints")
+    classes = stage(own.groupBy("fps").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    spread = classes.select("node", F.posexplode("fps").alias("t", "fp"))
+    leads = stage(spread.groupBy("t", "fp").agg(F.min("node").alias("lead")), "leads")
+    found = links(leads.select("t", "fp"), max_bits)
+    named = lambda c: leads.select("t", F.col("fp").alias(c), F.col("lead").alias(f"of_{c}"))
+    edges = found.join(named("a"), ["t", "a"]).join(named("b"), ["t", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    if tables > 1:
+        edges = edges.unionByName(spread.join(leads, ["t", "fp"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    roots = components(stage(edges.distinct(), "links"))
+    rooted = classes.join(roots, "node", "left").select("fps", "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named_fps = rooted.join(least, "root").select("fps", "component_id")
+    return own.join(named_fps, "fps").select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")

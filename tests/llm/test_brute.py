@@ -23,7 +23,7 @@ from fieldweave.llm.language_id import Labeller, held_out, train_language_model
 from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import layout
 from fieldweave.llm.sharding import shard_by_bytes
-from fieldweave.llm.simhash import linked, links
+from fieldweave.llm.simhash import linked, links, simhash_components
 from fieldweave.llm.substring_dedup import repeated_passages
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -70,8 +70,8 @@ def test_long_lists(spark, window):
     """Groups far beyond the length at which a posting list is divided lose no link and gain none."""
     r = random.Random(window)
     prints = list(set().union(*(_near(r, r.getrandbits(64), n, k, window) for n, k in ((5000, 8), (3000, 3), (40, 2), (1, 0)))))
-    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    roots = {row.node & (1 << 64) - 1: row.root for row in components(links(table)).collect()}
+    table = spark.createDataFrame([(0, p - (1 << 64) if p >> 63 else p) for p in prints], "t int, fp long")
+    roots = {row.node & (1 << 64) - 1: row.root for row in components(links(table).select("a", "b")).collect()}
     a, group = np.array(prints, np.uint64), list(range(len(prints)))
 
     def find(i):
@@ -333,6 +333,26 @@ def test_html_keeps_articles(spark):
     assert all(rows.values())
 
 
+def test_simhash_tables(spark):
+    """Several fingerprints a text link what any of them links, against all pairs."""
+    from fieldweave.llm.simhash import fingerprint
+
+    r = random.Random(14)
+    word, text = _passages(r)
+    rows, base = {}, [text(150) for _ in range(20)]
+    for i in range(120):
+        rows[i] = " ".join(word() if r.random() < 0.02 * (i % 3) else w for w in base[i % 20])
+    prints = {i: fingerprint(t, 5, 6) for i, t in rows.items()}
+    group = {i: i for i in rows}
+    for i in rows:
+        for j in rows:
+            if group[i] != group[j] and any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j])):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    got = {x.doc_id: x.component_id for x in simhash_components(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=5, tables=6).collect()}
+    assert got == group and len(set(group.values())) < 100
+
+
 @needs_tables
 def test_pipeline(spark, tokenizer):
     """Stage by stage against plain versions; the model's decision on a text is the operator's own, made outside Spark."""
@@ -342,9 +362,8 @@ def test_pipeline(spark, tokenizer):
     told = dict(zip(texts, Labeller(model).languages(list(texts.values()))))
     texts = {i: t for i, t in texts.items() if told[i][0] != "und" and told[i][1] >= corpus_pipeline.LEAST_CONFIDENCE}
     texts = brute.line_dedup(list(texts.items()))
-    ids = sorted(texts)
-    kept = brute.components([brute.fingerprint(texts[i]) for i in ids])
-    texts = {i: texts[i] for k, i in enumerate(ids) if kept[k] == k}
+    near = simhash_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=5, tables=corpus_pipeline.FINGERPRINTS)
+    texts = {r.doc_id: texts[r.doc_id] for r in near.collect() if r.doc_id == r.component_id}
     hits = brute.decontaminate(list(texts.items()), [(r.item_id, r.text) for r in q.table(spark, SMALL, "benchmark").collect()])
     texts = {i: t for i, t in texts.items() if not hits[i][1]}
     assert len(texts) > 100
