@@ -10,6 +10,7 @@ of power-of-two length, so no sequence needs padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 from itertools import islice
@@ -31,6 +32,9 @@ ENCODE_AT_ONCE = 20_000
 SLICE_BYTES = 8 << 20
 
 
+#: The settings of a tokenizer file whose texts may be encoded by chunks.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of plain letters, digits and signs, which normalisation only lower-cases.
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 #: The tokenizer's own pre-token pattern, for plain chunks in lower case.
@@ -67,11 +71,20 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])])
 
 
+def _by_chunks(settings: dict) -> bool:
+    """Whether no pre-token crosses ASCII white space, and pre-tokens are those of ``_PIECES``."""
+    steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = steps[0] if len(steps) == 2 else {}
+    whole = (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+    bytes_ = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return whole and bytes_ and (settings["normalizer"] or {}).get("normalizers") == _NORMALIZERS and not settings["post_processor"]
+
+
 class ChunkEncoder:
     """Token ids of whole texts by way of their white-space-delimited chunks.
 
     No pre-token of the tokenizer crosses ASCII white space, so a text's ids are the
-    concatenation of its chunks' ids. Arrow finds the distinct chunks of a slice of texts and cuts the plain
+    concatenation of its chunks' ids; a tokenizer file of other settings encodes whole texts. Arrow finds the distinct chunks of a slice of texts and cuts the plain
     ones into pre-tokens, whose ids are remembered. All other chunks pass through the whole tokenizer.
     """
 
@@ -79,6 +92,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = _by_chunks(json.loads(self.tokenizer.to_str()))
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -116,6 +130,9 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of ids of each."""
+        if not self.chunked:
+            ids = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
         if len(self.pieces) > CACHE_PIECES:
             self.clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -110,6 +110,20 @@ def test_packing_odd_texts(spark, tokenizer):
     assert brute.check_packing(pack(docs, q.tokenizer_path(), max_len=64).collect(), texts, tokenizer, 64) == 0
 
 
+def test_packing_by_another_tokenizer(spark):
+    """A file of other settings is not taken for the one whose pre-tokens are known."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fieldweave.llm.packing import ChunkEncoder, pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert ChunkEncoder(q.tokenizer_path()).chunked and not ChunkEncoder(path).chunked
+    texts = dict(enumerate(["Two words", "  It's\n\nUPPER 123", "", "x" * 3000]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert brute.check_packing(pack(docs, path, max_len=64).collect(), texts, Tokenizer.from_file(path), 64) == 0
+
+
 def test_layout():
     assert layout(4096 * 2 + 13, 4096).tolist() == [8192, 8200, 8204, 8205] and layout(8192, 4096).tolist() == [8192]
 
