@@ -1,6 +1,6 @@
 """Stencil operators: neighbour taps with four boundary rules, many operators in one exchange.
 
-Cells are dealt to blocks of the grid; cells near a block's faces are also sent, as ghosts, to the
+Cells are dealt to blocks of the grid; cells near a block's faces are also sent, as ghosts that hold only the tapped columns, to the
 neighbour (with periodic axes, around the ends). After that single exchange every tap is a lag or lead
 within a line of a block, and the windows of all axes reuse the exchange. A block is bounded, so neither
 long lines nor large grids meet in one task.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,36 +41,45 @@ def blocks_per_axis(shape: tuple[int, ...], reach: int) -> list[int]:
     return [max(1, n // side) for n in shape]
 
 
-def with_halo(df: DataFrame, shape: tuple[int, ...], axes: tuple[int, ...], reach: int, periodic: bool) -> DataFrame:
-    """The cells and their ghosts: ``_b`` (block), ``_own``, and coordinates ``_g0..`` that go on past the ends where an axis wraps."""
+def with_halo(df: DataFrame, shape: tuple[int, ...], axes: tuple[int, ...], reach: int, periodic: bool, tapped: set[str]) -> DataFrame:
+    """The cells and their ghosts: ``_b`` (block), ``_own``, and coordinates ``_g0..`` that go on past the ends where an axis wraps. Ghosts hold the ``tapped`` columns only."""
     per_axis = blocks_per_axis(shape, reach)
-    block = [F.floor(F.col(f"i{d}").cast("long") * nb / n).cast("long") for d, (n, nb) in enumerate(zip(shape, per_axis))]
-
-    def entry(own: bool, blocks, at) -> Column:
-        key = F.lit(0).cast("long")
-        for b, nb in zip(blocks, per_axis):
-            key = key * nb + b
-        return F.struct(key.alias("b"), F.lit(own).alias("own"), *[a.cast("int").alias(f"g{d}") for d, a in enumerate(at)])
-
     home = [F.col(f"i{d}") for d in range(len(shape))]
-    entries = [entry(True, block, home)]
+    block = [F.floor(i.cast("long") * nb / n).cast("int") if nb > 1 else F.lit(0) for i, n, nb in zip(home, shape, per_axis)]
+    #: Of each kind of ghost: whether a cell has it, its axis, and how far its block and its coordinate are moved.
+    ghosts: list[tuple[Column, int, int, int]] = []
     for d in axes:
         n, nb, i, b = shape[d], per_axis[d], home[d], block[d]
-        moved = lambda to, at, d=d: entry(False, [*block[:d], to, *block[d + 1 :]], [*home[:d], at, *home[d + 1 :]])
         if nb == 1:
             for k in range(1, -(-reach // n) + 1) if periodic else ():
-                entries.append(F.when(i + k * n < n + reach, moved(b, i + k * n)))
-                entries.append(F.when(i - k * n >= -reach, moved(b, i - k * n)))
+                ghosts += [(i + k * n < n + reach, d, 0, k * n), (i - k * n >= -reach, d, 0, -k * n)]
             continue
-        start, end = F.ceil(b * n / nb), F.ceil((b + 1) * n / nb)
-        low, high = i - start < reach, end - 1 - i < reach
-        entries.append(F.when(low & (b > 0), moved(b - 1, i)))
-        entries.append(F.when(high & (b < nb - 1), moved(b + 1, i)))
+        low, high = i - F.ceil(b * n / nb) < reach, F.ceil((b + 1) * n / nb) - 1 - i < reach
+        ghosts += [(low & (b > 0), d, -1, 0), (high & (b < nb - 1), d, 1, 0)]
         if periodic:
-            entries.append(F.when(low & (b == 0), moved(F.lit(nb - 1).cast("long"), i + n)))
-            entries.append(F.when(high & (b == nb - 1), moved(F.lit(0).cast("long"), i - n)))
-    spread = df.select("*", F.explode(F.array_compact(F.array(*entries))).alias("_h")) if len(entries) > 1 else df.select("*", entries[0].alias("_h"))
-    return spread.select(*df.columns, F.col("_h.b").alias("_b"), F.col("_h.own").alias("_own"), *[F.col(f"_h.g{d}").alias(f"_g{d}") for d in range(len(shape))]).repartition("_b")
+            ghosts += [(low & (b == 0), d, nb - 1, n), (high & (b == nb - 1), d, 1 - nb, -n)]
+    spread = df.select("*", *[b.alias(f"_b{d}") for d, b in enumerate(block)])
+    code = F.lit(0)
+    if ghosts:
+        # Only cells near a face list the kinds of their ghosts; each kind's number is the same for all cells.
+        kinds = F.array_compact(F.array(F.lit(0), *[F.when(has, F.lit(k + 1)) for k, (has, *_) in enumerate(ghosts)]))
+        near = reduce(lambda x, y: x | y, [has for has, *_ in ghosts])
+        spread = spread.select("*", F.explode(F.when(near, kinds).otherwise(F.array(F.lit(0)))).alias("_k"))
+        code = F.col("_k")
+
+    def moved(base: Column, d: int, part: int) -> Column:
+        out = base
+        for k, g in enumerate(ghosts):
+            if g[1] == d and g[part]:
+                out = F.when(code == k + 1, base + g[part]).otherwise(out)
+        return out
+
+    key = F.lit(0).cast("long")
+    for d, nb in enumerate(per_axis):
+        key = key * nb + moved(F.col(f"_b{d}"), d, 2)
+    own = code == 0
+    columns = [F.col(c) if c in tapped or not ghosts else F.when(own, F.col(c)).alias(c) for c in df.columns]
+    return spread.select(*columns, key.alias("_b"), own.alias("_own"), *[moved(i, d, 3).cast("int").alias(f"_g{d}") for d, i in enumerate(home)]).repartition("_b")
 
 
 def tapper(shape: tuple[int, ...], boundary: str) -> Callable:
@@ -107,7 +117,7 @@ def tapper(shape: tuple[int, ...], boundary: str) -> Callable:
 
 def run_pass(ws: Workspace, jobs: list[tuple[Node, list[Value]]], registry, periodic: bool) -> dict[Node, Value]:
     """Evaluate several stencil nodes with one exchange; the frame keeps all its columns."""
-    plans = []
+    plans, tapped = [], {f"i{d}" for d in range(len(ws.shape))}
     for node, values in jobs:
         named = []
         for v in values:
@@ -116,10 +126,11 @@ def run_pass(ws: Workspace, jobs: list[tuple[Node, list[Value]]], registry, peri
             named.append(v if v.is_number else Value(v.kind, ws.keep(*v.columns), v.size))
         if not named or named[0].is_number:
             raise ExpressionError(f"{node.op} needs a field")
+        tapped |= {ws.name_of(c) for v in named if not v.is_number for c in v.columns}
         plans.append((node, registry[node.op].stencil(node, named, ws.shape)))
     reach = max(p.reach for _, p in plans)
     axes = tuple(sorted({d for _, p in plans for d in p.axes}))
-    near = with_halo(ws.df, ws.shape, axes, reach, periodic)
+    near = with_halo(ws.df, ws.shape, axes, reach, periodic, tapped)
     done, columns = {}, []
     for node, plan in plans:
         out = plan.combine(tapper(ws.shape, node.param("boundary", "neumann")))

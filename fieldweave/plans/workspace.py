@@ -56,6 +56,7 @@ class Workspace:
         self.df: DataFrame | None = None
         #: By identity of a Column: the column itself, so it is not reused, and its reference in the frame.
         self._kept: dict[int, tuple[Column, Column]] = {}
+        self._names: dict[int, str] = {}
         frames: dict[int, list[str]] = {}
         for name, f in fields.items():
             frames.setdefault(id(f.df), []).append(name)
@@ -92,8 +93,13 @@ class Workspace:
         reference = F.col(name)
         self._kept[id(column)] = (column, reference)
         self._kept[id(reference)] = (reference, reference)
+        self._names[id(reference)] = name
         return reference
 
+    def name_of(self, reference: Column) -> str:
+        """The name in the frame of a column that ``keep`` returned."""
+        return self._names[id(reference)]
+
     def number(self, aggregate: Column, where: DataFrame | None = None) -> Column:
         """An aggregate over the frame, as a scalar subquery."""
         return (self.df if where is None else where).agg(aggregate.alias("x")).scalar()
