@@ -1,16 +1,19 @@
 """Operators that need a whole line of cells at once: Fourier transforms and the distance transform.
 
 The lines along an axis are gathered by their other coordinates and come to NumPy many at a time, as the
-rows of one array. N-D transforms are one such pass for each axis.
+rows of one array. N-D transforms are one such pass for each axis. A long line meets in no task: for Fourier transforms
+its axis is laid out as two, and distances along it are found by blocks with what the blocks before and after carry.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldweave.functions.registry import operator
@@ -19,6 +22,12 @@ from fieldweave.plans.expression import ExpressionError
 from fieldweave.plans.workspace import Value, Workspace
 
 
+#: Cells of a line that one task may hold as a row.
+LINE_CELLS = 1 << 16
+#: Cells of lines that are worked on at once.
+CELLS_AT_ONCE = 1 << 20
+
+
 def along_lines(df: DataFrame, shape: tuple[int, ...], axis: int, columns: list[str], f, results: list[str]) -> DataFrame:
     """``f`` takes each column as an array (lines, cells) and gives the results likewise."""
     n, others = shape[axis], [d for d in range(len(shape)) if d != axis]
@@ -60,13 +69,62 @@ def _transform(ws: Workspace, node, v: Value, inverse: bool) -> DataFrame:
     df = _parts(ws, node, v)
     one = np.fft.ifft if inverse else np.fft.fft
 
+    f = _pair(one, norm)
+    for d in range(ws.ndim):
+        df = fourier_lines(df, ws.shape, d, f, 1.0 if inverse else -1.0)
+    return df
+
+
+def factors(n: int) -> tuple[int, int]:
+    """The factors of n nearest to its root."""
+    a = math.isqrt(n)
+    while n % a:
+        a -= 1
+    return a, n // a
+
+
+def fourier_lines(df: DataFrame, shape: tuple[int, ...], d: int, f, sign: float) -> DataFrame:
+    """``f`` (a transform of lines of re and im) along an axis.
+
+    A long axis of n1 * n2 cells is laid out as two: transforms over n1 cells n2 apart, a turn of each result by its
+    place, and transforms over n2 cells give those of the whole line. A length without factors within LINE_CELLS is left as one line.
+    """
+    n, last = shape[d], len(shape)
+    n1, n2 = factors(n)
+    if n <= LINE_CELLS or n2 > LINE_CELLS:
+        return along_lines(df, shape, d, ["re", "im"], f, ["re", "im"])
+    i, both = f"i{d}", (*shape[:d], n1, *shape[d + 1 :], n2)
+    df = df.withColumn(f"i{last}", F.pmod(F.col(i), F.lit(n2))).withColumn(i, F.floor(F.col(i) / n2).cast("int"))
+    df = along_lines(df, both, d, ["re", "im"], f, ["re", "im"])
+    turn = F.lit(sign * 2 * math.pi / n) * F.pmod(F.col(i).cast("long") * F.col(f"i{last}"), F.lit(n))
+    re, im, cos, sin = F.col("re"), F.col("im"), F.cos(turn), F.sin(turn)
+    df = df.select(*[f"i{e}" for e in range(last + 1)], (re * cos - im * sin).alias("re"), (re * sin + im * cos).alias("im"))
+    df = along_lines(df, both, last, ["re", "im"], f, ["re", "im"])
+    place = (F.col(i) + F.col(f"i{last}") * n1).cast("int").alias(i)
+    return df.select(*[place if e == d else f"i{e}" for e in range(last)], "re", "im")
+
+
+def filtered_lines(df: DataFrame, shape: tuple[int, ...], d: int, dx: float, second: bool) -> DataFrame:
+    """The first or second derivative of ``v`` along an axis, by a transform, the axis's wave numbers, and the transform back."""
+    n = shape[d]
+    if n <= LINE_CELLS or factors(n)[1] > LINE_CELLS:
+        k = 2 * math.pi * np.fft.fftfreq(n, dx)
+        return along_lines(df, shape, d, ["v"], lambda x: [np.fft.ifft((-(k**2) if second else 1j * k) * np.fft.fft(x, axis=1), axis=1).real], ["v"])
+    at = [f"i{e}" for e in range(len(shape))]
+    whole = fourier_lines(df.select(*at, F.col("v").alias("re"), F.lit(0.0).alias("im")), shape, d, _pair(np.fft.fft), -1.0)
+    i = F.col(f"i{d}")
+    k = F.lit(2 * math.pi / (n * dx)) * F.when(i <= (n - 1) // 2, i).otherwise(i - n)
+    re, im = F.col("re"), F.col("im")
+    turned = whole.select(*at, (-k * k * re if second else -k * im).alias("re"), (-k * k * im if second else k * re).alias("im"))
+    return fourier_lines(turned, shape, d, _pair(np.fft.ifft), 1.0).select(*at, F.col("re").alias("v"))
+
+
+def _pair(one, norm: str = "backward"):
     def f(re, im):
         z = one(re + 1j * im, axis=1, norm=norm)
         return z.real, z.imag
 
-    for d in range(ws.ndim):
-        df = along_lines(df, ws.shape, d, ["re", "im"], f, ["re", "im"])
-    return df
+    return f
 
 
 @operator("fft", cost="high")
@@ -102,35 +160,76 @@ def _steps(node, ndim: int) -> tuple[float, ...]:
 def _spectral_gradient(ws, node, v):
     """derivative along dim by Fourier transforms of the lines of that axis alone; dx is 1 unless given"""
     d = node.param("dim", 0) % ws.ndim
-    k = 2 * math.pi * np.fft.fftfreq(ws.shape[d], _steps(node, ws.ndim)[d])
     df = ws.df.select(*ws.axes, need("spectral_gradient", v, "scalar").column.alias("v"))
-    out = along_lines(df, ws.shape, d, ["v"], lambda x: [np.fft.ifft(1j * k * np.fft.fft(x, axis=1), axis=1).real], ["v"])
-    return Value("scalar", _adopt(ws, out, ["v"]))
+    return Value("scalar", _adopt(ws, filtered_lines(df, ws.shape, d, _steps(node, ws.ndim)[d], False), ["v"]))
 
 
 @operator("spectral_laplacian", cost="high")
 def _spectral_laplacian(ws, node, v):
     """sum of second derivatives, each by transforms of one axis's lines; dx is 1 unless given"""
     dx = _steps(node, ws.ndim)
-    df = ws.df.select(*ws.axes, need("spectral_laplacian", v, "scalar").column.alias("v"), F.lit(0.0).alias("s"))
-    for d in range(ws.ndim):
-        k2 = (2 * math.pi * np.fft.fftfreq(ws.shape[d], dx[d])) ** 2
-        df = along_lines(df, ws.shape, d, ["v", "s"], lambda x, s, k2=k2: [x, s + np.fft.ifft(-k2 * np.fft.fft(x, axis=1), axis=1).real], ["v", "s"])
-    return Value("scalar", _adopt(ws, df, ["s"]))
+    df = ws.df.select(*ws.axes, need("spectral_laplacian", v, "scalar").column.alias("v"))
+    parts = [filtered_lines(df, ws.shape, d, dx[d], True) for d in range(ws.ndim)]
+    # Each axis's part is a partial sum of the cells' results.
+    whole = reduce(DataFrame.unionByName, parts).groupBy(*ws.axes).agg(F.sum("v").alias("v"))
+    return Value("scalar", _adopt(ws, whole, ["v"]))
 
 
 def nearest_squares(f: np.ndarray, h: float) -> np.ndarray:
-    """For each cell of each line, the least of f[p] + (h (q - p))**2 over the line."""
-    out, n = f.copy(), f.shape[1]
-    for o in range(1, n):
-        step = (h * o) ** 2
-        if step >= out.max():
-            break
-        np.minimum(out[:, o:], f[:, :-o] + step, out=out[:, o:])
-        np.minimum(out[:, :-o], f[:, o:] + step, out=out[:, :-o])
+    """For each cell q of each line, the least of f[p] + (h (q - p))**2 over the line; infinite on lines without a finite cell.
+
+    The p that gives the least never falls as q grows. So the cells are taken in rounds, each between cells of earlier rounds,
+    and look only at what lies between their neighbours' p: a round passes over a line once, and rounds are as many as the length has bits.
+    """
+    n = f.shape[1]
+    out = np.full(f.shape, np.inf)
+    some = np.flatnonzero(np.isfinite(f).any(1))
+    for at in range(0, len(some), max(1, CELLS_AT_ONCE // n)):
+        rows = some[at : at + max(1, CELLS_AT_ONCE // n)]
+        g, best = f[rows], np.zeros((len(rows), n), np.int64)
+        step = 1 << n.bit_length()
+        while step:
+            q = np.arange(step - 1, n, 2 * step)
+            if len(q):
+                low = np.where(q - step >= 0, best[:, np.maximum(q - step, 0)], 0).ravel()
+                high = np.where(q + step < n, best[:, np.minimum(q + step, n - 1)], n - 1).ravel()
+                sizes = high - low + 1
+                starts = np.cumsum(sizes) - sizes
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                p = np.arange(len(of)) - starts[of] + low[of]
+                value = g[of // len(q), p] + (h * (q[of % len(q)] - p)) ** 2
+                least = np.minimum.reduceat(value, starts)
+                hit = np.flatnonzero(value == least[of])[::-1]
+                found = np.empty(len(sizes), np.int64)
+                found[of[hit]] = p[hit]
+                best[:, q] = found.reshape(len(rows), -1)
+                out[rows[:, None], q] = least.reshape(len(rows), -1)
+            step //= 2
     return out
 
 
+def nearest_by_blocks(df: DataFrame, shape: tuple[int, ...], d: int, h: float) -> DataFrame:
+    """Squared distances along a long axis from cells whose v is 0, of a field of zeros and infinities: within blocks, and to what the blocks before and after carry."""
+    i, others = f"i{d}", [f"i{e}" for e in range(len(shape)) if e != d]
+    cells = df.withColumn("_b", F.floor(F.col(i) / LINE_CELLS)).withColumn("_t", F.when(F.col("v") == 0.0, F.col(i)))
+    # Running frames in either order: what follows a row is what precedes it backwards.
+    running = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = lambda order: W.partitionBy(*others).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    ends = cells.groupBy(*others, "_b").agg(F.min("_t").alias("first"), F.max("_t").alias("last"))
+    carried = ends.select(
+        *others,
+        "_b",
+        F.last("last", ignorenulls=True).over(earlier(F.asc("_b"))).alias("_before"),
+        F.last("first", ignorenulls=True).over(earlier(F.desc("_b"))).alias("_after"),
+    )
+    block = [*others, "_b"]
+    before = F.coalesce(F.last("_t", ignorenulls=True).over(running(block, F.asc(i))), F.col("_before"))
+    after = F.coalesce(F.last("_t", ignorenulls=True).over(running(block, F.desc(i))), F.col("_after"))
+    near = F.least(F.col(i) - before, after - F.col(i)).cast("double") * F.lit(h)
+    at = [f"i{e}" for e in range(len(shape))]
+    return cells.join(carried, [*others, "_b"]).select(*at, F.coalesce(near * near, F.lit(float("inf"))).alias("v"))
+
+
 @operator("distance_transform", cost="very_high")
 def _distance_transform(ws, node, v):
     """exact Euclidean distance of zero cells to the nearest other cell, 0 elsewhere; null if every cell is zero"""
@@ -139,7 +238,11 @@ def _distance_transform(ws, node, v):
     dx = _steps(node, ws.ndim)
     c = need("distance_transform", v, "scalar").column
     df = ws.df.select(*ws.axes, F.when(c == 0, F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("v"))
-    for d in range(ws.ndim):
-        df = along_lines(df, ws.shape, d, ["v"], lambda f, h=dx[d]: [nearest_squares(f, h)], ["v"])
+    # The longest axis comes first: at the beginning the values are zeros and infinities.
+    for k, d in enumerate(sorted(range(ws.ndim), key=lambda d: -ws.shape[d])):
+        if not k and ws.shape[d] > LINE_CELLS:
+            df = nearest_by_blocks(df, ws.shape, d, dx[d])
+        else:
+            df = along_lines(df, ws.shape, d, ["v"], lambda f, h=dx[d]: [nearest_squares(f, h)], ["v"])
     far = F.col("v") == float("inf")
     return Value("scalar", _adopt(ws, df.withColumn("v", F.when(~far, F.sqrt("v"))), ["v"]))
