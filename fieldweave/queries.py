@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fieldweave.plans.evaluate import Result, evaluate
 from fieldweave.sources import decompose_field, ingest, tiles
 from fieldweave.sources import fixtures as fx
-from fieldweave.streaming import sweep
+from fieldweave.sources.store import load_field, open_field, save_field
+from fieldweave.sources.work import work_path
+from fieldweave.streaming.run import run_to_store, stream_execute, sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,7 +116,10 @@ def rounded(column: str, digits: int = DIGITS) -> str:
 
 def tidy(result: Result, digits: int = DIGITS) -> DataFrame:
     """A result with its values rounded and without negative zeros."""
-    df = result.df
+    return tidy_frame(result.df, digits)
+
+
+def tidy_frame(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[c if c.startswith("i") and c[1:].isdigit() else (F.round(F.lit(NUDGE) + F.col(c), digits) + F.lit(0.0)).alias(c) for c in df.columns])
 
 
@@ -368,6 +373,10 @@ def _convolve(axis: int, second: bool, dx: float) -> str:
 
 
 register("spectral_fft", _G3, "fft(f)", _dft_sql())
+_dft_last = _dft_sql().rsplit(" SELECT ", 1)[0]
+register("spectral_fft_forward", _G3, 'fft_complex(f, norm="forward")', f"{_dft_last}, z AS (SELECT i0, i1, i2, re / 4950 AS re, im / 4950 AS im FROM a2) SELECT i0, i1, i2, {rounded('re')}, {rounded('im')} FROM z")
+_wave = "(2 * pi() * ((k.x * f.i0) % 2499) / 2499)"
+register("spectral_fft_1d", _S1, "fft(f)", f"WITH {_S1}, r AS (SELECT CAST(k.x AS INT) AS i0, sum(f.v * cos{_wave}) AS re, -sum(f.v * sin{_wave}) AS im FROM f, range(2499) k(x) GROUP BY k.x) SELECT i0, {rounded('re')}, {rounded('im')} FROM r")
 register("spectral_roundtrip", _G3, "ifft(fft(f))", _cells(_G3, v="v"))
 register("spectral_complex", _G3, 'ifft_complex(fft_complex(f, norm="ortho"), norm="ortho")', _cells(_G3, re="v", im="0.0 * v"))
 register("spectral_gradient", _G3, "spectral_gradient(f, dim=1, dx=0.5)", f"WITH {_G3}, r AS ({_convolve(1, False, 0.5)}) SELECT i0, i1, i2, {rounded('v')} FROM r")
@@ -375,6 +384,8 @@ register("spectral_laplacian", _G3, "spectral_laplacian(f)", f"WITH {_G3}, r AS
 _edt = " + ".join(f"(f.i{d} - o.i{d}) * (f.i{d} - o.i{d})" for d in range(3))
 register("distance_transform", _G3, "distance_transform(k)", f"WITH {_G3}, o AS (SELECT * FROM f WHERE mask <> 0) SELECT f.i0, f.i1, f.i2, round(3.3e-8 + sqrt(CAST(min({_edt}) AS DOUBLE)), 6) + 0.0 AS v FROM f, o GROUP BY f.i0, f.i1, f.i2")
 
+register("distance_transform_1d", _S1, "distance_transform(clamp(f - 1.2 * mean(f), lo=0, hi=99), dx=0.5)", f"WITH {_S1}, o AS (SELECT i0 FROM f WHERE v > 1.2 * (SELECT avg(v) FROM f)) SELECT f.i0, round(3.3e-8 + 0.5 * CAST(min(abs(f.i0 - o.i0)) AS DOUBLE), 6) + 0.0 AS v FROM f LEFT JOIN o ON true GROUP BY f.i0")
+
 # Compiled expressions, storage and tiles -----------------------------------------------------------------
 
 register("compile_div_grad", _G3, "divergence(gradient(f))", _laplacian(_G3, "periodic"), boundary="periodic")
@@ -438,6 +449,54 @@ def _decompose(spark, sf_dir):
     return cut.groupBy("part").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 6).alias("total"))
 
 
+# Storage and runs: the same SQL as the expressions have, over what was written and read back.
+
+
+@_query("store_roundtrip", _cells(_G3, v="v"))
+def _stored(spark, sf_dir):
+    return tidy_frame(open_field(spark, save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field"))).df)
+
+
+@_query("store_slice_eager", f"WITH {_G3} SELECT i0 - 10 AS i0, i1, i2, v FROM f WHERE i0 >= 10 AND i0 < 20")
+def _stored_slice(spark, sf_dir):
+    path = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field"))
+    return load_field(spark, path, mode="auto").slice((10, 20)).df.select("i0", "i1", "i2", "v")
+
+
+@_query("run_stream_execute", ORACLES["gradient_periodic"])
+def _streamed(spark, sf_dir):
+    path, out = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field")), work_path(spark, "gradient")
+    stream_execute(spark, "grad", path, out, dx=0.5, boundary="periodic")
+    return tidy_frame(open_field(spark, out).df)
+
+
+@_query("run_stream_stats", "WITH " + _G3 + ", r AS (SELECT v * v + tanh(v) * exp(v) AS v FROM f) SELECT count(*) AS cells, round(min(v), 6) + 0.0 AS low, round(max(v), 6) + 0.0 AS high, round(avg(v), 6) + 0.0 AS mean FROM r")
+def _stream_stats(spark, sf_dir):
+    got = run_to_store(spark, "f**2 + tanh(f)*exp(f)", {"f": fx.g3(spark, sf_dir)["f"]}, work_path(spark, "expression"))
+    a, b, c = got["shape_out"]
+    return spark.createDataFrame([(a * b * c, *(round(got[k], 6) + 0.0 for k in ("min", "max", "mean")))], "cells long, low double, high double, mean double")
+
+
+@_query("run_pipeline", ORACLES["laplacian_neumann"])
+def _run_pipeline(spark, sf_dir):
+    from fieldweave.pipeline import Pipeline
+
+    out = work_path(spark, "pipeline")
+    p = Pipeline("laplacian", "f + a").set(boundary="neumann", output=out)
+    p.f, p.a = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field")), 2.0
+    p.run()
+    return tidy_frame(open_field(spark, out).df)
+
+
+@_query("run_registered_operator", _cells(_G3, v="v * v * v - 1"))
+def _registered(spark, sf_dir):
+    from fieldweave.functions.registry import register_operator
+    from fieldweave.plans.workspace import Value
+
+    register_operator("cube_less_one", lambda ws, node, v: Value(v.kind, tuple(c * c * c - 1 for c in v.columns), v.size), replace=True)
+    return tidy(evaluate("cube_less_one(f)", fx.g3(spark, sf_dir)))
+
+
 @_query("sweep_power", f"WITH {_G3} SELECT a.x / 2.0 AS a, round(sum(exp(v * a.x / 2.0)), 6) + 0.0 AS v FROM f, range(3) a(x) GROUP BY 1")
 def _sweep(spark, sf_dir):
     return sweep("sum(exp(f * a))", fx.g3(spark, sf_dir), "a", 0.0, 1.0, 3).select("a", (F.round("v", 6) + F.lit(0.0)).alias("v"))
