@@ -30,7 +30,7 @@ from fieldweave.llm.storage import stage
 
 #: A longer posting list is divided by further bytes.
 LONG_LIST = 1024
-_HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
+HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 #: Rows of shingle bits counted at once.
 _BITS_AT_ONCE = 1 << 16
 
@@ -184,7 +184,7 @@ def _edge_batch(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """Edges (t, a, b) between the distinct fingerprints (t, fp) of each table, whose components are those of all links of at most ``max_bits`` differing bits."""
     # Three bytes of a half first; a long list needs two more of the remaining five.
-    first, key = _postings(distinct, _HALVES), ["t", "n", "bytes"]
+    first, key = _postings(distinct, HALVES), ["t", "n", "bytes"]
     sizes = stage(first.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
     found = _compare(first.join(sizes.where(F.col("size") <= LONG_LIST).drop("size"), key, "left_semi"), max_bits)
     long = sizes.where(F.col("size") > LONG_LIST).drop("size")

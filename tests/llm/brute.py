@@ -41,6 +41,23 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def similar(prints, bits):
+    """For each text, given by its fingerprints, the least index it is linked to: three bytes of a half alike in any fingerprint, and at most ``bits`` bits of all differ."""
+
+    def halves(x):
+        same = [x >> 8 * p & 0xFF == 0 for p in range(8)]
+        return sum(same[:4]) > 2 or sum(same[4:]) > 2
+
+    root = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            apart = [x ^ y for x, y in zip(a, prints[j])]
+            if any(a) and any(prints[j]) and sum(x.bit_count() for x in apart) <= bits and any(map(halves, apart)) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
 def components(prints, bits=3):
     """For each fingerprint of a list the least index it is linked to."""
     root = list(range(len(prints)))

@@ -23,7 +23,8 @@ from fieldweave.llm.language_id import Labeller, held_out, train_language_model
 from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import layout
 from fieldweave.llm.sharding import shard_by_bytes
-from fieldweave.llm.simhash import linked, links, simhash_components
+from fieldweave.llm.simhash import fingerprint, linked, links, simhash_components
+from fieldweave.llm.similar import forest, meetings, most_bits, similar_components, similar_links
 from fieldweave.llm.substring_dedup import repeated_passages
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -349,8 +350,6 @@ def test_html_keeps_articles(spark):
 
 def test_simhash_tables(spark):
     """Several fingerprints a text link what any of them links, against all pairs."""
-    from fieldweave.llm.simhash import fingerprint
-
     r = random.Random(14)
     word, text = _passages(r)
     rows, base = {}, [text(150) for _ in range(20)]
@@ -367,6 +366,55 @@ def test_simhash_tables(spark):
     assert got == group and len(set(group.values())) < 100
 
 
+def test_similar_components(spark):
+    """Against all pairs, with long lists in blocks and without; and the share of planted pairs that is found at each similarity."""
+    r = random.Random(15)
+    word, text = _passages(r)
+    rows, base, pairs = {}, [text(150) for _ in range(100)], defaultdict(list)
+    for i in range(300):
+        words = list(base[i % 100])
+        for _ in range((0, 1, 3)[i // 100]):
+            words[r.randrange(len(words))] = word()
+        rows[i] = " ".join(words)
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows.items()}
+    for i in range(100):
+        for a, b in ((i, i + 100), (i, i + 200), (i + 100, i + 200)):
+            alike = len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+            pairs[min(int(alike * 20), 18)].append((a, b))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute.similar([fingerprint(rows[i], 5, 12) for i in rows], most_bits(0.8, 12))
+    got = {x.doc_id: x.component_id for x in similar_components(docs).collect()}
+    assert got == dict(enumerate(want))
+    share = {s / 20: sum(got[a] == got[b] for a, b in found) / len(found) for s, found in pairs.items()}
+    assert share[0.9] >= 0.95 and share[0.8] >= 0.6, share
+    # All other pairs are of different texts.
+    assert all(k % 100 == v % 100 for k, v in got.items())
+    prints = spark.createDataFrame([(i, [p - (1 << 64) if p >> 63 else p for p in fingerprint(t, 5, 12)]) for i, t in rows.items()], "node long, fps array<long>")
+    edges = lambda block: components(similar_links(prints.distinct(), 12, most_bits(0.8, 12), block))
+    assert sorted(edges(2).collect()) == sorted(edges(1024).collect())
+
+
+def test_lists_of_wide_fingerprints():
+    """Short and long lists in one batch against all pairs of each."""
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        fps = r.integers(0, 1 << 63, (80, 3)).astype(np.uint64)
+        cuts = np.array([0, *sorted(r.choice(np.arange(1, 80), 5, replace=False)), 80])
+        near = {(i, j) for a, b in zip(cuts, cuts[1:]) for i in range(a, b) for j in range(i + 1, b) if sum(int(x).bit_count() for x in fps[i] ^ fps[j]) <= 84}
+        got = {tuple(sorted(x)) for x in meetings(np.arange(80), fps, cuts, 84).T.tolist()}
+        trees = lambda edges: _partition(80, edges)
+        assert trees(got) == trees(near)
+    assert forest(fps[:1], 84) == []
+
+
+def _partition(n, edges):
+    group = list(range(n))
+    for a, b in edges:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = [new if g == old else g for g in group]
+    return group
+
+
 @needs_tables
 def test_pipeline(spark, tokenizer):
     """Stage by stage against plain versions; the model's decision on a text is the operator's own, made outside Spark."""
@@ -376,8 +424,12 @@ def test_pipeline(spark, tokenizer):
     told = dict(zip(texts, Labeller(model).languages(list(texts.values()))))
     texts = {i: t for i, t in texts.items() if told[i][0] != "und" and told[i][1] >= corpus_pipeline.LEAST_CONFIDENCE}
     texts = brute.line_dedup(list(texts.items()))
-    near = simhash_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=5, tables=corpus_pipeline.FINGERPRINTS)
-    texts = {r.doc_id: texts[r.doc_id] for r in near.collect() if r.doc_id == r.component_id}
+    ids = sorted(texts)
+    tables = corpus_pipeline.FINGERPRINTS
+    near = brute.similar([tuple(fingerprint(texts[i], 5, tables)) for i in ids], most_bits(corpus_pipeline.SIMILARITY, tables))
+    # Texts without words are one group.
+    blank = [i for i in ids if not (texts[i] or "").strip(" \t\n\v\f\r")]
+    texts = {i: texts[i] for k, i in enumerate(ids) if near[k] == k and i not in blank[1:]}
     hits = brute.decontaminate(list(texts.items()), [(r.item_id, r.text) for r in q.table(spark, SMALL, "benchmark").collect()])
     texts = {i: t for i, t in texts.items() if not hits[i][1]}
     assert len(texts) > 100

@@ -14,6 +14,7 @@ from fieldweave.llm.packing import pack
 from fieldweave.llm.queries import tokenizer_path
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import simhash_components
+from fieldweave.llm.similar import similar_components
 from fieldweave.llm.substring_dedup import repeated_passages
 from fieldweave.llm.toxicity import score_toxicity, train_toxicity
 
@@ -33,6 +34,7 @@ def labels(docs):
 
 OPERATORS = {
     "simhash": simhash_components,
+    "similar": similar_components,
     "packing": lambda d: pack(d, tokenizer_path()),
     "exact_dedup": exact_dedup,
     "substring_dedup": repeated_passages,
