@@ -31,8 +31,8 @@ from fieldweave.llm.storage import stage
 #: A longer posting list is divided by further bytes.
 LONG_LIST = 1024
 HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
-#: Rows of shingle bits counted at once.
-_BITS_AT_ONCE = 1 << 16
+#: Rows of shingle bits counted at once, few enough for counts of 16 bits.
+_ROWS_AT_ONCE = 1 << 12
 
 
 def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -47,26 +47,24 @@ def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarr
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends)), np.uint64, n)
 
 
-def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Other hashes of the same shingles for each table but the first."""
-    if not table:
-        return hashes
-    x = hashes + np.uint64(table * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def _mixed(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """A row for each hash: itself, and another hash of the same shingle for each further table."""
+    out = np.empty((len(hashes), tables), np.uint64)
+    out[:, 0] = hashes
+    x = hashes[:, None] + np.arange(1, tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    out[:, 1:] = x ^ x >> np.uint64(31)
+    return out
 
 
 def fingerprint(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
     """The SimHashes of a text's word shingles: a bit is 1 if set in over half the hashes. A text without words has zeros."""
-    hashes, out = shingle_hashes(text, words), []
-    for table in range(tables):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), _BITS_AT_ONCE):
-            part = _mixed(hashes[at : at + _BITS_AT_ONCE], table).astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
-    return out
+    hashes, ones = shingle_hashes(text, words), np.zeros(64 * tables, np.int64)
+    for at in range(0, len(hashes), _ROWS_AT_ONCE):
+        part = _mixed(hashes[at : at + _ROWS_AT_ONCE], tables).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, tables: int) -> DataFrame:
