@@ -26,22 +26,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document that loses every line keeps its row with an empty text. A column of ``docs`` named as one of the two
     counts gives way to it.
     """
-    lines = F.split(F.col("text"), "\n", -1)
-    at = lambda i, k: F.element_at(F.col("lines"), (i + F.lit(k + 1)).cast("int"))
-
-    def hashed(i):
-        own = [at(i, k) for k in range(window)]
-        blank = reduce(lambda a, b: a & b, [F.trim(x) == "" for x in own])
-        return F.when(~blank, F.struct(i.alias("pos"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit("second"), *own).alias("h2")))
-
+    lines, own = F.split(F.col("text"), "\n", -1), [f"line{k}" for k in range(window)]
+    run = lambda k: F.slice("lines", F.lit(k + 1), F.size("lines") - (window - 1)).alias(own[k])
     windows = stage(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .where(F.col("text").contains("\n"))
         .select("doc_id", lines.alias("lines"))
         .where(F.size("lines") >= window)
-        .select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), hashed)).alias("w"))
-        .where("w IS NOT NULL")
-        .select("doc_id", "w.*"),
+        # The lines from each on, side by side.
+        .select("doc_id", F.posexplode(F.arrays_zip(*[run(k) for k in range(window)])).alias("pos", "w"))
+        .where(reduce(lambda a, b: a | b, [F.trim(f"w.{x}") != "" for x in own]))
+        .select("doc_id", "pos", F.xxhash64(*[f"w.{x}" for x in own]).alias("h1"), F.xxhash64(F.lit("second"), *[f"w.{x}" for x in own]).alias("h2")),
         "windows",
     )
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
