@@ -188,7 +188,7 @@ def _in_blocks(source: DataFrame, items: DataFrame, width: int, blocks: int) ->
 def _carried(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, table_bytes: int) -> DataFrame:
     """The report beside all columns of ``docs``: the text is reported on in place, with no join where one set of tables holds the benchmark."""
     items = _items(benchmark, item_col, text_col)
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     blocks = _blocks(items, table_bytes)
     if blocks > 1:
         # A report depends on the text alone, so each text is searched once, and rows find theirs by it, whatever their ids.

@@ -317,7 +317,7 @@ def identify_languages(docs: DataFrame, model: ChainModel | None, id_col: str =
                 found = labeller.languages(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")])
     names = kept.columns
     text_at = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)

@@ -54,7 +54,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(marks.isNull(), own).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(own.isNull(), 0).otherwise(F.size(F.split(own, "\n", -1)))
     report = {text_col: text, "n_lines_in": n_lines.cast("long"), "n_lines_removed": F.coalesce(F.col("g.n_gone"), F.lit(0)).cast("long")}
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in report]
+    others = [F.col(f"d.`{c}`") for c in docs.columns if c.lower() not in {name.lower() for name in report}]
     return (
         docs.alias("d")
         .join(covered.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left")

@@ -25,7 +25,7 @@ ODD = [
     (None, None, None, None, None),
 ]
 #: Names that the operators use themselves.
-CLASHING = "fp part ids key size cell range piece h rep pos gone lines w h1 row_key n_words contaminated score label lang_pred lang_score n_lines_in component_id keep_id law shard item html url".split()
+CLASHING = "fp part ids key size cell range piece h rep pos gone lines w h1 row_key n_words score label lang_score component_id keep_id law shard item html url N_Lines_In N_Hit Lang_Pred Contaminated Doc_Tokens Kept".split()
 
 
 def lower(text):
