@@ -1,3 +1,3 @@
 """Operators on fields; importing this registers them all."""
 
-from fieldweave.operators import linalg, lines, pointwise, reduce, stencil  # noqa: F401
+from fieldweave.operators import linalg, lines, pointwise, reduce, smoothing, stencil  # noqa: F401

@@ -99,7 +99,11 @@ def tapper(shape: tuple[int, ...], boundary: str) -> Callable:
             return there
         step = 1 if offset > 0 else -1
         if boundary == "neumann":
-            return F.coalesce(*[raw(column, axis, step * k) for k in range(abs(offset), -1, -1)])
+            if abs(offset) == 1:
+                return F.coalesce(there, column)
+            # Only lines that end there fall short: their last cell stands in, whatever the reach.
+            line = W.partitionBy("_b", *[f"_g{e}" for e in range(len(shape)) if e != axis]).orderBy(f"_g{axis}").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            return F.coalesce(there, (F.last if step > 0 else F.first)(column).over(line))
         if boundary == "dirichlet":
             return F.coalesce(there, F.lit(0.0))
         n, i = shape[axis], F.col(f"i{axis}")
@@ -301,38 +305,12 @@ def _material_derivative(node: Node, values, shape) -> StencilPlan:
     return StencilPlan(2, tuple(range(len(shape))), combine)
 
 
-def _box(node: Node, values, shape) -> StencilPlan:
-    """Mean of a window along one axis."""
-    v, w, d = _scalar(node, values[0]), node.param("window"), node.param("axis")
-
-    def combine(tap):
-        out = v
-        for k in range(1, w // 2 + 1):
-            out = out + tap(v, d, k) + tap(v, d, -k)
-        return [out / F.lit(float(w))]
-
-    return StencilPlan(max(1, w // 2), (d,), combine)
-
-
 def _smooth(node: Node, values, shape) -> StencilPlan:
     """Weights 1, 2, 1 along one axis."""
     v, d = _scalar(node, values[0]), node.param("axis")
     return StencilPlan(1, (d,), lambda tap: [(tap(v, d, -1) + 2.0 * v + tap(v, d, 1)) / F.lit(4.0)])
 
 
-def _lower_moving_average(node: Node, ndim: int) -> Node:
-    """Separable box mean of an odd window along every axis."""
-    window, boundary = node.param("window", 3), _boundary(node)
-    if not isinstance(window, int) or window < 1 or window % 2 == 0:
-        raise ExpressionError("moving_average needs an odd window")
-    if ndim > 3:
-        raise ExpressionError("moving_average takes at most three axes")
-    out = node.args[0]
-    for d in range(ndim):
-        out = call("box_mean", out, window=window, axis=d, boundary=boundary)
-    return out
-
-
 def _lower_gauss(node: Node, ndim: int) -> Node:
     """27-point Gaussian smoothing of a 3-D field, wrapping whatever the boundary: three separable passes."""
     if ndim != 3:
@@ -364,11 +342,11 @@ for _name, _plan, _radius, _cost in (
     ("laplacian", _laplacian, 1, "medium"), ("gradient", _gradient, 1, "medium"), ("divergence", _divergence, 1, "medium"),
     ("curl", _curl, 1, "high"), ("gradient_nd", _gradient_nd, 1, "medium"), ("jacobian", _jacobian, 1, "high"),
     ("surface_normals", _surface_normals, 1, "high"), ("material_derivative", _material_derivative, 1, "high"),
-    ("box_mean", _box, 1, "medium"), ("smooth_axis", _smooth, 1, "medium"),
+    ("smooth_axis", _smooth, 1, "medium"),
 ):
     register_operator(_name, stencil=_plan, radius=_radius, cost=_cost)
 for _name, _rule, _radius, _cost in (
-    ("moving_average", _lower_moving_average, 1, "medium"), ("conv3d_spectral", _lower_gauss, 1, "high"),
+    ("conv3d_spectral", _lower_gauss, 1, "high"),
     ("hessian", _lower_hessian, 2, "very_high"), ("mean_curvature", _lower_mean_curvature, 2, "very_high"),
 ):
     register_operator(_name, lower=_rule, radius=_radius, cost=_cost)

@@ -54,6 +54,8 @@ class Workspace:
         self.axes = coords(len(self.shape))
         self.values: dict[str, Value] = {}
         self.df: DataFrame | None = None
+        #: The one node that is asked for, if there is no other: when it is built, nothing else in the frame is needed.
+        self.only: Node | None = None
         #: By identity of a Column: the column itself, so it is not reused, and its reference in the frame.
         self._kept: dict[int, tuple[Column, Column]] = {}
         self._names: dict[int, str] = {}
@@ -110,11 +112,15 @@ class Evaluator:
         self.ws, self.registry, self.done = workspace, registry, {}
 
     def run(self, root: Node):
+        return self.run_all([root])[0]
+
+    def run_all(self, roots: list[Node]) -> list:
+        """Evaluate several trees over the one frame: stencils of all that are ready at a time share an exchange, and equal nodes are evaluated once."""
         from fieldweave.operators.stencil import run_pass
 
-        self.root = root
+        self.ws.only = roots[0] if len(roots) == 1 else None
         while True:
-            ready = self._ready(root)
+            ready = list(dict.fromkeys(node for root in roots for node in self._ready(root)))
             if not ready:
                 break
             jobs = [(node, [self.value(a) for a in node.args]) for node in ready]
@@ -122,7 +128,7 @@ class Evaluator:
                 some = [j for j in jobs if self.registry[j[0].op].wraps(j[0]) == periodic]
                 if some:
                     self.done.update(run_pass(self.ws, some, self.registry, periodic))
-        return self.value(root)
+        return [self.value(root) for root in roots]
 
     def _ready(self, root: Node) -> list[Node]:
         """Stencil nodes not yet evaluated whose operands hold no other such node."""

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldweave.operators.lines import bounded_lines
 from fieldweave.plans.evaluate import Result, evaluate
+from fieldweave.plans.graph import Graph
 from fieldweave.sources import decompose_field, ingest, tiles
 from fieldweave.sources import fixtures as fx
+from fieldweave.sources.hdf5 import open_hdf5, save_hdf5
 from fieldweave.sources.store import load_field, open_field, save_field
 from fieldweave.sources.work import work_path
 from fieldweave.streaming.run import run_to_store, stream_execute, sweep
@@ -156,6 +159,7 @@ for _name, _expr, _sql in (
     ("sqrt", "sqrt(f - 0.1)", "sqrt(greatest(v - 0.1, 0.0))"),
     ("sin", "sin(f * n)", "sin(v * n)"),
     ("cos", "cos(f * pi)", "cos(v * pi())"),
+    ("euler", "E * f + E**2", "exp(1.0) * v + exp(2.0)"),
     ("tanh", "tanh(f)", "tanh(v)"),
     ("pow_int", "f**3", "v * v * v"),
     ("pow_neg", "(f + 1)**-2", "1 / ((v + 1) * (v + 1))"),
@@ -239,6 +243,10 @@ def _passes(fixture: str, weights: list[float], boundary: str) -> str:
 register("conv3d_gauss27", _G3, "conv3d_spectral(f)", _passes(_G3, [0.25, 0.5, 0.25], "periodic"))
 for _b in ("neumann", "reflect"):
     register(f"moving_average_{_b}", _G3, f'moving_average(f, window=3, boundary="{_b}")', _passes(_G3, [1 / 3] * 3, _b))
+for _b in ("periodic", "neumann", "dirichlet", "reflect"):
+    _at = {"periodic": "(f.i0 + o.x + 2499) % 2499", "neumann": "least(greatest(f.i0 + o.x, 0), 2498)", "dirichlet": "f.i0 + o.x"}.get(_b, "CASE WHEN f.i0 + o.x > 2498 THEN 4996 - f.i0 - o.x ELSE abs(f.i0 + o.x) END")
+    _wide = f"WITH {_S1}, r AS (SELECT f.i0, sum(coalesce(g.v, 0.0)) / 101 AS v FROM f CROSS JOIN range(-50, 51) o(x) LEFT JOIN f g ON g.i0 = {_at} GROUP BY f.i0) SELECT i0, {rounded('v')} FROM r"
+    register(f"moving_average_w101_{_b}", _S1, f'moving_average(f, window=101, boundary="{_b}")', _wide)
 register("moving_average_w5", _S2, "moving_average(f, window=5)", _passes(_S2, [0.2] * 5, "neumann"))
 
 # Components ----------------------------------------------------------------------------------------------
@@ -377,6 +385,7 @@ _dft_last = _dft_sql().rsplit(" SELECT ", 1)[0]
 register("spectral_fft_forward", _G3, 'fft_complex(f, norm="forward")', f"{_dft_last}, z AS (SELECT i0, i1, i2, re / 4950 AS re, im / 4950 AS im FROM a2) SELECT i0, i1, i2, {rounded('re')}, {rounded('im')} FROM z")
 _wave = "(2 * pi() * ((k.x * f.i0) % 2499) / 2499)"
 register("spectral_fft_1d", _S1, "fft(f)", f"WITH {_S1}, r AS (SELECT CAST(k.x AS INT) AS i0, sum(f.v * cos{_wave}) AS re, -sum(f.v * sin{_wave}) AS im FROM f, range(2499) k(x) GROUP BY k.x) SELECT i0, {rounded('re')}, {rounded('im')} FROM r")
+register("spectral_ifft", _G3, "ifft(f)", f"{_dft_last}, z AS (SELECT i0, i1, i2, re / 4950 AS v FROM a2) SELECT i0, i1, i2, {rounded('v')} FROM z")
 register("spectral_roundtrip", _G3, "ifft(fft(f))", _cells(_G3, v="v"))
 register("spectral_complex", _G3, 'ifft_complex(fft_complex(f, norm="ortho"), norm="ortho")', _cells(_G3, re="v", im="0.0 * v"))
 register("spectral_gradient", _G3, "spectral_gradient(f, dim=1, dx=0.5)", f"WITH {_G3}, r AS ({_convolve(1, False, 0.5)}) SELECT i0, i1, i2, {rounded('v')} FROM r")
@@ -502,6 +511,87 @@ def _sweep(spark, sf_dir):
     return sweep("sum(exp(f * a))", fx.g3(spark, sf_dir), "a", 0.0, 1.0, 3).select("a", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
+def _bounded(name: str, cells: int) -> None:
+    """A registered query once more, with lines and boxes of so few cells that they are laid out, convolved or cut into blocks."""
+    whole = QUERIES[name]
+
+    def run(spark, sf_dir):
+        with bounded_lines(cells):
+            return whole(spark, sf_dir)
+
+    QUERIES[f"{name}_bounded"], ORACLES[f"{name}_bounded"] = run, ORACLES[name]
+
+
+# 2499 = 49 * 51, and 51 = 3 * 17: with lines of 16 cells, axes are laid out as two twice and 17 is convolved with a chirp.
+_bounded("spectral_fft_1d", 16)
+_bounded("distance_transform", 4)
+_bounded("moving_average_w101_reflect", 128)
+
+
+# Graphs: several results of one frame.
+
+
+def _three_sinks(spark, sf_dir):
+    g = Graph()
+    f = g.constant(fx.g3(spark, sf_dir)["f"], "f")
+    g.add("laplacian", [f], node_id="lap")
+    grad = g.add("gradient", [f], node_id="grad")
+    g.add("norm_last", [grad], node_id="speed")
+    g.add("sum", ["lap"], node_id="total")
+    g.add("min_max", [f], node_id="range")
+    return g
+
+
+_graph = Sql(_G3)
+_graph_columns = {
+    "lap": " + ".join(f"{_graph.tap('v', d, 1, 'periodic')} + {_graph.tap('v', d, -1, 'periodic')} - 2 * f.v" for d in range(3)),
+    **{f"grad_v{d}": _graph.d("v", d, 1.0, "periodic") for d in range(3)},
+}
+_graph_columns["speed"] = "sqrt(" + " + ".join(f"({_graph_columns[f'grad_v{d}']}) * ({_graph_columns[f'grad_v{d}']})" for d in range(3)) + ")"
+
+
+@_query("graph_sinks", _graph.select(_graph_columns))
+def _graph_sinks(spark, sf_dir):
+    return tidy_frame(_three_sinks(spark, sf_dir).run(["lap", "grad", "speed"], boundary="periodic").frame())
+
+
+@_query("graph_numbers", f"WITH {_G3}, r AS (SELECT (SELECT sum(lap) FROM ({_graph.cte({'lap': _graph_columns['lap']})})) AS total, min(v) AS range_lo, max(v) AS range_hi FROM f) SELECT {rounded('total')}, {rounded('range_lo')}, {rounded('range_hi')} FROM r")
+def _graph_numbers(spark, sf_dir):
+    return tidy_frame(_three_sinks(spark, sf_dir).run(["total", "range"], boundary="periodic").numbers())
+
+
+@_query("graph_seed", f"WITH {_G3}, r AS (SELECT i0, i1, i2, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS speed FROM f) SELECT i0, i1, i2, {rounded('speed')} FROM r")
+def _graph_seed(spark, sf_dir):
+    """The gradient is given as a known field, and nothing below it is evaluated."""
+    return tidy_frame(_three_sinks(spark, sf_dir).run(["speed"], seed={"grad": fx.g3(spark, sf_dir)["w"]}).frame())
+
+
+@_query("graph_stored", _graph.select({"v": _graph_columns["lap"]}))
+def _graph_stored(spark, sf_dir):
+    kept = _three_sinks(spark, sf_dir).run(["lap", "grad"], boundary="periodic").save(work_path(spark, "results"))
+    return tidy_frame(kept["lap"].df)
+
+
+# HDF5.
+
+
+@_query("hdf5_roundtrip", _cells(_G3, v="v"))
+def _hdf5(spark, sf_dir):
+    return tidy_frame(open_hdf5(spark, save_hdf5(fx.g3(spark, sf_dir)["f"], work_path(spark, "field") + ".h5")).df)
+
+
+@_query("hdf5_slice", ORACLES["source_slice"])
+def _hdf5_slice(spark, sf_dir):
+    path = save_hdf5(fx.g3(spark, sf_dir)["f"], work_path(spark, "field") + ".h5")
+    return open_hdf5(spark, path).slice((10, 20), None, (2, 5)).df.select("i0", "i1", "i2", "v")
+
+
+@_query("hdf5_expression", ORACLES["laplacian_neumann"])
+def _hdf5_expression(spark, sf_dir):
+    path = save_hdf5(fx.g3(spark, sf_dir)["f"], work_path(spark, "field") + ".h5")
+    return tidy(evaluate("laplacian(f + 2)", {"f": open_hdf5(spark, path)}))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expression by which field engines are usually compared, with a stencil beside it."""
     return tidy(evaluate("f**2 + tanh(f)*exp(f) + laplacian(f)", fx.g3(spark, sf_dir), boundary="periodic"))

@@ -23,9 +23,9 @@ def _array(result, shape, column="v"):
     return out
 
 
-@pytest.mark.parametrize("shape", [(60,), (1, 63), (5, 36), (37,)])
+@pytest.mark.parametrize("shape", [(60,), (1, 63), (5, 36), (37,), (3, 29), (720,), (74,), (13, 17)])
 def test_split_lines(spark, monkeypatch, shape):
-    """Axes laid out as two give what whole lines give; 37 has no factors and stays one line."""
+    """Axes laid out as two give what whole lines give; 37 has no factors and is convolved with a chirp."""
     monkeypatch.setattr(lines, "LINE_CELLS", 12)
     v = np.random.default_rng(1).normal(size=shape)
     f = {"f": _field(spark, v)}
@@ -61,7 +61,75 @@ def test_nearest_squares_against_all_pairs():
         f[0] = np.inf
         q = np.arange(n)
         want = (f[:, None, :] + (0.7 * (q[:, None] - q[None, :])) ** 2).min(2)
-        assert np.allclose(lines.nearest_squares(f, 0.7), want)
+        assert np.allclose(lines.nearest_squares(f, 0.7)[0], want)
+
+
+def test_nearest_squares_at_other_positions():
+    r = np.random.default_rng(4)
+    f = np.where(r.random((20, 31)) < 0.5, r.random((20, 31)) * 50, np.inf)
+    for at in (np.array([-40, -3, 0, 7, 30, 31, 90]), np.arange(5, 12), np.array([100])):
+        value = f[:, None, :] + (0.7 * (at[:, None] - np.arange(31)[None, :])) ** 2
+        least, first = lines.nearest_squares(f, 0.7, at)
+        assert np.allclose(least, value.min(2)) and (first[np.isfinite(f).any(1)] == value.argmin(2)[np.isfinite(f).any(1)]).all()
+
+
+def rows_are_bounded(result, cells):
+    """No list that a plan gathers holds more cells than the bound: axes of every gathered box are known from the plan."""
+    sizes = []
+    real = lines.boxes
+
+    def spy(df, shape, axes, columns):
+        sizes.append(int(np.prod([shape[d] for d in axes])))
+        return real(df, shape, axes, columns)
+
+    lines.boxes = spy
+    try:
+        out = result()
+    finally:
+        lines.boxes = real
+    assert sizes and max(sizes) <= cells
+    return out
+
+
+@pytest.mark.parametrize("n", [10_007, 10_006, 3 * 10_007])
+def test_a_long_line_without_factors(spark, n):
+    """A prime length, twice and thrice one: convolved with a chirp, in rows of at most 256 cells."""
+    v = np.random.default_rng(6).normal(size=n)
+    rows = spark.createDataFrame([(int(k), float(x)) for k, x in enumerate(v)], "i0 int, v double")
+    f = {"f": Field(rows, (n,))}
+    with lines.bounded_lines(256):
+        got = rows_are_bounded(lambda: evaluate("fft(f)", f), 256)
+        back = rows_are_bounded(lambda: evaluate('ifft(fft(f, norm="ortho"), norm="ortho")', f), 256)
+    want = np.fft.fft(v)
+    assert np.allclose(_array(got, (n,), "re"), want.real, atol=1e-8) and np.allclose(_array(got, (n,), "im"), want.imag, atol=1e-8)
+    assert np.allclose(_array(back, (n,)), v, atol=1e-9)
+
+
+def test_a_prime_length_of_a_million(spark):
+    n = 1_000_003
+    i = F.col("i0").cast("long")
+    waves = from_function(spark, (n,), F.cos(F.pmod(i * 3, F.lit(n)) * (2 * np.pi / n)) + 2 * F.sin(F.pmod(i * 70_001, F.lit(n)) * (2 * np.pi / n)))
+    result = rows_are_bounded(lambda: evaluate("fft(f)", {"f": waves}), 1 << 16)
+    big = {r.i0: (r.re, r.im) for r in result.df.where("abs(re) + abs(im) > 1").collect()}
+    assert set(big) == {3, n - 3, 70_001, n - 70_001}
+    assert big[3] == pytest.approx((n / 2, 0), abs=1) and big[70_001] == pytest.approx((0, -n), abs=1)
+
+
+@pytest.mark.parametrize("shape", [(70, 60), (33, 41, 5)])
+@pytest.mark.parametrize("marks", [1, 6, 0])
+def test_two_long_axes(spark, shape, marks):
+    """A sparse mask whose axes all pass the bound: cells far from every mark find theirs across many blocks."""
+    r = np.random.default_rng(marks)
+    v = np.zeros(shape)
+    for _ in range(marks):
+        v[tuple(int(r.integers(0, n)) for n in shape)] = 1.0
+    with lines.bounded_lines(4):
+        result = evaluate("distance_transform(f, dx=0.25)", {"f": _field(spark, v)})
+    got, targets, cells = _array(result, shape), np.argwhere(v != 0), np.indices(shape).reshape(len(shape), -1).T
+    if not marks:
+        assert np.isnan(got).all()
+    else:
+        assert np.allclose(got, 0.25 * np.sqrt(((cells[:, None] - targets[None]) ** 2).sum(2).min(1)).reshape(shape))
 
 
 def test_a_line_of_a_million_cells(spark):
