@@ -623,6 +623,7 @@ def save_hdf5(field: Field, path: str, mode: str = "overwrite") -> str:
     """
     if field.kind != "scalar":
         raise ValueError("an HDF5 file takes a scalar field; write components one by one")
+    local_path(path)
     register(field.df.sparkSession)
     at = coords(field.ndim)
     rows = field.df.select(*[F.col(c).cast("int").alias(c) for c in at], F.col("v").cast("double").alias("v"))
