@@ -59,8 +59,13 @@ def _mixed(hashes: np.ndarray, tables: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
-    """The SimHashes of a text's word shingles: a bit is 1 if set in over half the hashes. A text without words has zeros."""
-    hashes, ones = shingle_hashes(text, words), np.zeros(64 * tables, np.int64)
+    """The SimHashes of a text's word shingles. A text without words has zeros."""
+    return bits_of(shingle_hashes(text, words), tables)
+
+
+def bits_of(hashes: np.ndarray, tables: int) -> list[int]:
+    """SimHashes of shingles: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64 * tables, np.int64)
     for at in range(0, len(hashes), _ROWS_AT_ONCE):
         part = _mixed(hashes[at : at + _ROWS_AT_ONCE], tables).astype("<u8").view(np.uint8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)

@@ -41,18 +41,21 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def similar(prints, bits):
-    """For each text, given by its fingerprints, the least index it is linked to: three bytes of a half alike in any fingerprint, and at most ``bits`` bits of all differ."""
+def word_shingles(text, words=5):
+    tokens = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(text)) if w]
+    return {" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
 
-    def halves(x):
-        same = [x >> 8 * p & 0xFF == 0 for p in range(8)]
-        return sum(same[:4]) > 2 or sum(same[4:]) > 2
 
-    root = list(range(len(prints)))
-    for i, a in enumerate(prints):
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def similar(texts, meet=lambda i, j: True, least=0.8):
+    """For each text the least index it is linked to, over all pairs that ``meet`` and have this share of their five-word shingles in common."""
+    sets, root = [word_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
         for j in range(i):
-            apart = [x ^ y for x, y in zip(a, prints[j])]
-            if any(a) and any(prints[j]) and sum(x.bit_count() for x in apart) <= bits and any(map(halves, apart)) and root[i] != root[j]:
+            if likeness(a, sets[j]) >= least and root[i] != root[j] and meet(i, j):
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
     return root
