@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.columns import pick
@@ -126,10 +127,27 @@ def _packed(values: np.ndarray, kind) -> pa.Array:
     return pa.array([row.tobytes() for row in values], pa.binary())
 
 
-def _whole_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    given = pick(df, vec_id=id_col, x=vector_col, label=label_col).withColumn("x", F.col("x").cast("array<double>"))
-    # A null component fails the comparison as NaN and infinities do.
-    return given.where(F.col("x").isNotNull() & F.forall("x", lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))))
+def integer_vectors(df: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, label, dim, x) of the whole vectors of (vec_id, label, x): components as floor(scale * x), packed in 64 bits."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(2)
+            values, edges = column.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            x = np.floor(values.to_numpy(zero_copy_only=False).astype(float) * scale)
+            size = np.diff(edges)
+            with np.errstate(invalid="ignore"):
+                # A null component came as NaN, and fails the comparison as NaN and infinities do.
+                bad = ~(np.abs(x) <= np.repeat(np.array([most(int(n)) for n in size], float), size))
+            bad = np.concatenate([[0], np.cumsum(bad)])
+            keep = (bad[edges[1:]] == bad[edges[:-1]]) & ~column.is_null().to_numpy(zero_copy_only=False)
+            whole = np.where(np.repeat(keep, size), x, 0).astype("<i8")
+            packed = pa.array([whole[a:b].tobytes() for a, b, k in zip(edges, edges[1:], keep) if k], pa.binary())
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(size[keep], pa.int32()), packed], names=["vec_id", "label", "dim", "x"])
+
+    return df.select("vec_id", "label", "x").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, dim int, x binary")
 
 
 def quantize(
@@ -156,29 +174,24 @@ def quantize(
     Repeated rows and ids stay rows of their own. A length that ``parts`` does not divide makes the first parts longer by one. An empty table gives
     no rows and codebooks without entries. Other columns are ignored. ``counts``, if given, receives the number of full comparisons of each round.
     """
-    spark = df.sparkSession
-    whole = _whole_vectors(df, id_col, vector_col, label_col)
-    integers = F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("double"))
-    small = lambda c: F.abs(c) <= F.lit(float(2**53))  # noqa: E731  larger ones are beyond ``most`` in any case
-    scaled = whole.withColumn("x", integers).where(F.forall("x", lambda c: small(c)))
-    fits = lambda c: F.abs(c) <= F.lit(float(most(1))) / F.sqrt(F.greatest(F.size("x"), F.lit(1)).cast("double"))
-    scaled = scaled.where(F.forall("x", fits)).withColumn("x", F.transform("x", lambda c: c.cast("long")))
-    begin = scaled.orderBy(F.col("vec_id").asc_nulls_last(), "x").select("x").limit(entries).collect()
-    dim = len(begin[0].x) if begin else 0
-    if begin and any(len(r.x) != dim for r in begin):
-        begin = scaled.where(F.size("x") == dim).orderBy(F.col("vec_id").asc_nulls_last(), "x").select("x").limit(entries).collect()
+    given = pick(df, vec_id=id_col, x=vector_col, label=label_col).withColumn("x", F.col("x").cast("array<double>"))
+    whole, path = stage_at(integer_vectors(given, scale), "vectors")
+    # Of equal ids the vectors decide, in order of their components; only rows that share one of the smallest ids are compared by them.
+    begin = _smallest(whole, entries)
+    if begin and any(r.dim != begin[0].dim for r in begin):
+        begin = _smallest(whole.where(F.col("dim") == begin[0].dim), entries)
     if not begin:
-        nothing = scaled.select("vec_id", "label", F.array().cast("array<int>").alias("codes"), F.lit(0).cast("long").alias("error"))
+        nothing = whole.select("vec_id", "label", F.array().cast("array<int>").alias("codes"), F.lit(0).cast("long").alias("error"))
         return nothing, Codebooks((np.zeros((0, 0), np.int64),) * parts)
-    edges, start = part_edges(dim, parts), np.array([r.x for r in begin], np.int64).reshape(len(begin), dim)
+    dim = begin[0].dim
+    edges, start = part_edges(dim, parts), np.array([np.frombuffer(r.x, "<i8") for r in begin], np.int64).reshape(len(begin), dim)
     books = Codebooks(tuple(start[:, a:b] for a, b in zip(edges, edges[1:])))
-    kinds = {f.name: f.dataType.simpleString() for f in scaled.schema.fields}
-    table, path, before = scaled.where(F.size("x") == dim), None, None
+    kinds = {f.name: f.dataType.simpleString() for f in whole.schema.fields}
+    table, before = whole.where(F.col("dim") == dim), None
     for number in range(rounds + 1):
         staged = _assigned(table, kinds, books, before, dim, last=number == rounds)
         now, where = stage_at(staged, "codes")
-        if path:
-            drop(path)
+        drop(path)
         if number == rounds:
             return now.select("vec_id", "label", "codes", "error"), books
         sums = now.where(F.col("sums").isNotNull()).select(F.posexplode("sums").alias("k", "n"))
@@ -189,6 +202,22 @@ def quantize(
     raise AssertionError
 
 
+def _smallest(whole: DataFrame, entries: int) -> list:
+    """The rows (dim, x) of the smallest ids, nulls last; of equal ids in order of their vectors."""
+    order = F.col("vec_id").asc_nulls_last()
+    last = whole.select("vec_id").orderBy(order).limit(entries).collect()
+    if not last:
+        return []
+    # All rows of the ids taken, distinct ones with their number: repeated rows without end are one row here.
+    ids = [r.vec_id for r in last if r.vec_id is not None]
+    among = (F.col("vec_id") <= F.lit(max(ids)) if ids else F.lit(False)) | (F.col("vec_id").isNull() & F.lit(len(ids) < len(last)))
+    rows = whole.where(among).groupBy("vec_id", "dim", "x").agg(F.count("*").alias("n"))
+    # Components in order: their bytes, highest first, with the sign turned.
+    tell = F.udf(lambda x: (np.frombuffer(x, "<i8").astype(">u8") ^ np.uint64(1 << 63)).astype(">u8").tobytes(), "binary")
+    found = rows.withColumn("order", tell("x")).orderBy(order, "order").limit(entries).collect()
+    return [r for r in found for _ in range(r.n)][:entries]
+
+
 def _means(books: Codebooks, sums: dict[int, int]) -> Codebooks:
     """Every entry replaced by the floor of its parts' mean."""
     out, k = [], 0
@@ -213,11 +242,10 @@ def _assigned(table: DataFrame, kinds: dict[str, str], books: Codebooks, before:
             if not n:
                 continue
             ids, labels = batch.column(0), batch.column(1)
+            x = _matrix(batch.column(2), dim, "<i8")
             if first:
-                x = batch.column(2).flatten().to_numpy().reshape(n, dim)
                 at, upper, lower = np.zeros((n, parts), np.uint8 if len(books.entries[0]) <= 256 else np.int32), np.zeros((n, parts)), np.zeros((n, parts))
             else:
-                x = _matrix(batch.column(2), dim, "<i8")
                 at = _matrix(batch.column(3), parts, "<u1" if len(books.entries[0]) <= 256 else "<i4")
                 upper, lower = (_matrix(batch.column(k), parts, "<f8") for k in (4, 5))
             scanned += step.assign(x, at, upper, lower)
