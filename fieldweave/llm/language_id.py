@@ -30,12 +30,30 @@ LETTERS = 24
 CHAIN = 64
 #: Blocks, and characters of a text, that are worked on at once, which bounds a worker's memory.
 BLOCKS_AT_ONCE, TEXT_AT_ONCE = 4096, 1 << 22
-#: Words whose emissions a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Words whose emissions a worker remembers before it starts afresh, fewer if they have more than CACHE_VALUES values.
+CACHE_WORDS, CACHE_VALUES = 250_000, 4_000_000
+#: Labels between which moves are weighed within a text: those that its words speak for most, of all labels.
+BEAM = 64
 #: Ranges of scripts written without spaces (Thai and Lao, Burmese, Khmer, kana, ideographs), of which two letters make a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-#: Signs, digits and spaces, which part words.
-_PARTING = "\x00-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2bff\u2e00-\u2e7f\u3000-\u303f\ufe30-\ufe4f\uff00-\uff20\uff3b-\uff40\uff5b-\uff65\U0001f000-\U0001faff"
+#: Blocks of signs, digits and spaces, which part words. Letters within them do not.
+_SIGNS = (
+    (0x00, 0x40), (0x5B, 0x60), (0x7B, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x303F), (0xFE30, 0xFE4F), (0xFF00, 0xFF65), (0x1F000, 0x1FAFF),
+)
+
+
+def _spans(points) -> str:
+    """Rising code points as ranges of a character class."""
+    out = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_PARTING = _spans(c for a, b in _SIGNS for c in range(a, b + 1) if not chr(c).isalpha())
 _WORD = re.compile(f"[{_UNSPACED}]{{1,2}}|[^{_PARTING}{_UNSPACED}]{{1,{LETTERS}}}")
 UNDETERMINED = "und"
 
@@ -81,14 +99,23 @@ def features_of(words: list[str]) -> np.ndarray:
 
 
 class ChainModel:
-    """Weights and inference of the random field."""
+    """Weights and inference of the random field. The table of weights gets fewer rows where there are many labels, so its size is bounded."""
 
     def __init__(self, labels: list[str]):
         self.labels = labels
-        self.weights = np.zeros((1 << TABLE_BITS, len(labels)), np.float32)
+        self.bits = min(TABLE_BITS, max(8, TABLE_BITS + 5 - max(len(labels) - 1, 1).bit_length()))
+        self.weights = np.zeros((1 << self.bits, len(labels)), np.float32)
         self.moves = np.zeros((len(labels), len(labels)), np.float32)
 
+    def folded(self, features: np.ndarray) -> np.ndarray:
+        """Table rows of features in this model's table."""
+        if self.bits == TABLE_BITS:
+            return features
+        none = (1 << self.bits) - 1
+        return np.where(features == (1 << TABLE_BITS) - 1, none, features % none)
+
     def emissions(self, features: np.ndarray) -> np.ndarray:
+        features = self.folded(features)
         out = np.zeros((len(features), len(self.labels)), np.float32)
         for f in range(features.shape[1]):
             out += self.weights[features[:, f]]
@@ -152,12 +179,12 @@ class ChainModel:
         np.add.at(seen_moves, (truth[:, :-1][real[:, 1:]], truth[:, 1:][real[:, 1:]]), 1)
         seen_w, seen_m = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6)
         total = real.sum()
-        flat = features.ravel()
+        flat = self.folded(features).ravel()
         for _ in range(steps):
             p, parts = self.marginals(self.emissions(features)[index], real)
             gap = (wanted - p * real[:, :, None]).reshape(-1, k) / total
             by_word = np.stack([np.bincount(index.ravel(), gap[:, j], len(vocabulary)) for j in range(k)], 1)
-            slope = np.stack([np.bincount(flat, np.repeat(by_word[:, j], features.shape[1]), 1 << TABLE_BITS) for j in range(k)], 1) - ridge * self.weights / total
+            slope = np.stack([np.bincount(flat, np.repeat(by_word[:, j], features.shape[1]), 1 << self.bits) for j in range(k)], 1) - ridge * self.weights / total
             slope[-1] = 0
             slope_m = (seen_moves - self.expected_moves(parts, real)) / total
             seen_w += slope**2
@@ -180,7 +207,7 @@ class Labeller:
 
     def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all words of the texts, one after the other, and the number of words of each."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > min(CACHE_WORDS, CACHE_VALUES // len(self.model.labels)):
             self.clear()
         index, known, parts, counts = self.index, len(self.index), [], []
         for text in texts:
@@ -203,30 +230,47 @@ class Labeller:
         """Sums of the label probabilities of each text's words, and the number of its words.
 
         Texts are cut into blocks of CHAIN words. The transfers of the blocks, multiplied from either end, give what the words
-        before and after say of a block, so its marginals are those of forward-backward over the whole text.
+        before and after say of a block, so its marginals are those of forward-backward over the whole text. Beyond BEAM labels each text weighs its own.
         """
         codes, counts = self._codes(texts)
-        k, blocks = len(self.model.labels), -(-counts // CHAIN)
+        k = len(self.model.labels)
+        if k <= BEAM:
+            return self._shares(codes, counts, self.rows, self.model), counts
+        sums, ends = np.zeros((len(texts), k)), np.cumsum(counts)
+        for i in np.flatnonzero(counts).tolist():
+            own = codes[ends[i] - counts[i] : ends[i]]
+            spoken = sum((self.rows[own[at : at + CACHE_WORDS]].sum(0, dtype=float) for at in range(0, len(own), CACHE_WORDS)), np.zeros(k))
+            beam = np.sort(np.argsort(-spoken, kind="stable")[:BEAM])
+            words, rows = np.unique(own, return_inverse=True)
+            part = ChainModel([self.model.labels[b] for b in beam])
+            part.moves = self.model.moves[np.ix_(beam, beam)]
+            sums[i, beam] = self._shares(rows.ravel(), counts[i : i + 1], self.rows[np.ix_(words, beam)], part)[0]
+        return sums, counts
+
+    @staticmethod
+    def _shares(codes: np.ndarray, counts: np.ndarray, known: np.ndarray, model: ChainModel) -> np.ndarray:
+        """Sums of label probabilities of texts' words (rows of ``known``)."""
+        k, blocks = len(model.labels), -(-counts // CHAIN)
         first, total = np.cumsum(blocks) - blocks, int(blocks.sum())
-        sums = np.zeros((len(texts), k))
+        sums = np.zeros((len(counts), k))
         if not total:
-            return sums, counts
-        of_text = np.repeat(np.arange(len(texts)), blocks)
+            return sums
+        of_text = np.repeat(np.arange(len(counts)), blocks)
         start = np.repeat(np.cumsum(counts) - counts, blocks) + (np.arange(total) - first[of_text]) * CHAIN
         size = np.minimum(CHAIN, np.cumsum(counts)[of_text] - start)
         enter, leave = np.ones((total, k), np.float32), np.ones((total, k), np.float32)
 
         def words(rows):
             real = np.arange(CHAIN) < size[rows][:, None]
-            return self.rows[codes[np.minimum(start[rows][:, None] + np.arange(CHAIN), len(codes) - 1)]] * real[:, :, None], real
+            return known[codes[np.minimum(start[rows][:, None] + np.arange(CHAIN), len(codes) - 1)]] * real[:, :, None], real
 
         many = np.flatnonzero(blocks[of_text] > 1)
         if len(many):
             whole = np.empty((total, k, k), np.float32)
             for at in range(0, len(many), BLOCKS_AT_ONCE):
                 rows = many[at : at + BLOCKS_AT_ONCE]
-                whole[rows] = self.model.transfer(*words(rows))
-            moves, long = np.exp(self.model.moves), np.argsort(-blocks, kind="stable")
+                whole[rows] = model.transfer(*words(rows))
+            moves, long = np.exp(model.moves), np.argsort(-blocks, kind="stable")
             most = blocks[long]
             for j in range(1, int(most[0])):
                 now = long[: np.searchsorted(-most, -j)]
@@ -239,9 +283,9 @@ class Labeller:
         for at in range(0, total, BLOCKS_AT_ONCE):
             rows = np.arange(at, min(total, at + BLOCKS_AT_ONCE))
             emissions, real = words(rows)
-            p = self.model.marginals(emissions, real, enter[rows], leave[rows])[0]
+            p = model.marginals(emissions, real, enter[rows], leave[rows])[0]
             np.add.at(sums, of_text[rows], (p * real[:, :, None]).sum(1))
-        return sums, counts
+        return sums
 
     def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
         sums, counts = self.shares(texts)
@@ -277,13 +321,15 @@ def training_chains(pieces: list[tuple[list[str], str]], labels: list[str], leng
     return [c for c in out if c[0]]
 
 
-def train_language_model(docs: DataFrame, sample_per_label: int = 500, most_labels: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ChainModel | None:
-    """Fit on about ``sample_per_label`` labelled documents of each of the ``most_labels`` commonest languages (documented bounds; chosen by a hash of the id).
+def train_language_model(docs: DataFrame, sample_per_label: int = 500, sample_values: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ChainModel | None:
+    """Fit on about ``sample_per_label`` labelled documents of each language (documented bounds; chosen by a hash of the id).
 
-    Only some stretches of words of those documents come to the driver, so their bytes are bounded too.
+    All labels are learned. Where there are many, each has fewer documents, so that documents times labels times labels come to about ``sample_values`` (6 documents a label at
+    least). Only some stretches of words of those documents come to the driver, so their bytes are bounded too.
     """
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample_per_label = max(6, min(sample_per_label, sample_values // max(1, len(counts)) ** 2))
     if not counts:
         return None
     labels = sorted(counts)

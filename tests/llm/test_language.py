@@ -68,6 +68,38 @@ def test_unspaced_texts_are_told(spark):
     assert [x[0] for x in li.Labeller(model).languages([mixed, mixed[::-1], "".join(r.choices(kana, k=40))])] == ["th", "th", "ja"]
 
 
-def test_most_labels_bound_the_model(spark):
+def test_rare_labels_are_learned(spark):
     rows = [(k, "wort ding haus", f"l{k % 9}" if k < 30 else "de") for k in range(200)]
-    assert len(li.train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_labels=3).labels) == 3
+    assert len(li.train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels) == 10
+
+
+def test_every_letter_is_told():
+    """Each code point of categories L* is a word by itself, and no other is without a letter beside it."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha()]
+    assert not [c for c in letters if not li.words_of(c)]
+    model = _model(3)
+    told = li.Labeller(model).languages(["ℝ", "ⁿ", "々", "ℕ ℝ ℂ", "№ 5", "¹²", "", None, "†‡"])
+    assert [t == li.UNDETERMINED for t, _ in told] == [False] * 4 + [True] * 5
+
+
+def test_beam_of_few_labels_is_the_whole(monkeypatch):
+    """Texts that weigh their own labels one by one get what all together give, while the beam holds all labels."""
+    model, texts = _model(4, "abcde"), ["der die das und " * 30, "the and of", "", "le la une straße " * 9]
+    whole = li.Labeller(model).shares(texts)[0]
+    monkeypatch.setattr(li, "BEAM", 4)
+    part = li.Labeller(model).shares(texts)[0]
+    assert part.shape == whole.shape and ((part > 0).sum(1) <= 4).all() and np.allclose(part.sum(1), whole.sum(1), rtol=1e-3)
+    assert (part.argmax(1) == whole.argmax(1)).all()
+
+
+def test_a_hundred_labels(spark):
+    """More labels than the beam: every one can be predicted."""
+    r = random.Random(7)
+    words = {k: ["".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiouyäö") for _ in range(r.randint(2, 4))) for _ in range(60)] for k in range(100)}
+    docs = [(i, " ".join(r.choices(words[i % 100], k=40)), f"l{i % 100:02d}") for i in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = li.train_language_model(frame.where("doc_id < 1500"))
+    assert len(model.labels) == 100 and model.weights.nbytes < 100 << 20
+    found = {x.doc_id: x.lang_pred for x in li.identify_languages(frame.where("doc_id >= 1500"), model).collect()}
+    right = [found[i] == lang for i, _, lang in docs[1500:]]
+    assert sum(right) > 0.95 * len(right) and {lang for i, _, lang in docs[1500:]} == {found[i] for i in found}
