@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A word is read as the term of the lexicon it matches, or as a threatening verb, target, negation or speech verb.
+A word is read as the term of the lexicon it matches, as a target, negation or speech verb, or, by a machine of letters that reads stems and their
+endings, as a form of a threatening verb.
 Five small transducers with weights on their arcs read a clause: one turns terms into insults of the term's weight, one turns verbs
 into threats, one marks both in the scope of a negation, one marks them in reported speech, one notes whether
 somebody is addressed. They are composed into one machine, run over every clause that holds an insult or threat, and the weights
@@ -26,10 +27,22 @@ from fieldweave.llm.packing import slices
 NEGATION = "not no never isn't aren't don't nicht kein keine keinen nie niemals pas jamais aucun ni nunca jamás tampoco".split()
 SPEECH = "said says say wrote writes called calls claimed claims quoted tweeted shouted sagte sagt schrieb nannte rief dit disait écrit appelé crié dijo dice escribió llamó gritó".split()
 TARGET = "you your you're he she they them him her du dich dir ihr euch sie er tu toi te vous il elle ils usted ustedes tú ti vosotros él ella ellos".split()
-THREAT = "kill murder destroy hurt shoot stab hang burn töten umbringen zerstören erschießen tuer détruire frapper brûler matar destruir golpear quemar".split()
+# Stems of threatening verbs and the endings that inflect them, by language; irregular forms stand with the stems, to be read with no ending.
+THREATS = {
+    "kill murder destroy hurt shoot stab stabb hang burn": " s ed ing t",
+    "shot hung": "",
+    "töt zerstör erschieß umbring umzubring": "en e st est t et te ten test tet end",
+    "erschoss erschossen umgebracht": "",
+    "tu frapp brûl": "er e es ent ez ons erai eras era erons erez eront ai é ée és ant",
+    "détrui": "re s t sent rai ras ra rons rez ront",
+    "mat quem golpe": "ar o as a an amos aré arás ará arán aremos é ó aron ando ado",
+    "destru": "ir yo yes ye yen iré irás irá irán í yó yeron yendo ido",
+}
 INSULT = "idiot moron stupid loser pathetic scum worthless trash disgusting clown dumb imbecile dummkopf trottel abschaum widerlich imbécile débile ordure minable estúpido imbécil basura inútil".split()
 #: Words a negation reaches over.
 SCOPE = 3
+#: What a machine of letters reads after a word's last letter.
+END = "end of word"
 #: Prior weights of the features below, kept where the labels say nothing.
 PRIOR = np.array([-4.0, 5.0, 0.5, 0.5, 1.0, 3.0, 0.5, 0.3])
 #: Lengths of stems that are considered.
@@ -120,12 +133,35 @@ def grammar(terms: dict[str, float]) -> Transducer:
     return whole
 
 
+def inflections(groups: dict[str, str]) -> Transducer:
+    """A machine of letters: reads a stem and one of its endings (a blank stands for none), letter by letter, and is then in the state ``True``.
+
+    States are what has been read; from a stem an arc leads on by the letters of each ending.
+    """
+    arcs: dict = {}
+
+    def lay(word: str) -> None:
+        state = ""
+        for letter in word:
+            arcs[state, letter] = (state + letter, letter, 1.0)
+            state += letter
+        arcs[state, END] = (True, END, 1.0)
+
+    for stems, endings in groups.items():
+        for stem in stems.split():
+            for ending in {*endings.split(), *([""] if not endings or endings.startswith(" ") else [])}:
+                lay(stem + ending)
+    lost = {state: None for state, _ in arcs}
+    return Transducer("", arcs, lost | {None: None, True: None})
+
+
 class Lexicon:
     """Weighted insults: whole words, and stems that any ending may follow."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        self.classes = {w: t for t, ws in (("target", TARGET), ("negation", NEGATION), ("speech", SPEECH), ("verb", THREAT)) for w in ws}
+        self.classes = {w: t for t, ws in (("target", TARGET), ("negation", NEGATION), ("speech", SPEECH)) for w in ws}
+        self.verbs = inflections(THREATS)
         self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
         # Words by themselves, stems marked by a hyphen.
         self.grammar = grammar({w: x for w, x in words.items() if x > 0} | {f"{s}-": x for s, x in stems.items() if x > 0})
@@ -139,7 +175,10 @@ class Lexicon:
                 return "term", f"{stem}-"
         elif weight > 0:
             return "term", word
-        return "quote" if not word[0].isalpha() else self.classes.get(word, "other")
+        if not word[0].isalpha():
+            return "quote"
+        own = self.classes.get(word)
+        return own or ("verb" if self.verbs.run([*word, END])[2] is True else "other")
 
     def __reduce__(self):
         # The machine is composed anew from the lexicon.
@@ -149,7 +188,7 @@ class Lexicon:
         """Finds where a lower-cased text may hold an insult or threat."""
         machine = ahocorasick.Automaton()
         words = {w for w, weight in self.words.items() if weight > 0 and not any(w.startswith(s) for s in self.stems)}
-        for term in {*words, *self.stems, *THREAT}:
+        for term in {*words, *self.stems, *(stem for stems in THREATS for stem in stems.split())}:
             machine.add_word(term, len(term))
         machine.make_automaton()
         return machine

@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from fieldweave.llm.toxicity import PRIOR, THREAT, Lexicon, ToxicityModel, clause_outputs, grammar, machines, text_features
+from fieldweave.llm.toxicity import END, PRIOR, THREATS, Lexicon, ToxicityModel, clause_outputs, grammar, inflections, machines, text_features
 
 LEXICON = Lexicon({"moron": 0.8, "mora": 0.3, "fool": 1.0, "fine": 0.0}, {"scum": 0.6, "idio": 0.9})
 
@@ -79,4 +79,24 @@ def test_many_matches_take_linear_time():
 
 def test_a_lexicon_travels():
     again = pickle.loads(pickle.dumps(LEXICON))
-    assert clause_outputs(["you", "scumbag"], again) == clause_outputs(["you", "scumbag"], LEXICON) and "kill" in THREAT
+    assert clause_outputs(["you", "scumbag"], again) == clause_outputs(["you", "scumbag"], LEXICON) and any("kill" in stems for stems in THREATS)
+
+
+@pytest.mark.parametrize(
+    "text,threats",
+    [
+        ("I am killing you", 1), ("I will kill you", 1), ("he stabbed him", 1), ("ich töte dich", 1), ("sie haben dich umgebracht", 1), ("je te tue", 1), ("ils vont te frapper", 1),
+        ("te voy a matar", 1), ("la destruyó ella", 1), ("tu es ici avec toi", 0), ("tu tournes", 0), ("the killer whale and you", 0), ("a burner for you", 0), ("you hang by a killjoy", 1), ("mats you", 0), ("mata a ellos", 1),
+    ],
+)
+def test_threats_in_every_form(text, threats):
+    """A stem with one of its endings is a threat, alone or within other words it is none."""
+    lexicon = Lexicon({}, {})
+    x = text_features(text, lexicon, lexicon.finder())
+    assert (x[5] > 0) == bool(threats), x
+
+
+def test_machine_of_letters_is_the_list_of_forms():
+    machine = inflections({"tu frapp": "er e", "kill": " s ed", "shot": ""})
+    reads = lambda w: machine.run([*w, END])[2] is True
+    assert [w for w in ("tuer", "tue", "tu", "frappe", "frapp", "frapper", "kill", "kills", "killed", "killeds", "kil", "shot", "shots", "") if reads(w)] == ["tuer", "tue", "frappe", "frapper", "kill", "kills", "killed", "shot"]
