@@ -24,7 +24,7 @@ from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import layout
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import fingerprint, linked, links, simhash_components
-from fieldweave.llm.similar import CARRIED, TRIPLES, _ranked, candidate_edges, forest, meetings, most_bits, similar_components
+from fieldweave.llm.similar import CARRIED, _ranked, candidate_edges, forest, index_shape, meetings, most_bits, positions, similar_components
 from fieldweave.llm.substring_dedup import repeated_passages
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -407,6 +407,35 @@ def test_similar_groups_do_not_depend_on_blocks(spark, monkeypatch):
         assert got == dict(enumerate(want)) and len(set(want)) > 3
 
 
+def test_shape_of_the_index():
+    """Lists do not grow with the corpus, sets of positions hardly overlap, and one pair in twenty at 0.8 is left out by counting bits."""
+    for texts, width in ((10, 2), (8 << 20, 2), (9 << 20, 3), (1 << 31, 3), (1 << 33, 4)):
+        got, tables = index_shape(texts, 0.8)
+        sets = positions(width)
+        assert got == width and len(sets) == {2: 4, 3: 8, 4: 14}[width] and {len(s) for s in sets} == {width}
+        assert max(len(set(a) & set(b)) for a in sets for b in sets if a != b) == width - 2
+        meets = (1 - np.arccos(1.6 / 1.8) / np.pi) ** (8 * width)
+        assert (1 - meets) ** (tables * len(sets)) <= 0.05 < (1 - meets) ** ((tables - 1) * len(sets))
+
+
+@pytest.mark.parametrize("width", [3, 4])
+def test_wider_lists_find_as_much(spark, monkeypatch, width):
+    """The index of a larger corpus, forced on a small one."""
+    monkeypatch.setattr("fieldweave.llm.similar.index_shape", lambda texts, similarity: (width, index_shape(1 << (8 * width + 6), similarity)[1]))
+    r = random.Random(19)
+    word, text = _passages(r)
+    rows = []
+    for _ in range(60):
+        words = text(120)
+        rows.append(" ".join(words))
+        for _ in range(2):
+            words[r.randrange(len(words))] = word()
+        rows.append(" ".join(words))
+    got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    alike = [brute.likeness(brute.word_shingles(rows[2 * i]), brute.word_shingles(rows[2 * i + 1])) >= 0.8 for i in range(60)]
+    assert sum(a and got[2 * i] == got[2 * i + 1] for i, a in enumerate(alike)) >= 0.9 * sum(alike) > 30 and all(k // 2 == v // 2 for k, v in got.items())
+
+
 def test_ranks_of_lists(spark):
     r = random.Random(17)
     rows = [(r.choice((1, 1, 1, r.randrange(300))), k) for k in range(2000)]
@@ -471,13 +500,13 @@ def test_pipeline(spark, tokenizer):
     texts = {i: t for i, t in texts.items() if told[i][0] != "und" and told[i][1] >= corpus_pipeline.LEAST_CONFIDENCE}
     texts = brute.line_dedup(list(texts.items()))
     ids = sorted(texts)
-    tables = corpus_pipeline.FINGERPRINTS
+    width, tables = index_shape(len(ids), corpus_pipeline.SIMILARITY)
     prints = [fingerprint(texts[i], 5, tables) for i in ids]
     same = [[[x >> 8 * p & 0xFF for p in range(8)] for x in fps] for fps in prints]
 
     def meet(i, j):
         near = sum((x ^ y).bit_count() for x, y in zip(prints[i][:CARRIED], prints[j][:CARRIED])) <= most_bits(corpus_pipeline.SIMILARITY, CARRIED)
-        return near and any(all(x[p] == y[p] for p in triple) for x, y in zip(same[i], same[j]) for triple in TRIPLES)
+        return near and any(all(x[p] == y[p] for p in triple) for x, y in zip(same[i], same[j]) for triple in positions(width))
 
     near = brute.similar([texts[i] for i in ids], meet)
     # Texts without words are one group.
