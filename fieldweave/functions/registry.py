@@ -19,6 +19,7 @@ class Operator:
     cost: str = "low"
     doc: str = ""
     lower: Callable | None = None
+    line: Callable | None = None
 
     def wraps(self, node: Node) -> bool:
         return node.param("boundary") == "periodic"
@@ -28,22 +29,61 @@ REGISTRY: dict[str, Operator] = {}
 COSTS = ("low", "medium", "high", "very_high")
 
 
-def register_operator(name: str, build: Callable | None = None, *, stencil: Callable | None = None, lower: Callable | None = None, radius: int = 0, cost: str = "low", doc: str = "", replace: bool = False) -> Operator:
+def register_operator(
+    name: str,
+    build: Callable | None = None,
+    *,
+    stencil: Callable | None = None,
+    lower: Callable | None = None,
+    line: Callable | None = None,
+    radius: int = 0,
+    cost: str = "low",
+    doc: str = "",
+    replace: bool = False,
+) -> Operator:
     """Add an operator that expressions can call.
 
     ``build(workspace, node, *values)`` returns a Value. ``stencil(node, values, ndim)`` returns a
-    ``StencilPlan``. ``lower(node, ndim)`` rewrites the call to other operators.
+    ``StencilPlan``. ``lower(node, ndim)`` rewrites the call to other operators. ``line(values, **params)`` is a NumPy function of whole
+    lines, many at a time: it takes an array (lines, cells) and returns one of the same shape; expressions call it with ``dim``, the axis, and its own parameters.
     """
-    if sum(x is not None for x in (build, stencil, lower)) != 1:
-        raise ValueError("give exactly one of build, stencil and lower")
+    if sum(x is not None for x in (build, stencil, lower, line)) != 1:
+        raise ValueError("give exactly one of build, stencil, lower and line")
     if cost not in COSTS:
         raise ValueError(f"cost must be one of {COSTS}")
     if name in REGISTRY and not replace:
         raise ValueError(f"operator {name!r} is registered already")
-    REGISTRY[name] = Operator(name, build, stencil, radius, cost, doc or ((build or stencil or lower).__doc__ or "").strip(), lower)
+    about = doc or ((build or stencil or lower or line).__doc__ or "").strip()
+    REGISTRY[name] = Operator(name, _of_lines(name, line) if line else build, stencil, radius, cost, about, lower, line)
     return REGISTRY[name]
 
 
+def _of_lines(name: str, line: Callable) -> Callable:
+    """A builder that applies a function of lines along the axis ``dim`` of a scalar field."""
+
+    def build(ws, node, v):
+        from fieldweave.operators.lines import adopt, along, line_cells
+        from fieldweave.operators.pointwise import need
+        from fieldweave.plans.expression import ExpressionError
+        from fieldweave.plans.workspace import Value
+
+        d, params = node.param("dim", 0) % ws.ndim, {k: p for k, p in node.params if k != "dim"}
+        if ws.shape[d] > line_cells():
+            raise ExpressionError(f"{name} needs whole lines; axis {d} has {ws.shape[d]} cells, more than the {line_cells()} that one task takes")
+        df = ws.df.select(*ws.axes, need(name, v, "scalar").column.alias("v"))
+        return Value("scalar", adopt(ws, node, along(df, ws.shape, (d,), ["v"], lambda x: [whole_lines(line, x, params)], ["v"]), ["v"]))
+
+    return build
+
+
+def whole_lines(line: Callable, values, params: dict):
+    """The function's result, which must have the shape of what it was given."""
+    out = line(values, **params)
+    if getattr(out, "shape", None) != values.shape:
+        raise ValueError(f"a function of lines gave {getattr(out, 'shape', type(out).__name__)} for {values.shape}")
+    return out
+
+
 def operator(name: str, **kw):
     """Decorator form of ``register_operator`` for builders."""
 

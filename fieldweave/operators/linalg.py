@@ -1,15 +1,16 @@
-"""Linear algebra on a square matrix per cell: closed forms up to 3 x 3, NumPy over Arrow batches beyond."""
+"""Linear algebra on a square matrix per cell: closed forms up to 3 x 3, elimination and rotations over whole Arrow batches beyond."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldweave.functions.registry import operator
+from fieldweave.operators.batched import determinants, inverses, symmetric_eigenvalues
 from fieldweave.operators.pointwise import need
 from fieldweave.plans.workspace import Value
 
@@ -27,17 +28,16 @@ def _det(m: list[list[Column]]) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def _stacked(columns: pd.Series, size: int) -> np.ndarray:
-    return np.stack([np.asarray(x, float) for x in columns]).reshape(-1, size, size) if len(columns) else np.zeros((0, size, size))
-
-
-def _by_numpy(v: Value, f, result: str):
+def _batched(v: Value, f, result: str):
+    """A function of all matrices of a batch (cell, row, column), for sizes without a closed form."""
     size = v.size
 
-    @F.pandas_udf(result)
-    def run(cells: pd.Series) -> pd.Series:
-        out = f(_stacked(cells, size))
-        return pd.Series(list(out.reshape(len(out), -1)) if out.ndim > 1 else out)
+    @F.arrow_udf(result)
+    def run(cells: pa.Array) -> pa.Array:
+        out = f(cells.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cells), size, size)).reshape(len(cells), -1)
+        if result == "double":
+            return pa.array(out[:, 0])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
     return run(F.array(*v.columns))
 
@@ -60,7 +60,7 @@ def _determinant(ws, node, m):
     shift = ws.number(F.coalesce(F.max(F.when(small, F.lit(1e-12)).otherwise(F.lit(0.0))), F.lit(0.0)))
     shifted = tuple(c + shift if k // m.size == k % m.size else c for k, c in enumerate(m.columns))
     v = Value("matrix", shifted, m.size)
-    det = _det(_rows(v)) if m.size <= 3 else _by_numpy(v, np.linalg.det, "double")
+    det = _det(_rows(v)) if m.size <= 3 else _batched(v, determinants, "double")
     det = F.when(F.isnan(det), F.lit(0.0)).otherwise(F.least(F.greatest(det, F.lit(-1e30)), F.lit(1e30)))
     return Value("scalar", (det,))
 
@@ -88,7 +88,7 @@ def _eigenvalues(ws, node, m):
         angle = F.acos(F.least(F.greatest(_det(b) / 2, F.lit(-1.0)), F.lit(1.0))) / 3
         (high, low, q) = ws.keep(q + 2 * p * F.cos(angle), q + 2 * p * F.cos(angle + 2 * math.pi / 3), q)
         return Value("vector", (low, 3 * q - high - low, high), 3)
-    out = ws.keep(_by_numpy(Value("matrix", c, m.size), np.linalg.eigvalsh, "array<double>"))[0]
+    out = ws.keep(_batched(Value("matrix", c, m.size), symmetric_eigenvalues, "array<double>"))[0]
     return Value("vector", tuple(out[k] for k in range(m.size)), m.size)
 
 
@@ -98,7 +98,7 @@ def _inverse(ws, node, m):
     need("inverse", m, "matrix")
     v = Value("matrix", ws.keep(*m.columns), m.size)
     if m.size > 3:
-        out = ws.keep(_by_numpy(v, np.linalg.inv, "array<double>"))[0]
+        out = ws.keep(_batched(v, inverses, "array<double>"))[0]
         return Value("matrix", tuple(out[k] for k in range(m.size**2)), m.size)
     rows = _rows(v)
     (det,) = ws.keep(_det(rows))

@@ -97,7 +97,7 @@ def grouped(shape: tuple[int, ...], axes) -> list[tuple[int, ...]]:
     return out
 
 
-def _adopt(ws: Workspace, node, out: DataFrame, names: list[str]) -> tuple:
+def adopt(ws: Workspace, node, out: DataFrame, names: list[str]) -> tuple:
     """Bring a result into the frame by its coordinates; where it is all that is asked for, it becomes the frame."""
     fresh = [ws.fresh() for _ in names]
     new = out.select(*ws.axes, *[F.col(n).alias(x) for n, x in zip(names, fresh)])
@@ -216,7 +216,7 @@ def spectral(df: DataFrame, shape: tuple[int, ...], axes, steps: tuple[float, ..
 @operator("fft", cost="high")
 def _fft(ws, node, v):
     """N-D Fourier transform, complex"""
-    return Value("complex", _adopt(ws, node, _transform(ws, node, v, -1), ["re", "im"]))
+    return Value("complex", adopt(ws, node, _transform(ws, node, v, -1), ["re", "im"]))
 
 
 @operator("fft_complex", cost="high")
@@ -228,13 +228,13 @@ def _fft_complex(ws, node, v):
 @operator("ifft", cost="high")
 def _ifft(ws, node, v):
     """real part of the inverse transform"""
-    return Value("scalar", _adopt(ws, node, _transform(ws, node, v, 1), ["re"]))
+    return Value("scalar", adopt(ws, node, _transform(ws, node, v, 1), ["re"]))
 
 
 @operator("ifft_complex", cost="high")
 def _ifft_complex(ws, node, v):
     """inverse transform, complex"""
-    return Value("complex", _adopt(ws, node, _transform(ws, node, v, 1), ["re", "im"]))
+    return Value("complex", adopt(ws, node, _transform(ws, node, v, 1), ["re", "im"]))
 
 
 def _steps(node, ndim: int) -> tuple[float, ...]:
@@ -246,14 +246,14 @@ def _steps(node, ndim: int) -> tuple[float, ...]:
 def _spectral_gradient(ws, node, v):
     """derivative along dim by Fourier transforms of the lines of that axis alone; dx is 1 unless given"""
     df = ws.df.select(*ws.axes, need("spectral_gradient", v, "scalar").column.alias("v"))
-    return Value("scalar", _adopt(ws, node, spectral(df, ws.shape, [node.param("dim", 0) % ws.ndim], _steps(node, ws.ndim), False), ["v"]))
+    return Value("scalar", adopt(ws, node, spectral(df, ws.shape, [node.param("dim", 0) % ws.ndim], _steps(node, ws.ndim), False), ["v"]))
 
 
 @operator("spectral_laplacian", cost="high")
 def _spectral_laplacian(ws, node, v):
     """sum of second derivatives, each by transforms of one axis's lines; dx is 1 unless given"""
     df = ws.df.select(*ws.axes, need("spectral_laplacian", v, "scalar").column.alias("v"))
-    return Value("scalar", _adopt(ws, node, spectral(df, ws.shape, range(ws.ndim), _steps(node, ws.ndim), True), ["v"]))
+    return Value("scalar", adopt(ws, node, spectral(df, ws.shape, range(ws.ndim), _steps(node, ws.ndim), True), ["v"]))
 
 
 def nearest_squares(f: np.ndarray, h: float, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -390,4 +390,4 @@ def _distance_transform(ws, node, v):
         else:
             df = (nearest_across_blocks if k else nearest_by_blocks)(df, ws.shape, d, dx[d])
     far = F.col("v") == float("inf")
-    return Value("scalar", _adopt(ws, node, df.withColumn("v", F.when(~far, F.sqrt("v"))), ["v"]))
+    return Value("scalar", adopt(ws, node, df.withColumn("v", F.when(~far, F.sqrt("v"))), ["v"]))

@@ -19,8 +19,8 @@ def _elements(ws: Workspace, v: Value):
     if v.is_number:
         raise ExpressionError("a reduction needs a field")
     if len(v.columns) == 1:
-        return ws.df.select(v.column.alias("x"))
-    return ws.df.select(F.explode(F.array(*v.columns)).alias("x"))
+        return ws.df.select(*ws.keys, v.column.alias("x"))
+    return ws.df.select(*ws.keys, F.explode(F.array(*v.columns)).alias("x"))
 
 
 def _axis(ws: Workspace, dim: int) -> int:
@@ -92,9 +92,9 @@ def _two(op: str, ws: Workspace, a: Value, b: Value):
     if a.is_number or b.is_number or a.kind != b.kind or a.size != b.size:
         raise ExpressionError(f"{op} needs two fields alike in shape")
     if len(a.columns) == 1:
-        return ws.df.select(a.column.alias("x"), b.column.alias("y"))
+        return ws.df.select(*ws.keys, a.column.alias("x"), b.column.alias("y"))
     pairs = F.explode(F.arrays_zip(F.array(*a.columns).alias("x"), F.array(*b.columns).alias("y")))
-    return ws.df.select(pairs.alias("p")).select("p.x", "p.y")
+    return ws.df.select(*ws.keys, pairs.alias("p")).select(*ws.keys, "p.x", "p.y")
 
 
 @operator("covariance", cost="medium")

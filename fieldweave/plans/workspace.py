@@ -56,6 +56,9 @@ class Workspace:
         self.df: DataFrame | None = None
         #: The one node that is asked for, if there is no other: when it is built, nothing else in the frame is needed.
         self.only: Node | None = None
+        #: While a parameter is swept: the column that tells its steps apart, and one row a step with the numbers found for it.
+        self.keys: list[str] = []
+        self.steps: DataFrame | None = None
         #: By identity of a Column: the column itself, so it is not reused, and its reference in the frame.
         self._kept: dict[int, tuple[Column, Column]] = {}
         self._names: dict[int, str] = {}
@@ -103,8 +106,20 @@ class Workspace:
         return self._names[id(reference)]
 
     def number(self, aggregate: Column, where: DataFrame | None = None) -> Column:
-        """An aggregate over the frame, as a scalar subquery."""
-        return (self.df if where is None else where).agg(aggregate.alias("x")).scalar()
+        """An aggregate over the frame, as a scalar subquery; of each step of a sweep, as a column."""
+        frame = self.df if where is None else where
+        if not self.keys:
+            return frame.agg(aggregate.alias("x")).scalar()
+        name = self.fresh()
+        table = F.broadcast(frame.groupBy(*self.keys).agg(aggregate.alias(name)))
+        self.df, self.steps = self.df.join(table, self.keys), self.steps.join(table, self.keys)
+        return F.col(name)
+
+    def sweep(self, key: str, steps: int) -> None:
+        """From here on the frame holds every cell once a step; ``key`` numbers the steps. Their number bounds the tables of numbers, which are broadcast."""
+        self.df = self.df.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+        self.steps = self.df.sparkSession.range(steps).select(F.col("id").cast("int").alias(key))
+        self.keys = [key]
 
 
 class Evaluator:
@@ -112,13 +127,13 @@ class Evaluator:
         self.ws, self.registry, self.done = workspace, registry, {}
 
     def run(self, root: Node):
+        self.ws.only = root
         return self.run_all([root])[0]
 
     def run_all(self, roots: list[Node]) -> list:
         """Evaluate several trees over the one frame: stencils of all that are ready at a time share an exchange, and equal nodes are evaluated once."""
         from fieldweave.operators.stencil import run_pass
 
-        self.ws.only = roots[0] if len(roots) == 1 else None
         while True:
             ready = list(dict.fromkeys(node for root in roots for node in self._ready(root)))
             if not ready:

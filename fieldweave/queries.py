@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldweave.functions.registry import register_operator
+from fieldweave.functions.sql import register_sql_function
 from fieldweave.operators.lines import bounded_lines
 from fieldweave.plans.evaluate import Result, evaluate
 from fieldweave.plans.graph import Graph
@@ -15,7 +17,7 @@ from fieldweave.sources import fixtures as fx
 from fieldweave.sources.hdf5 import open_hdf5, save_hdf5
 from fieldweave.sources.store import load_field, open_field, save_field
 from fieldweave.sources.work import work_path
-from fieldweave.streaming.run import run_to_store, stream_execute, sweep
+from fieldweave.streaming import run_in_slabs, run_to_store, stream_execute, sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -499,13 +501,57 @@ def _run_pipeline(spark, sf_dir):
 
 @_query("run_registered_operator", _cells(_G3, v="v * v * v - 1"))
 def _registered(spark, sf_dir):
-    from fieldweave.functions.registry import register_operator
     from fieldweave.plans.workspace import Value
 
     register_operator("cube_less_one", lambda ws, node, v: Value(v.kind, tuple(c * c * c - 1 for c in v.columns), v.size), replace=True)
     return tidy(evaluate("cube_less_one(f)", fx.g3(spark, sf_dir)))
 
 
+# Slabs, storage by blocks, kernels of lines.
+
+
+@_query("slabs_nested_stencil", ORACLES["compile_nested_stencil"])
+def _slabs(spark, sf_dir):
+    path, out = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field")), work_path(spark, "slabs")
+    run_in_slabs(spark, "laplacian(laplacian(f))", {"f": path}, out, slab=20)
+    return tidy_frame(open_field(spark, out).df.select("i0", "i1", "i2", "v"))
+
+
+@_query("slabs_of_an_inner_axis", ORACLES["laplacian_neumann"])
+def _slabs_inner(spark, sf_dir):
+    path, out = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field"), blocks=(16, 4, 4)), work_path(spark, "slabs")
+    run_in_slabs(spark, "laplacian(f) + laplacian(c * 0 * f)", {"f": path}, out, axis=1, slab=4, boundary="neumann", constants={"c": 3.0})
+    return tidy_frame(open_field(spark, out).df.select("i0", "i1", "i2", "v"))
+
+
+@_query("store_blocks", f"WITH {_G3} SELECT i0, i1 - 4 AS i1, i2 - 6 AS i2, v FROM f WHERE i1 >= 4 AND i1 < 7 AND i2 >= 6 AND i2 < 8")
+def _stored_blocks(spark, sf_dir):
+    path = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field"), blocks=(8, 4, 4))
+    return open_field(spark, path).slice(None, (4, 7), (6, 8)).df.select("i0", "i1", "i2", "v")
+
+
+def _running(values):
+    """running sums of lines"""
+    return values.cumsum(axis=1)
+
+
+_running_sql = f"WITH {_G3}, r AS (SELECT i0, i1, i2, sum(v) OVER (PARTITION BY i0, i2 ORDER BY i1 ROWS UNBOUNDED PRECEDING) AS v FROM f) SELECT i0, i1, i2, {rounded('v')} FROM r"
+
+
+@_query("run_line_kernel", _running_sql)
+def _line_kernel(spark, sf_dir):
+    register_operator("running_sum", line=_running, replace=True)
+    return tidy(evaluate("running_sum(f, dim=1)", fx.g3(spark, sf_dir)))
+
+
+@_query("run_sql_function", _running_sql)
+def _sql_function(spark, sf_dir):
+    register_operator("running_sum", line=_running, replace=True)
+    register_sql_function(spark, "running_sum")
+    fx.g3(spark, sf_dir)["f"].df.select("i0", "i1", "i2", "v").createOrReplaceTempView("g3_cells")
+    return tidy_frame(spark.sql("SELECT * FROM running_sum(TABLE(g3_cells), 1)"))
+
+
 @_query("sweep_power", f"WITH {_G3} SELECT a.x / 2.0 AS a, round(sum(exp(v * a.x / 2.0)), 6) + 0.0 AS v FROM f, range(3) a(x) GROUP BY 1")
 def _sweep(spark, sf_dir):
     return sweep("sum(exp(f * a))", fx.g3(spark, sf_dir), "a", 0.0, 1.0, 3).select("a", (F.round("v", 6) + F.lit(0.0)).alias("v"))
@@ -572,6 +618,28 @@ def _graph_stored(spark, sf_dir):
     return tidy_frame(kept["lap"].df)
 
 
+# Sweeps in one plan.
+
+
+@_query("sweep_fifty_steps", f"WITH {_G3} SELECT a.x * 0.02 AS a, {rounded('v')} FROM (SELECT a.x, sum(exp(v * a.x * 0.02)) AS v FROM f, range(51) a(x) GROUP BY 1) a")
+def _sweep_many(spark, sf_dir):
+    got = sweep("sum(exp(f * a))", fx.g3(spark, sf_dir), "a", 0.0, 1.0, 51)
+    return tidy_frame(got.select((F.round(F.col("a") * 50) * 0.02).alias("a"), "v").withColumnRenamed("a", "i9")).withColumnRenamed("i9", "a")
+
+
+@_query("sweep_of_reductions", f"WITH {_G3}, r AS (SELECT a.x AS a, var_samp(v * a.x) + sqrt(sum(v * v)) AS v FROM f, range(1, 4) a(x) GROUP BY 1) SELECT CAST(a AS DOUBLE) AS a, {rounded('v')} FROM r")
+def _sweep_reductions(spark, sf_dir):
+    got = sweep("variance(f * a - mean(f * a)) + norm_l2(f)", fx.g3(spark, sf_dir), "a", 1.0, 3.0, 3)
+    return tidy_frame(got.withColumnRenamed("a", "i9")).withColumnRenamed("i9", "a")
+
+
+@_query("sweep_of_cells", f"WITH {_G3}, l AS ({_graph.cte({'v': 'f.v', 'lap': _graph_columns['lap']})}), r AS (SELECT a.x AS a, i0, i1, i2, v * a.x + lap AS v FROM l, range(1, 4) a(x)) SELECT CAST(a AS DOUBLE) AS a, i0, i1, i2, {rounded('v')} FROM r")
+def _sweep_cells(spark, sf_dir):
+    """The laplacian does not depend on the number and is evaluated once."""
+    got = sweep("f * a + laplacian(f)", fx.g3(spark, sf_dir), "a", 1.0, 3.0, 3, boundary="periodic")
+    return tidy_frame(got.withColumnRenamed("a", "i9")).withColumnRenamed("i9", "a")
+
+
 # HDF5.
 
 
@@ -592,6 +660,72 @@ def _hdf5_expression(spark, sf_dir):
     return tidy(evaluate("laplacian(f + 2)", {"f": open_hdf5(spark, path)}))
 
 
+# Matrices of more than three rows: elimination without exchanges of rows in SQL, and what eigenvalues must add up to.
+
+
+def _matrices(size: int, cell: Callable[[int, int], str]) -> str:
+    return "f AS (SELECT CAST(vec_id AS INT) AS i0, " + ", ".join(f"{cell(r, c)} AS m{r}{c}" for r in range(size) for c in range(size)) + " FROM embeddings)"
+
+
+def _eliminated(size: int, cell: Callable[[int, int], str], inverse: bool) -> str:
+    """Tables e0, e1, ... of Gaussian elimination column by column; the last holds ``det``, or the inverse as b00.."""
+    at = [(r, c) for r in range(size) for c in range(size)]
+    start = [f"m{r}{c} AS a{r}{c}" for r, c in at] + [f"{float(r == c)} AS b{r}{c}" for r, c in at if inverse]
+    out = f"{_matrices(size, cell)}, e0 AS (SELECT i0, 1.0 AS det, {', '.join(start)} FROM f)"
+    for k in range(size):
+        columns = []
+        for name in "ab" if inverse else "a":
+            for r, c in at:
+                below = r > k or inverse and r != k
+                columns.append(f"{name}{r}{c} - a{r}{k} / a{k}{k} * {name}{k}{c} AS {name}{r}{c}" if below else f"{name}{r}{c} / a{k}{k} AS {name}{r}{c}" if inverse else f"{name}{r}{c}")
+        out += f", e{k + 1} AS (SELECT i0, det * a{k}{k} AS det, {', '.join(columns)} FROM e{k})"
+    return out
+
+
+def _element(size: int, form: str) -> Callable[[int, int], str]:
+    at = lambda r, c: f"CAST(embedding[{size * r + c + 1}] AS DOUBLE)"
+    shift = lambda r, c: f" + {2.0 if r == c else 0.0}"
+    return {"shifted": lambda r, c: at(r, c) + shift(r, c), "raised": lambda r, c: f"({at(r, c)} + {at(c, r)}) / 2" + shift(r, c)}[form]
+
+
+def _of_size(size: int) -> None:
+    shifted, raised = _element(size, "shifted"), _element(size, "raised")
+
+    @_query(f"linalg_determinant_{size}", f"WITH {_eliminated(size, shifted, False)} SELECT i0, {rounded('v')} FROM (SELECT i0, det AS v FROM e{size})")
+    def determinant(spark, sf_dir):
+        return tidy(evaluate("determinant(m)", fx.m3(spark, sf_dir, "shifted", size)))
+
+    names = [f"m{r}{c}" for r in range(size) for c in range(size)]
+    renamed = ", ".join(f"b{n[1:]} AS {n}" for n in names)
+
+    @_query(f"linalg_inverse_{size}", f"WITH {_eliminated(size, shifted, True)}, r AS (SELECT i0, {renamed} FROM e{size}) SELECT i0, {', '.join(rounded(n) for n in names)} FROM r")
+    def inverse(spark, sf_dir):
+        return tidy(evaluate("inverse(m)", fx.m3(spark, sf_dir, "shifted", size)))
+
+    power = {1: " + ".join(f"m{r}{r}" for r in range(size)), 2: " + ".join(f"m{r}{c} * m{c}{r}" for r in range(size) for c in range(size))}
+    power[3] = " + ".join(f"m{r}{c} * m{c}{k} * m{k}{r}" for r in range(size) for c in range(size) for k in range(size))
+    sums = ", ".join(f"{e} AS p{n}" for n, e in power.items())
+
+    @_query(
+        f"linalg_eigenvalues_{size}",
+        f"WITH {_eliminated(size, raised, False)}, r AS (SELECT f.i0, {sums}, e{size}.det AS product FROM f JOIN e{size} ON f.i0 = e{size}.i0) SELECT i0, {', '.join(rounded(c) for c in ('p1', 'p2', 'p3', 'product'))}, TRUE AS rising FROM r",
+    )
+    def eigenvalues(spark, sf_dir):
+        """Sums of the eigenvalues' powers, their product, and whether they rise."""
+        v = [F.col(f"v{k}") for k in range(size)]
+        found = evaluate("eigenvalues(m)", fx.m3(spark, sf_dir, "raised", size)).df
+        sums = [sum((x**n for x in v[1:]), v[0] ** n).alias(f"p{n}") for n in (1, 2, 3)]
+        product, rising = v[0], F.lit(True)
+        for a, b in zip(v, v[1:]):
+            product, rising = product * b, rising & (a <= b)
+        out = found.select("i0", *sums, product.alias("product"), rising.alias("rising"))
+        return tidy_frame(out.drop("rising")).join(out.select("i0", "rising"), "i0")
+
+
+for _size in (4, 8):
+    _of_size(_size)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expression by which field engines are usually compared, with a stencil beside it."""
     return tidy(evaluate("f**2 + tanh(f)*exp(f) + laplacian(f)", fx.g3(spark, sf_dir), boundary="periodic"))

@@ -71,14 +71,15 @@ def s2(spark: SparkSession, sf_dir: str) -> dict[str, Field]:
     return {"f": densify(cells, S2_SHAPE)}
 
 
-def m3(spark: SparkSession, sf_dir: str, form: str = "plain") -> dict[str, Field]:
-    """A 3 x 3 matrix per vector: plain, ``symmetric`` (M + M')/2 or ``shifted`` M + 2 I."""
+def m3(spark: SparkSession, sf_dir: str, form: str = "plain", size: int = 3) -> dict[str, Field]:
+    """A matrix of ``size`` rows per vector: plain, ``symmetric`` (M + M')/2, ``shifted`` M + 2 I, or both (``raised``)."""
     vectors = _table(spark, sf_dir, "embeddings")
-    at = lambda r, c: F.col("embedding")[3 * r + c].cast("double")
+    at = lambda r, c: F.col("embedding")[size * r + c].cast("double")
     cell = {
         "plain": at,
         "symmetric": lambda r, c: (at(r, c) + at(c, r)) / 2,
         "shifted": lambda r, c: at(r, c) + (2.0 if r == c else 0.0),
+        "raised": lambda r, c: (at(r, c) + at(c, r)) / 2 + (2.0 if r == c else 0.0),
     }[form]
-    df = vectors.select(F.col("vec_id").cast("int").alias("i0"), *[cell(r, c).alias(f"m{r}{c}") for r in range(3) for c in range(3)])
-    return {"m": Field(df, (vectors.count(),), "matrix", 3)}
+    df = vectors.select(F.col("vec_id").cast("int").alias("i0"), *[cell(r, c).alias(f"m{r}{c}") for r in range(size) for c in range(size)])
+    return {"m": Field(df, (vectors.count(),), "matrix", size)}

@@ -5,31 +5,45 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from fieldweave.field import Field
-from fieldweave.functions.registry import REGISTRY
+from fieldweave.functions.registry import REGISTRY, lower_tree
+from fieldweave.operators import pointwise
 from fieldweave.plans.evaluate import evaluate
-from fieldweave.plans.expression import ALIASES
+from fieldweave.plans.expression import ALIASES, Node, parse
 from fieldweave.sources.store import open_field, save_field
+from fieldweave.streaming.measure import measured
 
 
 def run_to_store(spark: SparkSession, expression: str, inputs: Mapping[str, str | Field], out_path: str, dx=1.0, boundary: str = "periodic", constants=None, partitions: int | None = None) -> dict:
-    """Evaluate an expression over stored fields and store the result; returns its shape, min, max, mean, seconds and path."""
+    """Evaluate an expression over stored fields and store the result; returns its shape, min, max, mean, seconds and path, and what was read and written, in all and a second."""
     began = time.time()
     fields = {k: f if isinstance(f, Field) else open_field(spark, f) for k, f in inputs.items()}
-    result = evaluate(expression, fields, dx, boundary, constants)
-    if not result.shape:
-        value = result.value
-        low, high = value if isinstance(value, tuple) else (value, value)
-        return {"shape_out": (), "min": low, "max": high, "mean": value if low == high else None, "elapsed_s": time.time() - began, "out_path": None, "n_chunks": 1}
-    # The statistics are gathered by the write itself.
-    observed, seen = result.field.observed()
-    save_field(observed, out_path, partitions)
-    stats = seen.get
-    written = spark.read.parquet(f"{out_path}/data").rdd.getNumPartitions()
-    return {"shape_out": result.shape, "min": stats["min"], "max": stats["max"], "mean": stats["mean"], "elapsed_s": time.time() - began, "out_path": out_path, "n_chunks": written}
+    cells = max(f.cells for f in fields.values())
+    with measured(spark) as seen:
+        result = evaluate(expression, fields, dx, boundary, constants)
+        if not result.shape:
+            value = result.value
+            low, high = value if isinstance(value, tuple) else (value, value)
+            stats = {"min": low, "max": high, "mean": value if low == high else None}
+        else:
+            # The statistics are gathered by the write itself.
+            observed, found = result.field.observed()
+            tree = lower_tree(parse(expression, {*fields, *(constants or {})}, REGISTRY, dx, boundary), len(result.shape))
+            stored = len(inputs) == 1 and all(isinstance(f, str) for f in inputs.values())
+            # Cells of one stored field that are worked on one by one still stand in order.
+            save_field(observed, out_path, partitions, in_order=stored and not partitions and cell_by_cell(tree))
+            stats = found.get
+    about = {"shape_out": result.shape, **{k: stats[k] for k in ("min", "max", "mean")}, "elapsed_s": time.time() - began, "out_path": out_path if result.shape else None}
+    chunks = spark.read.parquet(f"{out_path}/data").rdd.getNumPartitions() if result.shape else 1
+    return {**about, "n_chunks": chunks, "bytes_in": seen.bytes_in, "bytes_out": seen.bytes_out, **seen.rates(cells), "measures": seen}
+
+
+def cell_by_cell(node: Node) -> bool:
+    """Whether an expression looks at no cell but its own."""
+    operator = REGISTRY[node.op]
+    return operator.build is not None and operator.build.__module__ == pointwise.__name__ and all(map(cell_by_cell, node.args))
 
 
 def stream_execute(spark: SparkSession, op_name: str, input_path: str, out_path: str, dx=1.0, boundary: str = "periodic", **params) -> dict:
@@ -39,15 +53,3 @@ def stream_execute(spark: SparkSession, op_name: str, input_path: str, out_path:
         raise ValueError(f"unknown operator {op_name!r}")
     given = ", ".join(["f", *(f"{k}={v!r}" for k, v in params.items())])
     return run_to_store(spark, f"{name}({given})", {"f": input_path}, out_path, dx, boundary)
-
-
-def sweep(expression: str, fields: Mapping[str, Field], name: str, start: float, stop: float, steps: int, **how) -> DataFrame:
-    """The expression for each of ``steps`` evenly spaced values of a number, as rows marked by a column of that name."""
-    if steps < 1:
-        raise ValueError("a sweep needs a step")
-    width = (stop - start) / (steps - 1) if steps > 1 else 0.0
-    out = None
-    for k in range(steps):
-        one = evaluate(expression, fields, constants={name: start + k * width}, **how).df.select(F.lit(start + k * width).alias(name), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
