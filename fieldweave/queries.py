@@ -621,7 +621,7 @@ def _graph_stored(spark, sf_dir):
 # Sweeps in one plan.
 
 
-@_query("sweep_fifty_steps", f"WITH {_G3} SELECT a.x * 0.02 AS a, {rounded('v')} FROM (SELECT a.x, sum(exp(v * a.x * 0.02)) AS v FROM f, range(51) a(x) GROUP BY 1) a")
+@_query("sweep_fifty_steps", f"WITH {_G3} SELECT a.x * 2e-2 AS a, {rounded('v')} FROM (SELECT a.x, sum(exp(v * (a.x * 2e-2))) AS v FROM f, range(51) a(x) GROUP BY 1) a")
 def _sweep_many(spark, sf_dir):
     got = sweep("sum(exp(f * a))", fx.g3(spark, sf_dir), "a", 0.0, 1.0, 51)
     return tidy_frame(got.select((F.round(F.col("a") * 50) * 0.02).alias("a"), "v").withColumnRenamed("a", "i9")).withColumnRenamed("i9", "a")
