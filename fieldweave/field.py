@@ -30,7 +30,10 @@ def value_names(kind: str, size: int = 1) -> list[str]:
 
 @dataclass(frozen=True)
 class Field:
-    """A dense field: coordinates ``i0..`` from 0 and DOUBLE values, on a grid of a given shape, spacing and origin."""
+    """A dense field: coordinates ``i0..`` from 0 and DOUBLE values, on a grid of a given shape, spacing and origin.
+
+    ``in_order`` tells that partitions hold cells in order of their axes, or block by block, so that neighbours mostly lie together.
+    """
 
     df: DataFrame
     shape: tuple[int, ...]
@@ -38,6 +41,7 @@ class Field:
     size: int = 1
     spacing: tuple[float, ...] = ()
     origin: tuple[float, ...] = ()
+    in_order: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -108,7 +112,7 @@ def from_function(spark: SparkSession, shape: tuple[int, ...], *values: Column,
     if len(values) != len(names):
         raise ValueError(f"a {kind} field needs {len(names)} values")
     df = lattice(spark, shape).select("*", *[v.cast("double").alias(n) for v, n in zip(values, names)])
-    return Field(df, tuple(shape), kind, size, **grid)
+    return Field(df, tuple(shape), kind, size, in_order=True, **grid)
 
 
 def densify(df: DataFrame, shape: tuple[int, ...], kind: str = "scalar", size: int = 1, fill: float = 0.0, **grid) -> Field:

@@ -3,7 +3,7 @@
 Cells are dealt to blocks of the grid; cells near a block's faces are also sent, as ghosts that hold only the tapped columns, to the
 neighbour (with periodic axes, around the ends). After that single exchange every tap is a lag or lead
 within a line of a block, and the windows of all axes reuse the exchange. A block is bounded, so neither
-long lines nor large grids meet in one task.
+long lines nor large grids meet in one task. Where cells come in order of their axes, linear stencils are sums of what cells send to those that read them (``taps``).
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldweave.functions.registry import register_operator
+from fieldweave.operators import taps
+from fieldweave.operators.taps import NeedsWindows, Recorder, add_up, shares
 from fieldweave.plans.expression import ExpressionError, Node, call
 from fieldweave.plans.workspace import Value, Workspace
 
@@ -82,10 +85,15 @@ def with_halo(df: DataFrame, shape: tuple[int, ...], axes: tuple[int, ...], reac
     return spread.select(*columns, key.alias("_b"), own.alias("_own"), *[moved(i, d, 3).cast("int").alias(f"_g{d}") for d, i in enumerate(home)]).repartition("_b")
 
 
-def tapper(shape: tuple[int, ...], boundary: str) -> Callable:
-    """``tap(column, axis, offset)`` under a boundary rule; ``raw`` (attribute) is null past an end."""
+def known(boundary: str) -> str:
     if boundary not in BOUNDARIES:
         raise ExpressionError(f"unknown boundary {boundary!r}; known are {BOUNDARIES}")
+    return boundary
+
+
+def tapper(shape: tuple[int, ...], boundary: str) -> Callable:
+    """``tap(column, axis, offset)`` under a boundary rule; ``raw`` (attribute) is null past an end."""
+    known(boundary)
 
     def raw(column: Column, axis: int, offset: int) -> Column:
         if not offset:
@@ -134,18 +142,38 @@ def run_pass(ws: Workspace, jobs: list[tuple[Node, list[Value]]], registry, peri
         plans.append((node, registry[node.op].stencil(node, named, ws.shape)))
     reach = max(p.reach for _, p in plans)
     axes = tuple(sorted({d for _, p in plans for d in p.axes}))
-    near = with_halo(ws.df, ws.shape, axes, reach, periodic, tapped)
-    done, columns = {}, []
+    kept, done, columns = list(ws.df.columns), {}, []
+    near, reader = _added_up(ws, plans) if ws.in_order else (None, None)
+    if near is None:
+        near, reader = with_halo(ws.df, ws.shape, axes, reach, periodic, tapped), lambda boundary: tapper(ws.shape, boundary)
+        kept_rows = [F.col("_own")]
+    else:
+        kept_rows = []
     for node, plan in plans:
-        out = plan.combine(tapper(ws.shape, node.param("boundary", "neumann")))
+        out = plan.combine(reader(node.param("boundary", "neumann")))
         names = [ws.fresh() for _ in out]
         columns += [c.alias(n) for c, n in zip(out, names)]
         done[node] = Value(plan.kind, tuple(F.col(n) for n in names), plan.size)
-    kept = [c for c in ws.df.columns]
-    ws.df = near.select(*kept, "_own", *columns).where("_own").drop("_own")
+    frame = near.select(*kept, *kept_rows, *columns)
+    ws.df = frame.where("_own").drop("_own") if kept_rows else frame
     return done
 
 
+def _added_up(ws: Workspace, plans) -> tuple[DataFrame | None, Callable | None]:
+    """The frame with the sums that linear stencils read, and what gives references to them; nothing if any operator is no such sum."""
+    terms, ids = {}, count()
+    recorder = lambda boundary: Recorder(ws.shape, known(boundary), ws.name_of, terms, ids)
+    try:
+        for node, plan in plans:
+            plan.combine(recorder(node.param("boundary", "neumann")))
+    except NeedsWindows:
+        return None, None
+    sums = list(terms.values())
+    if not sums or shares(ws.shape, sums) > taps.MOST_SHARES:
+        return None, None
+    return add_up(ws.df, ws.shape, sums), recorder
+
+
 # Derivatives ---------------------------------------------------------------------------------------------
 
 
@@ -158,6 +186,8 @@ def steps(node: Node, ndim: int) -> tuple[float, ...]:
 
 
 def central(tap, v: Column, axis: int, h: float) -> Column:
+    if isinstance(tap, Recorder):
+        return tap.linear(v, {axis: {1: [(None, 1)], -1: [(None, -1)]}}) / F.lit(2.0 * h)
     return (tap(v, axis, 1) - tap(v, axis, -1)) / F.lit(2.0 * h)
 
 
@@ -165,6 +195,8 @@ def one_sided(tap, v: Column, axis: int, h: float, n: int, order: int = 2) -> Co
     """Central differences inside; at the ends one-sided ones of the given order."""
     if n == 1:
         return F.lit(0.0)
+    if isinstance(tap, Recorder):
+        return tap.linear(v, {axis: _one_sided_weights(n, order)}, ends=False) / F.lit(2.0 * h)
     at = lambda o: tap.raw(v, axis, o)
     i = F.col(f"i{axis}")
     if order == 1 or n == 2:
@@ -175,15 +207,29 @@ def one_sided(tap, v: Column, axis: int, h: float, n: int, order: int = 2) -> Co
     return F.when(i == 0, first).when(i == n - 1, last).otherwise((at(1) - at(-1)) / F.lit(2.0 * h))
 
 
+def _one_sided_weights(n: int, order: int) -> dict:
+    """Twice the step times the derivative: factors of neighbours at the first cell, the last and those between."""
+
+    def first(t):
+        return t == 0
+
+    def last(t):
+        return t == n - 1
+
+    def inside(t):
+        return (t > 0) & (t < n - 1)
+
+    if order == 1 or n == 2:
+        return {0: [(first, -2), (last, 2)], 1: [(first, 2), (inside, 1)], -1: [(last, -2), (inside, -1)]}
+    return {0: [(first, -3), (last, 3)], 1: [(first, 4), (inside, 1)], -1: [(last, -4), (inside, -1)], 2: [(first, -1)], -2: [(last, 1)]}
+
+
 def _derivative(tap, v: Column, axis: int, h: float, n: int, boundary: str, order: int = 2) -> Column:
     return central(tap, v, axis, h) if boundary == "periodic" else one_sided(tap, v, axis, h, n, order)
 
 
 def _boundary(node: Node, default: str = "neumann") -> str:
-    b = node.param("boundary", default)
-    if b not in BOUNDARIES:
-        raise ExpressionError(f"unknown boundary {b!r}; known are {BOUNDARIES}")
-    return b
+    return known(node.param("boundary", default))
 
 
 def _scalar(node: Node, v: Value) -> Column:
@@ -196,8 +242,15 @@ def _laplacian(node: Node, values, shape) -> StencilPlan:
     """Sum over axes of the compact second difference."""
     v, dx = _scalar(node, values[0]), steps(node, len(shape))
 
+    second = {1: [(None, 1)], -1: [(None, 1)], 0: [(None, -2)]}
+
     def combine(tap):
         out = F.lit(0.0)
+        if isinstance(tap, Recorder):
+            # Axes of one step are one sum.
+            for h in dict.fromkeys(dx):
+                out = out + tap.linear(v, {d: second for d, other in enumerate(dx) if other == h}) / F.lit(h * h)
+            return [out]
         for d, h in enumerate(dx):
             out = out + (tap(v, d, 1) + tap(v, d, -1) - 2.0 * v) / F.lit(h * h)
         return [out]
@@ -308,7 +361,13 @@ def _material_derivative(node: Node, values, shape) -> StencilPlan:
 def _smooth(node: Node, values, shape) -> StencilPlan:
     """Weights 1, 2, 1 along one axis."""
     v, d = _scalar(node, values[0]), node.param("axis")
-    return StencilPlan(1, (d,), lambda tap: [(tap(v, d, -1) + 2.0 * v + tap(v, d, 1)) / F.lit(4.0)])
+
+    def combine(tap):
+        if isinstance(tap, Recorder):
+            return [tap.linear(v, {d: {-1: [(None, 1)], 0: [(None, 2)], 1: [(None, 1)]}}) / F.lit(4.0)]
+        return [(tap(v, d, -1) + 2.0 * v + tap(v, d, 1)) / F.lit(4.0)]
+
+    return StencilPlan(1, (d,), combine)
 
 
 def _lower_gauss(node: Node, ndim: int) -> Node:

@@ -218,6 +218,6 @@ def open_results(spark: SparkSession, path: str) -> dict[str, Field]:
     frame = spark.read.schema(", ".join([f"{c} int" for c in axes] + [f"`{c}` double" for c in columns])).parquet(f"{path}/data")
     own = {k: value_names(f["kind"], f["size"]) for k, f in about["fields"].items()}
     return {
-        k: Field(frame.select(*axes, *[F.col(f"`{c}`").alias(n) for c, n in zip(f["columns"], own[k])]), shape, f["kind"], f["size"], tuple(about["spacing"]), tuple(about["origin"]))
+        k: Field(frame.select(*axes, *[F.col(f"`{c}`").alias(n) for c, n in zip(f["columns"], own[k])]), shape, f["kind"], f["size"], tuple(about["spacing"]), tuple(about["origin"]), in_order=True)
         for k, f in about["fields"].items()
     }

@@ -62,6 +62,8 @@ class Workspace:
         #: By identity of a Column: the column itself, so it is not reused, and its reference in the frame.
         self._kept: dict[int, tuple[Column, Column]] = {}
         self._names: dict[int, str] = {}
+        #: The frame as long as its cells stand in order of their axes, as the fields' do.
+        self._ordered: DataFrame | None = None
         frames: dict[int, list[str]] = {}
         for name, f in fields.items():
             frames.setdefault(id(f.df), []).append(name)
@@ -75,6 +77,12 @@ class Workspace:
                 self.values[name] = Value(f.kind, tuple(self._remember(F.col(new), new) for _, new in named), f.size)
             part = own.select(*self.axes, *cols.values())
             self.df = part if self.df is None else self.df.join(part, self.axes)
+        if len(frames) == 1 and all(f.in_order for f in fields.values()):
+            self._ordered = self.df
+
+    @property
+    def in_order(self) -> bool:
+        return self._ordered is self.df
 
     @property
     def ndim(self) -> int:
@@ -88,7 +96,9 @@ class Workspace:
         new = [c for c in {id(c): c for c in columns}.values() if id(c) not in self._kept]
         names = [self.fresh() for _ in new]
         if new:
+            ordered = self.in_order
             self.df = self.df.select("*", *[c.alias(n) for c, n in zip(new, names)])
+            self._ordered = self.df if ordered else None
         for c, n in zip(new, names):
             self._remember(c, n)
         return tuple(self._kept[id(c)][1] for c in columns)

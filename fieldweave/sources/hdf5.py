@@ -489,7 +489,7 @@ def open_hdf5(spark: SparkSession, path: str, dataset: str | None = None, spacin
         warnings.warn("no spacing is given or found; 1.0 is used", stacklevel=2)
     steps = (float(steps),) * rank if isinstance(steps, (int, float)) else tuple(steps or ())
     df = spark.read.format("fieldweave_hdf5").options(path=path, dataset=about["dataset"], shape=json.dumps(about["shape"])).load()
-    return Field(df, tuple(about["shape"]), spacing=steps, origin=tuple(about["origin"] or origin or ()))
+    return Field(df, tuple(about["shape"]), spacing=steps, origin=tuple(about["origin"] or origin or ()), in_order=True)
 
 
 def register(spark: SparkSession) -> None:

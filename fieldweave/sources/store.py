@@ -76,7 +76,7 @@ def open_field(spark: SparkSession, path: str) -> Field:
     about = json.loads(spark.read.text(f"{path}/field").first()[0])
     names = value_names(about["kind"], about["size"])
     schema = ", ".join([f"{c} int" for c in coords(len(about["shape"]))] + [f"{n} double" for n in names])
-    return Field(spark.read.schema(schema).parquet(f"{path}/data"), tuple(about["shape"]), about["kind"], about["size"], tuple(about["spacing"]), tuple(about["origin"]))
+    return Field(spark.read.schema(schema).parquet(f"{path}/data"), tuple(about["shape"]), about["kind"], about["size"], tuple(about["spacing"]), tuple(about["origin"]), in_order=True)
 
 
 def load_field(spark: SparkSession, path: str, mode: str = "lazy", max_eager_gb: float = 0.5, normalize: bool = False, **how) -> Field:

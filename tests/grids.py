@@ -8,6 +8,10 @@ from fieldweave import Field
 from fieldweave.field import coords, value_names
 
 
+#: Whether fields claim that their cells stand in order, which tests set to try both ways of stencils.
+IN_ORDER = False
+
+
 def to_field(spark, array, kind="scalar", size=1, **grid):
     """A field of an array whose trailing axes are the components."""
     spatial = array.ndim - {"scalar": 0, "vector": 1, "matrix": 2}[kind]
@@ -15,7 +19,7 @@ def to_field(spark, array, kind="scalar", size=1, **grid):
     names = value_names(kind, size)
     rows = [(*map(int, at), *map(float, np.ravel(array[at]))) for at in product(*map(range, shape))]
     schema = ", ".join([f"{c} int" for c in coords(spatial)] + [f"{n} double" for n in names])
-    return Field(spark.createDataFrame(rows, schema), shape, kind, size, **grid)
+    return Field(spark.createDataFrame(rows, schema), shape, kind, size, **{"in_order": IN_ORDER, **grid})
 
 
 def to_array(result):

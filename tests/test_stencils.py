@@ -1,14 +1,22 @@
 """Stencils against NumPy, under every boundary, and across blocks of the grid."""
 
+import grids
 import numpy as np
 import pytest
 from grids import to_array, to_field
 from pyspark.sql import functions as F
 
 from fieldweave import evaluate, from_function
-from fieldweave.operators import stencil
+from fieldweave.operators import stencil, taps
 from fieldweave.plans.expression import ExpressionError
 
+@pytest.fixture(autouse=True, params=[False, True], ids=["blocks", "partial_sums"])
+def both_ways(request, monkeypatch):
+    """Every test over frames in no known order, which go by blocks, and over ordered ones, which go by partial sums."""
+    monkeypatch.setattr(grids, "IN_ORDER", request.param)
+    monkeypatch.setattr(taps, "MOST_SHARES", 10**6)
+
+
 PAD = {"periodic": "wrap", "neumann": "edge", "dirichlet": "constant", "reflect": "reflect"}
 RNG = np.random.default_rng(1)
 
@@ -143,3 +151,20 @@ def test_one_exchange_for_all_axes(spark):
 def test_kind_errors(spark, bad):
     with pytest.raises(ExpressionError):
         evaluate(bad, {"f": from_function(spark, (4, 4, 4), F.lit(1.0))})
+
+
+def test_partial_sums_sort_nothing(spark):
+    """Ordered frames meet in one exchange without a window; others of more kinds of taps, and later passes, go by blocks."""
+    f = from_function(spark, (40, 30), F.col("i0") * 0.1 + F.col("i1"))
+    plan = lambda e, **kw: evaluate(e, {"f": f}, **kw).df._jdf.queryExecution().executedPlan().toString()
+    one = plan("laplacian(f) + norm_last(gradient(f)) + f")
+    assert "Window" not in one and one.count("Exchange") == 1
+    assert "Window" in plan("laplacian(laplacian(f))")
+
+
+def test_a_cell_that_is_no_number_reaches_its_readers_only(spark):
+    a = RNG.normal(size=(9, 8))
+    a[4, 4] = np.nan
+    got = to_array(evaluate("gradient(f)", {"f": to_field(spark, a)}))
+    want = np.stack(np.gradient(a, edge_order=2), -1)
+    assert np.allclose(got, want, equal_nan=True) and np.isfinite(got[4, 4, 0])
