@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import time
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from fieldweave.functions.registry import REGISTRY
 from fieldweave.plans.evaluate import Result, evaluate
 from fieldweave.plans.expression import ALIASES, ExpressionError
 from fieldweave.sources.store import load_field, save_field
+from fieldweave.streaming.measure import measured
 
 log = logging.getLogger("fieldweave")
 SETTINGS = {"output": None, "boundary": "periodic", "dx": 1.0, "load": "lazy", "report": False, "spark": None}
@@ -30,6 +32,7 @@ class Pipeline:
         object.__setattr__(self, "fields", {})
         object.__setattr__(self, "constants", {})
         object.__setattr__(self, "_result", None)
+        object.__setattr__(self, "measures", None)
         if op_name is not None and ALIASES.get(op_name, op_name) not in REGISTRY:
             raise ExpressionError(f"unknown operator {op_name!r}")
         object.__setattr__(self, "expression", f"{op_name}({expression})" if op_name else str(expression))
@@ -58,7 +61,9 @@ class Pipeline:
             loaded = {k: f if isinstance(f, Field) else load_field(spark, f, self.settings["load"]) for k, f in self.fields.items()}
             result = evaluate(self.expression, loaded, self.settings["dx"], self.settings["boundary"], self.constants)
             if self.settings["output"] is not None:
-                save_field(result.field, self.settings["output"])
+                with measured(spark) as seen:
+                    save_field(result.field, self.settings["output"])
+                object.__setattr__(self, "measures", seen)
             object.__setattr__(self, "_result", result)
             log.info("%s: %.3f s", self.expression, time.time() - began)
             if self.settings["report"]:
@@ -89,6 +94,7 @@ class Pipeline:
         return field.slice(*spans)
 
     def report(self) -> str:
-        """Shape, kind and Spark's plan of the result."""
+        """Shape and kind of the result, what storing it read, wrote and took, and Spark's plan."""
         r = self.run()
-        return f"{self.expression}: {r.kind} {r.shape or ''}\n{r.df._jdf.queryExecution().simpleString()}"
+        rates = f"\n{self.measures}; {math.prod(r.shape) / max(self.measures.elapsed_s, 1e-9):.0f} cells/s" if self.measures else ""
+        return f"{self.expression}: {r.kind} {r.shape or ''}{rates}\n{r.df._jdf.queryExecution().simpleString()}"

@@ -722,10 +722,17 @@ def _of_size(size: int) -> None:
         return tidy_frame(out.drop("rising")).join(out.select("i0", "rising"), "i0")
 
 
-for _size in (4, 8):
+for _size in (3, 4, 8):
     _of_size(_size)
 
 
+@_query("run_hdf5_to_hdf5", ORACLES["laplacian_neumann"])
+def _hdf5_run(spark, sf_dir):
+    path, out = save_field(fx.g3(spark, sf_dir)["f"], work_path(spark, "field") + ".h5"), work_path(spark, "laplacian") + ".h5"
+    stream_execute(spark, "laplacian", path, out, boundary="neumann")
+    return tidy_frame(open_field(spark, out).df)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expression by which field engines are usually compared, with a stencil beside it."""
     return tidy(evaluate("f**2 + tanh(f)*exp(f) + laplacian(f)", fx.g3(spark, sf_dir), boundary="periodic"))

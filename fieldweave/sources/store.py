@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.field import Field, coords, densify, value_names
+from fieldweave.sources.hdf5 import open_hdf5, save_hdf5
 
 #: Columns that may hold a grid's spacing, in the order they are looked for.
 SPACING_HINTS = ("spacing", "dx", "voxel_size", "resolution")
 #: Longest side of a block of cells that stand together in storage.
 BLOCK_SIDE = 128
+#: Endings of paths of HDF5 files; any other path is a folder of Parquet.
+HDF5_ENDINGS = (".h5", ".hdf5")
 
 
 def morton(block: list[Column], bits: int) -> Column:
@@ -41,8 +44,10 @@ def save_field(field: Field, path: str, partitions: int | None = None, mode: str
 
     Cells stand in order of their axes, so that slices of the first prune row groups. With ``blocks`` (sides, one for all axes, or True) they stand block after block
     along a curve that keeps blocks that touch together, one block a row group, so that slices of any axis prune. ``in_order`` says that cells
-    come as they are to stand, as those of a stored field do, and are neither exchanged nor sorted.
+    come as they are to stand, as those of a stored field do, and are neither exchanged nor sorted. A path that ends like an HDF5 file becomes one.
     """
+    if path.endswith(HDF5_ENDINGS):
+        return save_hdf5(field, path, mode)
     df, at = field.df.select(*coords(field.ndim), *field.columns), coords(field.ndim)
     order, writer = at, None
     if in_order:
@@ -72,7 +77,9 @@ def describe(spark: SparkSession, path: str, mode: str = "overwrite", **about) -
 
 
 def open_field(spark: SparkSession, path: str) -> Field:
-    """A stored field, lazily: slices and unused values never leave the scan."""
+    """A stored field, or that of an HDF5 file, lazily: slices and unused values never leave the scan."""
+    if path.endswith(HDF5_ENDINGS):
+        return open_hdf5(spark, path)
     about = json.loads(spark.read.text(f"{path}/field").first()[0])
     names = value_names(about["kind"], about["size"])
     schema = ", ".join([f"{c} int" for c in coords(len(about["shape"]))] + [f"{n} double" for n in names])

@@ -12,7 +12,7 @@ from fieldweave.functions.registry import REGISTRY, lower_tree
 from fieldweave.operators import pointwise
 from fieldweave.plans.evaluate import evaluate
 from fieldweave.plans.expression import ALIASES, Node, parse
-from fieldweave.sources.store import open_field, save_field
+from fieldweave.sources.store import HDF5_ENDINGS, open_field, save_field
 from fieldweave.streaming.measure import measured
 
 
@@ -36,7 +36,7 @@ def run_to_store(spark: SparkSession, expression: str, inputs: Mapping[str, str
             save_field(observed, out_path, partitions, in_order=stored and not partitions and cell_by_cell(tree))
             stats = found.get
     about = {"shape_out": result.shape, **{k: stats[k] for k in ("min", "max", "mean")}, "elapsed_s": time.time() - began, "out_path": out_path if result.shape else None}
-    chunks = spark.read.parquet(f"{out_path}/data").rdd.getNumPartitions() if result.shape else 1
+    chunks = spark.read.parquet(f"{out_path}/data").rdd.getNumPartitions() if result.shape and not out_path.endswith(HDF5_ENDINGS) else 1
     return {**about, "n_chunks": chunks, "bytes_in": seen.bytes_in, "bytes_out": seen.bytes_out, **seen.rates(cells), "measures": seen}
 
 

@@ -75,3 +75,16 @@ def test_sweep_and_presets(spark):
     rows = fw.sweep("sum(f * a)", {"f": to_field(spark, A)}, "a", 0.0, 2.0, 3).collect()
     assert np.allclose(sorted((r.a, r.v) for r in rows), [(a, a * A.sum()) for a in (0.0, 1.0, 2.0)])
     assert fw.preset("cluster")["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_hdf5_by_the_ending_of_a_path(spark, tmp_path):
+    """Pipelines and runs read and write HDF5 files where a path ends like one, and reports tell rates."""
+    path = fw.save_field(to_field(spark, A, spacing=(0.5, 2.0)), str(tmp_path / "f.h5"))
+    assert (tmp_path / "f.h5").is_file() and fw.open_field(spark, path).spacing == (0.5, 2.0)
+    assert fw.load_field(spark, path, "auto").df.is_cached
+    p = fw.Pipeline(expression="f * k").set(output=str(tmp_path / "out.h5"))
+    p.f, p.k = path, 3.0
+    assert np.array_equal(to_array(p.run()), 3 * A) and "cells/s" in p.report() and p.measures.stages >= 1
+    assert np.array_equal(to_array(as_result(fw.open_field(spark, str(tmp_path / "out.h5")))), 3 * A)
+    got = fw.run_to_store(spark, "f + 1", {"f": path}, str(tmp_path / "more.h5"))
+    assert got["n_chunks"] == 1 and got["max"] == A.max() + 1
