@@ -25,9 +25,9 @@ from fieldweave.llm.columns import pick
 from fieldweave.llm.packing import _Ragged, _sums, slices
 
 #: Distinct pre-tokens, and bytes of them, that a worker remembers before it starts afresh.
-CACHE_PIECES, CACHE_BYTES = 600_000, 32 << 20
+CACHE_PIECES, CACHE_BYTES = 300_000, 16 << 20
 #: Bytes of text, or of ids, handled at once; a longer text is handled by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Functions composed one after the other within a block of the scan.
 BLOCK = 64
 
