@@ -52,6 +52,12 @@ def delete(path: str) -> None:
     files.delete(there, True)
 
 
+def stored_bytes(path: str) -> int:
+    """Bytes of a file, or of all files of a folder."""
+    files, there = _file_system(path)
+    return files.getContentSummary(there).getLength() if files.exists(there) else 0
+
+
 def write_text(path: str, text: str) -> None:
     """A small file, which is there whole or not at all."""
     files, there = _file_system(path)

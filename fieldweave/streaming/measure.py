@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 @dataclass
 class Measures:
-    """Filled when the measured block ends. Bytes are those of the files, compressed as they lie."""
+    """Filled when the measured block ends. Bytes are those of the files, compressed as they lie; of those read, Spark counts what the tasks' own threads fetch."""
 
     elapsed_s: float = 0.0
     task_s: float = 0.0

@@ -216,7 +216,7 @@ def test_runs_tell_what_they_read_and_wrote(spark, tmp_path):
     size = sum(os.path.getsize(f"{tmp_path}/out/data/{n}") for n in os.listdir(f"{tmp_path}/out/data") if n.endswith(".parquet"))
     seen = got["measures"]
     assert seen.rows_in == 20_000 * (seen.rows_in // 20_000) and seen.rows_in >= 20_000 and seen.rows_out >= 20_000
-    assert got["bytes_out"] >= size and got["bytes_in"] > 0 and got["cells_per_s"] == pytest.approx(20_000 / seen.elapsed_s) and "MB" in str(seen)
+    assert got["bytes_out"] >= size and got["bytes_in"] >= 20_000 and got["cells_per_s"] == pytest.approx(20_000 / seen.elapsed_s) and "MB" in str(seen)
     with measured(spark) as nothing:
         pass
     assert nothing.stages == nothing.rows_in == 0
