@@ -31,8 +31,10 @@ K = 5
 WINDOW = 2
 #: The same of the longer seeds.
 LONG_K, LONG_WINDOW = 12, 8
-#: Bits of a seed's hash, and the leading ones of them that name the range it is dealt to.
-HASH_BITS, RANGE_BITS = 52, 12
+#: Bits of a seed's hash, and how many leading ones of them name at least and at most the range it is dealt to.
+HASH_BITS, RANGE_BITS = 52, (12, 30)
+#: Words of the corpus for each range (about as many seeds), beyond the least number of ranges.
+WORDS_A_RANGE = 1 << 20
 #: Seeds of a range that are unpacked at once.
 SEEDS_AT_ONCE = 1 << 19
 #: Cost of a word of gap, in either text, against the gain of a covered word.
@@ -94,16 +96,20 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([at, long_at])
 
 
-def _seed_rows(batches):
-    """The seeds of some documents, packed by range: the hash's low 32 bits and the next 8, document (as differences) and place."""
+def range_bits(words: int) -> int:
+    """Leading bits of a seed's hash that name its range, so that ranges hold about as much whatever the size of the corpus."""
+    least, most = RANGE_BITS
+    return min(most, max(least, (words // WORDS_A_RANGE).bit_length()))
+
+
+def _seed_rows(batches, bits: int):
+    """The seeds of some documents (doc_id, codes), packed by range: the hash's low 32 bits and the next 8, document (as differences) and place."""
     for whole in batches:
-        for batch in slices(whole, 1, 8 << 20):
-            hashes, counts = word_hashes(batch.column(1).to_pylist())
-            ends = np.cumsum(counts)
-            found = [seeds_of(hashes[e - n : e]) for e, n in zip(ends, counts)]
+        for batch in slices(whole, 1, 4 << 20):
+            found = [seeds_of(np.frombuffer(c.as_buffer(), "<u4").astype(np.uint64)) for c in batch.column(1)]
             h = np.concatenate([f[0] for f in found])
             doc, pos = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found]).astype("<i4")
-            part = (h >> np.uint64(HASH_BITS - RANGE_BITS)).astype(np.uint16)
+            part = (h >> np.uint64(HASH_BITS - bits)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, h, doc, pos = part[order], h[order], doc[order].astype("<i8"), pos[order]
             low, high = h.astype("<u4"), (h >> np.uint64(32)).astype(np.uint8)
@@ -125,7 +131,7 @@ def _heads(h, doc, pos, last):
 
 
 def _match_rows(batches):
-    """(doc_id, rep, pos, rep_pos, width): every place of a seed against the first that holds it, if that is in an earlier document. Packed rows come sorted by range; a range is held packed and unpacked a part at a time."""
+    """(doc_id, rep, match): every place of a seed against the first that holds it, if that is in an earlier document; a match is the place, the head's place and one bit for a long seed, in one number. Packed rows come sorted by range; a range is held packed and unpacked a part at a time."""
     now, held = None, []
 
     def parts():
@@ -150,7 +156,8 @@ def _match_rows(batches):
             at = np.minimum(np.searchsorted(heads[0], h), len(heads[0]) - 1)
             own = (heads[0][at] == h) & (doc > heads[1][at])
             at = at[own]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(heads[1][at]), pa.array(pos[own], pa.int32()), pa.array(heads[2][at], pa.int32()), pa.array(np.where(h[own] & 1, LONG_K, K), pa.int32())], names=["doc_id", "rep", "pos", "rep_pos", "width"])
+            match = pos[own].astype(np.int64) << 32 | heads[2][at].astype(np.int64) << 1 | h[own] & 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(heads[1][at]), pa.array(match)], names=["doc_id", "rep", "match"])
 
     for batch in batches:
         for r, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -164,24 +171,17 @@ def _match_rows(batches):
 
 
 def _code_rows(batches):
-    """The words of each document as 32-bit hashes."""
+    """The words of each document as 32-bit hashes, and their number."""
     for whole in batches:
         for batch in slices(whole, 1, 4 << 20):
             hashes, counts = word_hashes(batch.column(1).to_pylist())
             codes, ends = hashes.astype("<u4"), np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], names=["doc_id", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "codes", "n_words"])
 
 
-def _cut_rows(batches):
-    """Of each document beside its chains, only the stretch that they and their extensions can reach."""
-    for whole in batches:
-        for batch in slices(whole, 3, 4 << 20):
-            starts, parts = [], []
-            for chains, codes in zip(batch.column(2).to_pylist(), batch.column(3)):
-                start = max(0, min(c[0] for c in chains) - STRETCH)
-                starts.append(start)
-                parts.append(codes.as_py()[4 * start : 4 * (max(c[-3] for c in chains) + STRETCH)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "rep", "chains", "start", "codes"])
+def _stretch(codes: str, low: str, high: str):
+    """Of a text's codes those from word ``low`` up to ``high``."""
+    return F.expr(f"substring({codes}, 4 * {low} + 1, 4 * ({high} - {low}))")
 
 
 class Fenwick:
@@ -249,10 +249,11 @@ def chains(parts: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int,
 
 
 def _chain_rows(batches):
-    """The chains of each pair of document and head (doc_id, rep, chains), best first, of matches that come sorted by both."""
+    """The chains of each pair of document and head, best first, with the words of both that they and their extensions can reach, of matches that come sorted by both."""
     held = None
 
-    def work(doc, rep, x, y, width):
+    def work(doc, rep, match):
+        x, y, width = match >> 32, match >> 1 & 0x7FFFFFFF, np.where(match & 1, LONG_K, K)
         out = []
         cut = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(rep) != 0)) + 1, [len(doc)]])
         if len(doc):
@@ -261,11 +262,13 @@ def _chain_rows(batches):
                 a, b = cut[g], cut[g + 1]
                 found = [[v for part in chain for v in part] for chain in chains(segments(x[a:b], y[a:b], width[a:b])) if chain[-1][1] - chain[0][0] >= LEAST_SPAN]
                 if found:
-                    out.append((int(doc[a]), int(rep[a]), found))
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "rep", "chains"])
+                    reach = [v for k in (0, 2) for v in (max(0, min(c[k] for c in found) - STRETCH), max(c[k - 3] for c in found) + STRETCH)]
+                    out.append((int(doc[a]), int(rep[a]), found, *reach))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), *[pa.int32()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=["doc_id", "rep", "chains", "start", "stop", "rep_start", "rep_stop"])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(5)]
+        now = [batch.column(i).to_numpy() for i in range(3)]
         if held is not None:
             now = [np.concatenate([a, b]) for a, b in zip(held, now)]
         if not len(now[0]):
@@ -352,20 +355,20 @@ def align(a: np.ndarray, b: np.ndarray, parts: list[int], identity: float) -> li
 def _align_rows(identity: float):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 5, 8 << 20):
+            for batch in slices(whole, 6, 8 << 20):
                 out = []
                 for row in batch.to_pylist():
-                    a, b, start = np.frombuffer(row["codes"], "<u4"), np.frombuffer(row["rep_codes"], "<u4"), row["start"]
+                    a, b, start, other = np.frombuffer(row["codes"], "<u4"), np.frombuffer(row["rep_codes"], "<u4"), row["start"], row["rep_start"]
                     covered = np.zeros(len(a), bool)
                     for parts in row["chains"]:
-                        parts = [v - start if k % 4 < 2 else v for k, v in enumerate(parts)]
+                        parts = [v - (start if k % 4 < 2 else other) for k, v in enumerate(parts)]
                         # What a better chain of the pair has reported needs no second row: in repetitive texts nearly every place fits every other.
                         if covered[parts[0] : parts[-3]].all():
                             continue
                         for x0, x1, y0, y1, matched in align(a, b, parts, identity):
                             if x1 - x0 >= LEAST_CHAIN:
                                 covered[x0:x1] = True
-                                out.append((row["doc_id"], start + x0, start + x1, row["rep"], y0, y1, matched, matched / max(x1 - x0, y1 - y0)))
+                                out.append((row["doc_id"], start + x0, start + x1, row["rep"], other + y0, other + y1, matched, matched / max(x1 - x0, y1 - y0)))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)], names=["doc_id", "start_word", "end_word", "other_doc_id", "other_start", "other_end", "matched_words", "identity"])
 
@@ -381,19 +384,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 40, identity: float = 0.
     passage with evenly drawn substitutions is found with a chance of 0.9 or more from 50 words on at 0.85 of its words in
     common, and from 60 words on at 0.8; one of barely ``min_words`` may measure as shorter, as its ends are trimmed to words
     that agree. A passage in many documents gives one row for each but the first that holds it; copies of whole documents
-    are passages like any other. Null and empty texts hold none, rows with a null id are left out, rows
+    are passages like any other. ``min_words`` and ``identity`` are what a reported passage has at least. Null and empty texts hold none, rows with a null id are left out, rows
     that repeat an id count once, other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    packed = source.mapInArrow(_seed_rows, "range int, n int, packed binary")
-    matches = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_match_rows, "doc_id long, rep long, pos int, rep_pos int, width int")
-    found = matches.repartition("doc_id", "rep").sortWithinPartitions("doc_id", "rep", "pos").mapInArrow(_chain_rows, "doc_id long, rep long, chains array<array<int>>")
-    found = stage(found, "chains").distinct()
-    codes = stage(source.mapInArrow(_code_rows, "doc_id long, codes binary"), "codes")
-    cut = found.join(codes, "doc_id").select("doc_id", "rep", "chains", "codes").mapInArrow(_cut_rows, "doc_id long, rep long, chains array<array<int>>, start int, codes binary")
+    codes = stage(source.mapInArrow(_code_rows, "doc_id long, codes binary, n_words long"), "codes")
+    bits = range_bits(codes.agg(F.sum("n_words")).first()[0] or 0)
+    codes = codes.select("doc_id", "codes")
+    packed = codes.mapInArrow(lambda batches: _seed_rows(batches, bits), "range int, n int, packed binary")
+    matches = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_match_rows, "doc_id long, rep long, match long")
+    chained = matches.repartition("doc_id", "rep").sortWithinPartitions("doc_id", "rep", "match")
+    found = stage(chained.mapInArrow(_chain_rows, "doc_id long, rep long, chains array<array<int>>, start int, stop int, rep_start int, rep_stop int"), "chains")
+    # Of both texts only what the chains can reach goes on.
+    cut = found.join(codes, "doc_id").withColumn("codes", _stretch("codes", "start", "stop"))
     # A document that many others repeat is one row here, so its join may be split among tasks.
     theirs = codes.select(F.col("doc_id").alias("rep"), F.col("codes").alias("rep_codes"))
-    paired = cut.join(theirs, "rep").select("doc_id", "rep", "chains", "start", "codes", "rep_codes")
+    paired = cut.join(theirs, "rep").select("doc_id", "rep", "chains", "start", "rep_start", "codes", _stretch("rep_codes", "rep_start", "rep_stop").alias("rep_codes"))
     aligned = paired.mapInArrow(_align_rows(identity), "doc_id long, start_word int, end_word int, other_doc_id long, other_start int, other_end int, matched_words int, identity double").distinct()
     # Touching stretches of a document are one passage for the length it must have.
     order = W.partitionBy("doc_id").orderBy("start_word", "end_word", "other_doc_id", "other_start")

@@ -251,6 +251,28 @@ def test_substring_dedup_repetitive_texts(spark):
     assert min(a for a, _, _ in found[4]) == 0 and max(b for _, b, _ in found[4]) >= 180_000
 
 
+def test_substring_dedup_ranges_follow_the_corpus(spark, monkeypatch):
+    """More words, more ranges; however many there are, the passages found are the same."""
+    from fieldweave.llm import substring_dedup as s
+
+    assert [s.range_bits(n) for n in (0, 1 << 31, 1 << 34, 1 << 44)] == [12, 12, 15, 25]
+    text = _passages(random.Random(12))[1]
+    passage = text(80)
+    rows = {k: text(20 + k) + passage[k:] + text(30) for k in range(12)}
+    few = _found(spark, rows)
+    assert set(few) == set(range(1, 12))
+    monkeypatch.setattr(s, "RANGE_BITS", (22, 30))
+    assert _found(spark, rows) == few
+
+
+def test_substring_dedup_carries_stretches_only(spark):
+    """Passages far inside long texts, at places of both that differ, are aligned as if the texts were whole."""
+    text = _passages(random.Random(13))[1]
+    passage = text(700)
+    found = _found(spark, {1: text(5_000) + passage + text(3_000), 2: text(9_000) + passage + text(10)})
+    assert [(a, b, o) for a, b, o in found[2]] == [(9_000, 9_700, 1)]
+
+
 @needs_tables
 def test_substring_dedup_finds_every_long_copy(spark):
     """Each document with 50 consecutive words of an earlier one is reported; those without 20 are not."""
