@@ -3,8 +3,9 @@
 Records are ordered by the hash of their text, so equal texts lie together. A sample that
 favours large records (bounded by a parameter) gives quantiles of the bytes as splitters, which
 cut the key space into many small ranges of about equal size. Texts that alone overfill
-a range are subdivided by record. Exact totals of the ranges then place the cuts between shards, so
-shards differ by no more than a small range.
+a range are subdivided by record. A range whose exact total still comes to more than twice its share, as its
+sample fell badly, is subdivided at splitters sampled inside it. Exact totals of all parts then place the cuts
+between shards, so shards differ by no more than a small part.
 """
 
 from __future__ import annotations
@@ -32,6 +33,21 @@ def _splitters(records: DataFrame, total: int, ranges: int, sample_size: int) ->
     return joined.select("cell", "cuts", before.alias("before"))
 
 
+def _subdivided(placed: DataFrame, target: int, sample_per_range: int) -> DataFrame:
+    """``placed`` with ``part``, the records' part of their range: 0, but in overfull ranges, which are cut at quantiles of a sample of their own."""
+    plain = placed.where("hot_key IS NULL")
+    # Fewer than half as many ranges as there are can hold more than twice their share.
+    overfull = plain.groupBy("range").agg(F.sum("size").alias("held")).where(F.col("held") > 2 * target)
+    unit = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = plain.join(F.broadcast(overfull), "range").where(unit < F.col("size") * F.lit(sample_per_range / target)).select("range", "key", F.ceil(F.col("held") / target).alias("parts"))
+    # In expectation sample_per_range keys for each share of bytes, so the windows and what is broadcast stay as small as the first sample.
+    ranked = sample.withColumn("at", F.row_number().over(W.partitionBy("range").orderBy("key")) - 1).withColumn("drawn", F.count(F.lit(1)).over(W.partitionBy("range")))
+    cuts = ranked.groupBy("range", F.floor(F.col("at") * F.col("parts") / F.col("drawn")).alias("tile")).agg(F.max("key").alias("cut"))
+    own = cuts.groupBy("range").agg(F.collect_set("cut").alias("inner_cuts"))
+    part = F.size(F.filter(F.coalesce("inner_cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("key"))).cast("long")
+    return placed.join(F.broadcast(own), "range", "left").withColumn("part", F.when(F.col("hot_key").isNull(), part).otherwise(F.lit(0).cast("long"))).drop("inner_cuts")
+
+
 def _cell(key):
     return F.shiftright(key, 64 - _COARSE_BITS)
 
@@ -47,7 +63,7 @@ def shard_by_bytes(
     """doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null) of every row.
 
     Size is the UTF-8 length of the text (null: 0) plus 1. Equal texts share a shard unless they
-    overfill one of the ``ranges`` that a shard consists of. Repeated rows get a slot each; null ids are
+    overfill one of the ``ranges`` that the shards consist of. Repeated rows get a slot each; null ids are
     placed like any other; other columns are ignored; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
@@ -74,9 +90,9 @@ def shard_by_bytes(
             F.coalesce(F.pmod(F.xxhash64("row", F.lit("piece")), F.col("pieces")), F.lit(0)).cast("long").alias("piece"),
         )
     )
-    bucket = ["range", "hot_key", "piece"]
-    placed = stage(placed, "placed")
-    # Exact totals: one row a range or piece, fewer than three times ``ranges``.
+    bucket = ["range", "part", "hot_key", "piece"]
+    placed = _subdivided(stage(placed, "placed"), target, sample_per_range)
+    # Exact totals: one row a part or piece, fewer than four times ``ranges``.
     earlier = W.orderBy(*[F.col(c).asc_nulls_first() for c in bucket]).rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy(*bucket).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     totals = totals.select(
@@ -85,7 +101,7 @@ def shard_by_bytes(
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
     )
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in bucket]
-    running = placed.join(F.broadcast(totals), same[0] & same[1] & same[2])
+    running = placed.join(F.broadcast(totals), same[0] & same[1] & same[2] & same[3])
     inside = W.partitionBy(*bucket).orderBy("key", "doc_id")
     running = _running(running, bucket, inside)
     sharded = stage(running.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("start") * shards / F.lit(max(total, 1)))).cast("int")), "sharded")

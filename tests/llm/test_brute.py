@@ -289,6 +289,33 @@ def test_substring_dedup_finds_every_long_copy(spark):
     assert got <= want[20]
 
 
+def test_sharding_subdivides_overfull_ranges(spark):
+    """Ranges of more than twice their share, as few splitters leave them, are cut again; equal texts stay in one part."""
+    from pyspark.sql import functions as F
+
+    from fieldweave.llm.sharding import _subdivided
+
+    r = random.Random(12)
+    rows = [(i, r.randint(1, 200), hash_, 0 if i < 6000 else 1 + i % 50, None, 0) for i in range(8000) for hash_ in [r.randrange(-(1 << 63), 1 << 63) if i % 4 else 77 + i % 40]]
+    placed = spark.createDataFrame(rows, "doc_id long, size long, key long, range long, hot_key long, piece long")
+    target = sum(x[1] for x in rows) // 100
+    got = _subdivided(placed, target, 32).collect()
+    totals, parts = defaultdict(int), defaultdict(set)
+    for x in got:
+        totals[x["range"], x.part] += x["size"]
+        parts[x["range"], x.key].add(x.part)
+    assert len(got) == 8000 and all(len(p) == 1 for p in parts.values())
+    # The texts 77 to 116 are 1,500 neighbouring records: of about a share each at most.
+    assert max(totals.values()) <= 3 * target and sum(k[0] == 0 for k in totals) >= 40
+    assert {k for k in totals if k[0]} == {(n, 0) for n in range(1, 51)}
+    whole = shard_by_bytes(placed.select("doc_id", F.col("key").cast("string").alias("text")), ranges=256, sample_per_range=1).collect()
+    by_shard = defaultdict(int)
+    for x in whole:
+        by_shard[x.shard] += x["size"]
+    assert max(by_shard.values()) - min(by_shard.values()) <= 4 * sum(by_shard.values()) // 256
+    assert all(sorted(x.slot for x in whole if x.shard == k) == list(range(sum(x.shard == k for x in whole))) for k in by_shard)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_sharding(spark, hot):
     r = random.Random(11)
