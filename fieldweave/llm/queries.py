@@ -105,6 +105,38 @@ QUERIES = {
     "op13_byte_bpe": op13_byte_bpe,
 }
 
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds that compare every part with every entry, a round a pair of common table expressions; bounds play no part."""
+    steps = [f"""kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+), cut AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, r AS k, x AS e FROM cut WHERE r < {entries}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min({entries} * list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + k) AS best
+  FROM cut JOIN book{n} USING (p) GROUP BY r, p
+)""")
+        if n < rounds:
+            steps.append(f"""mean{n} AS (
+  SELECT p, k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS e FROM (
+    SELECT p, best % {entries} AS k, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS j FROM near{n}) GROUP BY ALL)
+  GROUP BY p, k
+), book{n + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(mean{n}.e, book{n}.e) AS e FROM book{n} LEFT JOIN mean{n} USING (p, k)
+)""")
+    steps.append(f"""coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest""")
+    return "WITH " + ", ".join(steps[:-1]) + ", " + steps[-1]
+
+
 ORACLES = {
     "op3_exact_dedup": r"""
 WITH n AS (
@@ -160,5 +192,40 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op11_vector_codes": _vector_codes_sql(),
+    # CRC-32 by its polynomial, bit by bit: a byte is added, then eight times a bit is shifted out (-1).
+    "op12_spelling_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL
+), hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(flatten(list_transform(string_split(doc_id || ':' || run, ''),
+      lambda l: CASE WHEN ord(l) < 128 THEN [CAST(ord(l) AS BIGINT)] ELSE [195, CAST(ord(l) AS BIGINT) - 64] END)), lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS h
+  FROM runs
+), counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1
+), words AS MATERIALIZED (
+  SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5
+), less AS MATERIALIZED (
+  SELECT word, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON less.rest = words.word
+  UNION SELECT words.word, less.word FROM less JOIN words ON less.rest = words.word
+), ranked AS (
+  SELECT pairs.word, other, o.n AS other_n, count(*) OVER (PARTITION BY pairs.word) AS n_near, row_number() OVER (PARTITION BY pairs.word ORDER BY o.n DESC, other) AS k
+  FROM pairs JOIN words o ON o.word = other
+), forms AS MATERIALIZED (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.word = words.word AND k = 1
+), roots AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL SELECT forms.word, roots.root FROM roots JOIN forms ON forms.form = roots.word
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
 """,
 }
