@@ -105,6 +105,62 @@ QUERIES = {
     "op13_byte_bpe": op13_byte_bpe,
 }
 
+def _simhash_sql(words: int = 3, max_bits: int = 3, seed: int = 42) -> str:
+    """XXH64 of each shingle in arithmetic modulo 2^64, bits by sums, links by all pairs of fingerprints.
+
+    To turn a word by r bits is to multiply it by 2^r modulo 2^64 - 1.
+    """
+    # The five primes of XXH64 (fixed values).
+    p1, p2, p3, p4, p5 = (f"{v}::UHUGEINT" for v in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m, less = f"{1 << 64}::UHUGEINT", f"{(1 << 64) - 1}::UHUGEINT"
+    turn = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {less})"
+    mixed = lambda acc, lane: f"({turn(f'({acc} + {lane} * {p2} % {m}) % {m}', 31)} * {p1} % {m})"
+    # Bytes at a place (from 0) of the shingle, of which the first counts least.
+    lane = lambda at, n: "('0x' || " + " || ".join(f"hx[2 * ({at} + {k}) + 1:2 * ({at} + {k}) + 2]" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    start = [(seed + 11400714785074694791 + 14029467366897019727) % (1 << 64), (seed + 14029467366897019727) % (1 << 64), seed, (seed - 11400714785074694791) % (1 << 64)]
+    run = lambda first, ns, value, step: f"list_reduce(list_prepend({first}, list_transform({ns}, lambda i: {value})), lambda a, b: {step})"
+    quarters = ", ".join(f"{run(f'{v}::UHUGEINT', 'range(n // 32)', lane(f'(32 * i + {8 * k})', 8), mixed('a', 'b'))} AS v{k}" for k, v in enumerate(start))
+    merged = f"({' + '.join(turn(f'v{k}', r) for k, r in enumerate((1, 7, 12, 18)))}) % {m}"
+    for k in range(4):
+        merged = f"(xor({merged}, {mixed('0::UHUGEINT', f'v{k}')}) * {p1} % {m} + {p4}) % {m}"
+    eights = run("h", "range(n % 32 // 8)", lane("(n // 32 * 32 + 8 * i)", 8), f"({turn('xor(a, ' + mixed('0::UHUGEINT', 'b') + ')', 27)} * {p1} % {m} + {p4}) % {m}")
+    four = f"CASE WHEN n % 8 >= 4 THEN ({turn(f'xor(h, {lane("(n // 8 * 8)", 4)} * {p1} % {m})', 23)} * {p2} % {m} + {p3}) % {m} ELSE h END"
+    ones = run("h", "range(n % 4)", lane("(n // 4 * 4 + i)", 1), f"{turn(f'xor(a, b * {p5} % {m})', 11)} * {p1} % {m}")
+    bits = " + ".join(f"CASE WHEN 2 * sum(c * CAST((h >> {b}) & 1 AS BIGINT)) > sum(c) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingled AS MATERIALIZED (
+  SELECT doc_id, array_to_string(w[p:p + {words - 1}], ' ') AS s, count(*) AS c FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS p FROM d WHERE len(w) > 0) GROUP BY ALL
+), raw AS (
+  SELECT s, hex(encode(s)) AS hx, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingled)
+), striped AS (
+  SELECT s, hx, n, {quarters} FROM raw
+), h0 AS (
+  SELECT s, hx, n, ((CASE WHEN n >= 32 THEN {merged} ELSE ({seed} + {p5}) % {m} END) + n::UHUGEINT) % {m} AS h FROM striped
+), h1 AS (SELECT s, hx, n, {eights} AS h FROM h0
+), h2 AS (SELECT s, hx, n, {four} AS h FROM h1
+), h3 AS (SELECT s, {ones} AS h FROM h2
+), h4 AS (SELECT s, xor(h, h // {1 << 33}::UHUGEINT) * {p2} % {m} AS h FROM h3
+), h5 AS (SELECT s, xor(h, h // {1 << 29}::UHUGEINT) * {p3} % {m} AS h FROM h4
+), hashed AS (SELECT s, CAST(xor(h, h // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM h5
+), told AS (
+  SELECT doc_id, {bits} AS f FROM shingled JOIN hashed USING (s) GROUP BY doc_id
+), prints AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(f, 0::UBIGINT) AS f FROM d LEFT JOIN told ON d.doc_id = told.doc_id
+), points AS MATERIALIZED (
+  SELECT f, min(doc_id) AS least FROM prints GROUP BY f
+), links AS MATERIALIZED (
+  SELECT a.f AS x, b.f AS y FROM points a JOIN points b ON a.f <> b.f AND bit_count(xor(a.f, b.f)) <= {max_bits}
+), reach AS (
+  SELECT f AS x, f AS y FROM points UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), components AS (
+  SELECT reach.x AS f, min(least) AS component_id FROM reach JOIN points ON points.f = reach.y GROUP BY reach.x
+)
+SELECT doc_id, printf('%016x', f) AS fingerprint, component_id FROM prints JOIN components USING (f)
+"""
+
+
 def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     """Lloyd rounds that compare every part with every entry, a round a pair of common table expressions; bounds play no part."""
     steps = [f"""kept AS (
@@ -228,4 +284,5 @@ WITH RECURSIVE runs AS (
 )
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
 """,
+    "op1_simhash": _simhash_sql(),
 }
