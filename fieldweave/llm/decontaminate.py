@@ -155,7 +155,13 @@ def decontaminate(
     items = _items(benchmark, item_col, text_col)
     blocks = _blocks(items, table_bytes)
     if blocks == 1:
-        return source.mapInArrow(_report(docs.sparkSession, items, width), _REPORT)
+        report = _report(_tables(docs.sparkSession, items, width))
+
+        def run(batches):
+            for batch in (b for whole in batches for b in slices(whole, 1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *report(batch.column(1))], names=["doc_id", *_REPORTED])
+
+        return source.mapInArrow(run, _REPORT)
     return _in_blocks(source.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text"))), items, width, blocks).drop("row_key")
 
 
@@ -188,7 +194,7 @@ def _in_blocks(source: DataFrame, items: DataFrame, width: int, blocks: int) ->
 def _carried(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, table_bytes: int) -> DataFrame:
     """The report beside all columns of ``docs``: the text is reported on in place, with no join where one set of tables holds the benchmark."""
     items = _items(benchmark, item_col, text_col)
-    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    names = [c for c in docs.columns if c.lower() not in _REPORTED]
     blocks = _blocks(items, table_bytes)
     if blocks > 1:
         # A report depends on the text alone, so each text is searched once, and rows find theirs by it, whatever their ids.
@@ -199,14 +205,12 @@ def _carried(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, tex
         own = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("own key"))
         return own.join(report, F.col("own key") == F.col("report key")).drop("own key", "report key")
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    inner = _report(docs.sparkSession, items, width)
+    report = _report(_tables(docs.sparkSession, items, width))
     text_at = names.index(text_col)
 
     def run(batches):
         for batch in (b for whole in batches for b in slices(whole, text_at)):
-            two = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], names=["doc_id", "text"])
-            report = next(inner(iter([two])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *report.columns[1:]], names=[*names, *report.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *report(batch.column(text_at))], names=[*names, *_REPORTED])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, fields + ", " + _REPORT.split(", ", 1)[1])
@@ -217,6 +221,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_REPORTED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _blocks(items: DataFrame, table_bytes: int) -> int:
@@ -231,21 +236,20 @@ def _tables(spark, items: DataFrame, width: int):
     return spark.sparkContext.broadcast(Benchmark([(r.item, r.text) for r in items.collect()], width))
 
 
-def _report(spark, items: DataFrame, width: int):
-    tables = _tables(spark, items, width)
+def _report(tables):
+    """The columns of the report on texts, of which there is a row for each text given."""
 
-    def run(batches):
-        for batch in (b for whole in batches for b in slices(whole, 1)):
-            counts, hit, found = tables.value.search(batch.column(1).to_pylist())
-            upto = np.concatenate([[0], hit.cumsum()])
-            ends = np.cumsum(counts)
-            n_hit = upto[ends] - upto[ends - counts]
-            sha = [hashlib.sha256(",".join(sorted(found[k])).encode()).hexdigest() if k in found else EMPTY_SHA256 for k in range(len(counts))]
-            columns = (counts, n_hit, [len(found.get(k, ())) for k in range(len(counts))], sha, n_hit > 0)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def report(texts: pa.Array) -> list[pa.Array]:
+        counts, hit, found = tables.value.search(texts.to_pylist())
+        upto = np.concatenate([[0], hit.cumsum()])
+        ends = np.cumsum(counts)
+        n_hit = upto[ends] - upto[ends - counts]
+        sha = [hashlib.sha256(",".join(sorted(found[k])).encode()).hexdigest() if k in found else EMPTY_SHA256 for k in range(len(counts))]
+        columns = (counts, n_hit, [len(found.get(k, ())) for k in range(len(counts))], sha, n_hit > 0)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return [pa.array(c, k) for c, k in zip(columns, kinds)]
 
-    return run
+    return report
 
 
 def _hits(tables):

@@ -567,6 +567,17 @@ def test_pipeline(spark, tokenizer):
     assert brute.check_packing(corpus_pipeline.run(spark, SMALL).collect(), texts, tokenizer) == 0
 
 
+def test_decontamination_of_long_batches(spark):
+    """Texts that come to several times what is searched at once, where the second part starts with a text that overlaps the first."""
+    long = "plain words that no item holds " * 180_000
+    rows = [(i, long + "a b c d e f g h i j" * (i % 2), "en", "s", i) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    bench = spark.createDataFrame([("q", "a b c d e f g h i j")], "item_id string, text string")
+    kept = decontaminate(docs, bench, carry=True).where("NOT contaminated")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 2]
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate(docs, bench).select("doc_id", "n_hit").collect()) == [(0, 0), (1, 10), (2, 0), (3, 10)]
+
+
 def test_common_words_in_order():
     """Bit rows against the plain table."""
     from fieldweave.llm.substring_dedup import _agree
