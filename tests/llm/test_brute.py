@@ -24,7 +24,7 @@ from fieldweave.llm.line_dedup import line_dedup
 from fieldweave.llm.packing import layout
 from fieldweave.llm.sharding import shard_by_bytes
 from fieldweave.llm.simhash import fingerprint, linked, links, simhash_components
-from fieldweave.llm.similar import CARRIED, _ranked, candidate_edges, forest, index_shape, meetings, most_bits, positions, similar_components
+from fieldweave.llm.similar import CARRIED, _ranked, candidate_edges, forest, index_shape, meetings, most_bits, positions, rest_of_edges, similar_components
 from fieldweave.llm.substring_dedup import repeated_passages
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -438,6 +438,44 @@ def test_similar_components(spark):
     assert all(k // 2 == v // 2 for k, v in got.items())
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.55])
+def test_no_similar_pair_is_left_out(spark, similarity):
+    """Pairs of each similarity around the stated one, exactly at it too, and chains of them, against all pairs."""
+    r = random.Random(21)
+    word, text = _passages(r)
+    common, rows = " ".join(text(12)), []
+    for i in range(260):
+        words = text(r.choice((9, 30, 64, 150)))
+        for _ in range(r.choice((2, 2, 3))):
+            rows.append(f"{' '.join(words)} {common}" if i % 3 == 0 else " ".join(words))
+            for _ in range(max(1, round(len(words) * r.choice((0.015, 0.02, 0.03, 0.06))))):
+                words[r.randrange(len(words))] = word()
+    # Sets of which the larger holds the smaller, and that have exactly one of the similarities.
+    for whole, part in ((20, 16), (20, 11), (5, 4), (100, 55), (100, 80)):
+        words = text(whole + 4)
+        rows += [" ".join(words), " ".join(words[: part + 4])]
+    want = brute.similar(rows, least=similarity)
+    got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), similarity=similarity).collect()}
+    assert got == dict(enumerate(want)) and 300 < len(set(want)) < len(rows) - 50
+
+
+def test_the_rest_of_an_empty_index(spark, monkeypatch):
+    """What the index leaves out is found: with no candidates of the index at all, the groups are those of all pairs."""
+    monkeypatch.setattr("fieldweave.llm.similar.candidate_edges", lambda classes, *shape: classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("apart")).limit(0))
+    monkeypatch.setattr(rest_of_edges, "__defaults__", (8,))
+    r = random.Random(22)
+    word, text = _passages(r)
+    base, rows = text(100), []
+    for i in range(150):
+        words = list(base) if i % 3 else text(100)
+        for _ in range(r.choice((0, 1, 2, 3))):
+            words[r.randrange(len(words))] = word()
+        rows.append(" ".join(words))
+    got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = brute.similar(rows)
+    assert got == dict(enumerate(want)) and 50 < len(set(want)) < 100
+
+
 def test_similar_groups_do_not_depend_on_blocks(spark, monkeypatch):
     """A large group of near copies, by lists in blocks of 8 members and whole, equals all pairs."""
     r = random.Random(16)
