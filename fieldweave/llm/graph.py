@@ -12,24 +12,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b); the root is its component's smallest node.
 
     Each round points every node at the smallest node it is joined to, for its larger and then
-    its smaller neighbours. Rounds end when an exact digest of the edges no longer changes; their number grows with the
+    its smaller neighbours. Rounds end when each node is a root or points at one, which may be so from the first; their number grows with the
     logarithm of the longest path. The state of a round is a table in shared storage, deleted once the next one is written, so
     lineage stays short and lost executors cost no earlier round.
     """
     state, path = stage_at(_oriented(edges).distinct(), "stars")
-    before = _digest(state)
-    while before[0]:
+    while not _settled(state):
         after, new = stage_at(_small_star(_large_star(state)), "stars")
-        now = _digest(after)
         drop(path)
         state, path = after, new
-        if now == before:
-            break
-        before = now
     stars = state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return stars.unionByName(state.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) once ``edges`` (a, b) join the components of ``roots`` (node, root); only edges between components take part in rounds."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = components(between)
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return known.unionByName(moved.join(roots, "node", "left_anti"))
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
 
@@ -49,6 +53,8 @@ def _small_star(state: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def _digest(state: DataFrame) -> tuple:
-    row = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(state: DataFrame) -> bool:
+    """Whether each node points at one other, if any, which points at none."""
+    ends = state.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(state.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    told = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not told.agg(F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1))).first()[0]

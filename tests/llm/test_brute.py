@@ -17,6 +17,7 @@ import corpus_pipeline
 from fieldweave.llm import queries as q
 from fieldweave.llm.decontaminate import decontaminate
 from fieldweave.llm.exact_dedup import exact_dedup, merge_filters, segment_filters
+from fieldweave.llm import graph, similar
 from fieldweave.llm.graph import components
 from fieldweave.llm.html_extract import extract_texts, train
 from fieldweave.llm.language_id import Labeller, held_out, train_language_model
@@ -476,6 +477,47 @@ def test_the_rest_of_an_empty_index(spark, monkeypatch):
     assert got == dict(enumerate(want)) and 50 < len(set(want)) < 100
 
 
+def test_pairs_of_the_rest_go_out_once(spark, monkeypatch):
+    """Pairs that meet in many lists go out about once, and pairs whose own first shingles tell that they are less similar not at all."""
+    made = []
+
+    def counted(held, met, schema, whole=similar._whole_lists):
+        out = whole(held, met, schema)
+        if schema == "a long, b long":
+            out = out.localCheckpoint()
+            made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr("fieldweave.llm.similar._whole_lists", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    r = random.Random(23)
+    word, text = _passages(r)
+    rows = []
+    # Groups of twelve that share five sixths of the larger text, pairwise seven tenths of all shingles, and long texts with a passage in common.
+    for _ in range(3):
+        shared = text(500)
+        rows += [" ".join(shared + text(100)) for _ in range(12)]
+    rows += [" ".join(text(1500) + rows[0].split()[:60]) for _ in range(12)]
+    try:
+        got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict(enumerate(brute.similar(rows)))
+    (went, pairs), = made
+    assert pairs <= 3 * 66 and went <= 2 * pairs, made
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr("fieldweave.llm.graph._small_star", lambda state, step=graph._small_star: rounds.append(1) or step(state))
+    stars = spark.createDataFrame([(1, 5), (6, 1), (2, 9)], "a long, b long")
+    assert sorted(map(tuple, components(stars).collect())) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)] and not rounds
+    more = spark.createDataFrame([(9, 6), (9, 5), (7, 8), (8, 5), (3, 4)], "a long, b long")
+    want = [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1)]
+    assert sorted(map(tuple, graph.joined(components(stars), more).collect())) == want and rounds
+    assert sorted(map(tuple, graph.joined(components(stars), more.limit(0)).collect())) == sorted(map(tuple, components(stars).collect()))
+
+
 def test_similar_groups_do_not_depend_on_blocks(spark, monkeypatch):
     """A large group of near copies, by lists in blocks of 8 members and whole, equals all pairs."""
     r = random.Random(16)
